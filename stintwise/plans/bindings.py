@@ -60,7 +60,8 @@ def _rows(sf_dir: str, name: str) -> int:
 def scale_of(sf_dir: str, name: str = "events") -> Scale:
     """Row bound of a table, from the Parquet footers. Remembered per folder: an outdated
     number can only pick a slower plan, never another result."""
-    return Scale(_rows(sf_dir, name))
+    per_task = SparkSession.active().conf.get("stintwise.rowsPerTask", None)
+    return Scale(_rows(sf_dir, name), int(per_task)) if per_task else Scale(_rows(sf_dir, name))
 
 
 def minute_slot(column: str = "micros") -> Column:
@@ -116,6 +117,54 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id": F.col("dataset_id"), "block_id": F.col("dataset_id")})
 
 
+BINS_PER_LAP = 10
+
+
+def distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten bins per lap, empty ones included, with the channels of their events."""
+    seen = base_events(spark, sf_dir).withColumn("distance_m", F.floor(F.col("distance") / 10).cast("int")).groupBy(
+        "dataset_id", "lap_id", "distance_m").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.col("distance") % 10 / 10).alias("brake"),
+        F.min(F.col("distance") / 100).alias("throttle"), F.min("speed").alias("speed_ms"),
+        F.bool_or("incident").alias("_incident"))
+    grid = laps(spark, sf_dir).select(
+        "dataset_id", "lap_id", "lap_number", F.col("lap_valid").alias("lap_is_valid"),
+        F.explode(F.sequence(F.lit(0), F.lit(BINS_PER_LAP - 1))).alias("distance_m"))
+    return grid.join(seen, ["dataset_id", "lap_id", "distance_m"], "left").select(
+        "dataset_id", "lap_id", "lap_number", "lap_is_valid", "distance_m",
+        (F.col("distance_m") / BINS_PER_LAP).alias("lap_fraction"),
+        F.coalesce("_n", F.lit(0)).alias("sample_count"), F.col("_n").isNotNull().alias("has_sample"),
+        "brake", "throttle", "speed_ms",
+        F.when(F.col("_incident"), "F1").otherwise("").alias("finding_keys"))
+
+
+def lap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lap summary as a session export would carry it."""
+    counted = base_events(spark, sf_dir).groupBy("dataset_id", "lap_id").agg(
+        F.count_distinct(F.floor(F.col("distance") / 10)).alias("sampled_bins"))
+    rows = laps(spark, sf_dir).join(counted, ["dataset_id", "lap_id"])
+    marks = rows.groupBy("dataset_id").agg(
+        F.max_by("lap_id", F.struct("n_rows", "lap_id")).alias("_best"), F.max("lap_id").alias("_last"))
+    return rows.join(marks, "dataset_id").select(
+        "dataset_id", "participant", "lap_id", "lap_number", "sampled_bins",
+        F.lit(BINS_PER_LAP).cast("long").alias("total_bins"),
+        F.round(F.col("sampled_bins") / BINS_PER_LAP, 4).alias("coverage_fraction"),
+        F.col("lap_valid").alias("is_valid"),
+        ((F.col("n_incidents") == 0) & (F.col("n_rows") >= 3)).alias("is_reference"),
+        (F.col("lap_id") == F.col("_best")).alias("is_best_valid_lap"),
+        (F.col("lap_id") == F.col("_last")).alias("is_reviewed_lap"),
+        F.when(F.col("n_incidents") == 0, "").otherwise("incident").alias("exclusion_reasons"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding per dataset: the stretch between its first and last incident."""
+    return base_events(spark, sf_dir).groupBy("dataset_id").agg(
+        F.lit("F1").alias("finding_key"), F.min("lap_id").alias("lap_id"),
+        F.floor(F.min(F.when(F.col("incident"), F.col("distance"))) / 10).cast("double").alias("start"),
+        F.ceil(F.max(F.when(F.col("incident"), F.col("distance"))) / 10).cast("double").alias("end"),
+    ).filter("start is not null")
+
+
 # The same binding for the checking engine.
 EVENTS_SQL = """
 base AS (
@@ -148,3 +197,28 @@ contexts AS (
   LEFT JOIN (SELECT c_custkey, c_mktsegment AS car, n_name AS track, r_name AS layout
              FROM customer JOIN nation ON c_nationkey = n_nationkey
                            JOIN region ON n_regionkey = r_regionkey) p ON p.c_custkey = d.user_id)"""
+
+BINS_SQL = EVENTS_SQL + """,
+lap_table AS (
+  SELECT l.dataset_id, l.participant, l.lap_id, l.lap_number, c.sampled_bins, 10::BIGINT AS total_bins,
+         round(c.sampled_bins / 10.0::DOUBLE, 4) AS coverage_fraction, l.lap_valid AS is_valid,
+         l.n_incidents = 0 AND l.n_rows >= 3 AS is_reference,
+         l.lap_id = first_value(l.lap_id) OVER (PARTITION BY l.dataset_id ORDER BY l.n_rows DESC, l.lap_id DESC)
+           AS is_best_valid_lap,
+         l.lap_id = max(l.lap_id) OVER (PARTITION BY l.dataset_id) AS is_reviewed_lap,
+         CASE WHEN l.n_incidents = 0 THEN '' ELSE 'incident' END AS exclusion_reasons
+  FROM laps l JOIN (SELECT dataset_id, lap_id, count(DISTINCT floor(distance / 10)) AS sampled_bins
+                    FROM base GROUP BY ALL) c USING (dataset_id, lap_id)),
+bins AS (
+  SELECT l.dataset_id, l.lap_id, l.lap_number, l.lap_valid AS lap_is_valid, g.distance_m,
+         g.distance_m / 10.0::DOUBLE AS lap_fraction, coalesce(s.n, 0) AS sample_count, s.n IS NOT NULL AS has_sample,
+         s.brake, s.throttle, s.speed_ms, CASE WHEN s.incident THEN 'F1' ELSE '' END AS finding_keys
+  FROM laps l CROSS JOIN (SELECT unnest(range(10)) AS distance_m) g
+  LEFT JOIN (SELECT dataset_id, lap_id, CAST(floor(distance / 10) AS BIGINT) AS distance_m, count(*) AS n,
+                    max((distance % 10) / 10) AS brake, min(distance / 100) AS throttle, min(speed) AS speed_ms,
+                    bool_or(incident) AS incident FROM base GROUP BY ALL) s
+    ON s.dataset_id = l.dataset_id AND s.lap_id = l.lap_id AND s.distance_m = g.distance_m),
+findings AS (
+  SELECT dataset_id, 'F1' AS finding_key, min(lap_id) AS lap_id,
+         floor(min(distance) FILTER (incident) / 10) AS "start", ceil(max(distance) FILTER (incident) / 10) AS "end"
+  FROM base GROUP BY dataset_id HAVING count(*) FILTER (incident) > 0)"""
