@@ -44,7 +44,8 @@ def violations(df: DataFrame, rules: dict[str, Column], subject: list[str]) -> D
     """(subject..., rule) for every rule that is not satisfied. An unknown (null) rule passes."""
     broken = F.array_compact(F.array(*[
         F.when(~F.coalesce(ok, F.lit(True)), F.lit(code)) for code, ok in rules.items()]))
-    return df.select(*subject, F.explode(broken).alias("rule"))
+    held = df.select(*subject, broken.alias("_rules")).filter(F.size("_rules") > 0)
+    return held.select(*subject, F.explode("_rules").alias("rule"))
 
 
 def require_clean(found: DataFrame, what: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintwise.operators.audit import violations
 from stintwise.operators.quantiles import robust_summary
 from stintwise.operators.spread import UNKNOWN, Scale
 from stintwise.schema import reading
@@ -86,5 +87,4 @@ def audit_summaries(summary: DataFrame, keys: list[str]) -> DataFrame:
             & (F.col("median") <= F.col("q3")) & (F.col("q3") <= F.col("maximum")), F.lit(True)),
         "null_when_empty": (F.col("values_included") > 0) == F.col("median").isNotNull(),
     }
-    broken = F.array_compact(F.array(*[F.when(~ok, F.lit(code)) for code, ok in checks.items()]))
-    return summary.select(*keys, F.explode(broken).alias("rule"))
+    return violations(summary, checks, keys)

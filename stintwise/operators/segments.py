@@ -76,7 +76,8 @@ def selects(segment: Segment, bins: bool = False) -> Column:
 def tag_segments(records: DataFrame, segments: list[Segment], bins: bool = False) -> DataFrame:
     """One output row per (record, segment that selects it); no join, no record repeated needlessly."""
     hits = F.array_compact(F.array(*[F.when(selects(s, bins), F.lit(s.segment_id)) for s in segments]))
-    return records.withColumn("segment", F.explode(hits))
+    tagged = records.withColumn("_hits", hits).filter(F.size("_hits") > 0)
+    return tagged.withColumn("segment", F.explode("_hits")).drop("_hits")
 
 
 def covered_cells(segment: Segment) -> Column:
