@@ -18,7 +18,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.functions.cells import wall_micros
 from stintwise.functions.qualified import fields, qualified
 from stintwise.operators.spread import Scale
 
@@ -26,29 +25,48 @@ from stintwise.operators.spread import Scale
 SLOT_MICROS = 60_000_000
 
 
+# Explicit schemas: no job to read footers before a query can be planned.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey LONG, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey LONG, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey LONG, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey LONG, o_custkey LONG, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey LONG, l_partkey LONG, l_suppkey LONG, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+                "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG",
+    "pages": "page_id LONG, url STRING, html STRING",
+    "benchmark": "item_id LONG, text STRING",
+    "labels": "doc_id LONG, quality INT, toxic INT",
+    "conversations": "conv_id LONG, turn LONG, role STRING, text STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat typed columns of the events table under telemetry names."""
-    dom = F.dayofmonth("ts")
-    who = F.concat(F.lit("u"), F.col("user_id"))
-    condition = F.when(dom >= 29, "warmup").when(dom % 2 == 1, "odd").otherwise("even")
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
+        "*", "dayofmonth(ts) AS dom", "concat('u', user_id) AS participant",
+    ).selectExpr(
+        "*", "CASE WHEN dom >= 29 THEN 'warmup' WHEN dom % 2 = 1 THEN 'odd' ELSE 'even' END AS condition_id",
+    ).selectExpr(
         "event_id",
-        wall_micros(F.col("ts")).alias("micros"),
-        "user_id",
-        who.alias("participant"),
-        F.concat_ws("-", who, F.concat(F.lit("w"), F.floor((dom - 1) / 7)), condition).alias("dataset_id"),
-        F.concat_ws("-", who, F.date_format("ts", "yyyyMMdd")).alias("lap_id"),
-        dom.alias("lap_number"),
-        condition.alias("condition_id"),
-        F.when(condition == "odd", "baseline").when(condition == "even", "intervention").alias("arm"),
-        "event_type",
-        F.when(F.col("event_type") != "signup", F.col("value")).alias("speed"),
-        F.get_json_object("props", "$.k").cast("double").alias("distance"),
-        (F.col("event_type") == "error").alias("incident"),
+        # Zone-less time stamps: microseconds since 1970 whatever the session zone.
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS micros",
+        "user_id", "participant",
+        "concat(participant, '-w', (dom - 1) div 7, '-', condition_id) AS dataset_id",
+        "concat(participant, '-', date_format(ts, 'yyyyMMdd')) AS lap_id",
+        "dom AS lap_number", "condition_id",
+        "CASE condition_id WHEN 'odd' THEN 'baseline' WHEN 'even' THEN 'intervention' END AS arm",
+        "event_type", "CASE WHEN event_type <> 'signup' THEN value END AS speed",
+        "CAST(get_json_object(props, '$.k') AS DOUBLE) AS distance", "event_type = 'error' AS incident",
     )
 
 
