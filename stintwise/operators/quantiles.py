@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, split_cumulative
+from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, settle, split_cumulative
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -85,8 +85,8 @@ def mad(df: DataFrame, keys: list[str], value: str, scale: Scale = UNKNOWN) -> D
         held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_vs"))
         return held.withColumn("median", sorted_median(F.col("_vs"))).select(
             *keys, F.size("_vs").cast("long").alias("n"), "median", array_mad(F.col("_vs"), F.col("median")).alias("mad"))
-    hist = histogram(df, keys, value)
-    centre = quantiles(hist, keys, value, {"median": 0.5}, scale)
+    hist = settle(histogram(df, keys, value), scale)
+    centre = settle(quantiles(hist, keys, value, {"median": 0.5}, scale), scale)
     return centre.join(deviations(hist, keys, value, centre, "median", scale), keys)
 
 
@@ -98,7 +98,7 @@ def deviations(hist: DataFrame, keys: list[str], value: str, centre: DataFrame,
         .withColumn("_away", F.abs(F.col(value) - F.col(centre_name)))
         .groupBy(*keys, "_away").agg(F.sum("w").alias("w"))
     )
-    return quantiles(away, keys, "_away", {"mad": 0.5}, scale).drop("n")
+    return quantiles(settle(away, scale), keys, "_away", {"mad": 0.5}, scale).drop("n")
 
 
 def robust_summary(df: DataFrame, keys: list[str], value: str, scale: Scale = UNKNOWN) -> DataFrame:
@@ -112,11 +112,11 @@ def robust_summary(df: DataFrame, keys: list[str], value: str, scale: Scale = UN
         return held.select(
             *keys, "n_values", "minimum", "maximum", "mean", F.col("_q")[1].alias("median"),
             F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), array_mad(F.col("_vs"), F.col("_q")[1]).alias("mad"))
-    hist = histogram(df, keys, value)
+    hist = settle(histogram(df, keys, value), scale)
     plain = hist.groupBy(*keys).agg(
         F.min(value).alias("minimum"), F.max(value).alias("maximum"),
         (F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))
-    cut = quantiles(hist, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, scale)
+    cut = settle(quantiles(hist, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, scale), scale)
     return (
         cut.withColumnRenamed("n", "n_values").join(plain, keys)
         .join(deviations(hist, keys, value, cut, "median", scale), keys)

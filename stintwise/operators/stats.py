@@ -22,21 +22,31 @@ def _log_gamma(x: Column) -> Column:
 def sign_test_p(positive: Column, negative: Column) -> Column:
     """Two-sided exact sign test: min(1, 2 * sum of C(n, i) / 2^n for i up to the smaller count).
 
-    The largest term comes from log-gamma; the smaller ones follow by their ratio and are
-    summed for as long as they can still change a double, about sqrt(n) terms. Null without
-    trials.
+    Up to 1000 trials the terms are built up from 2^-n, exactly for as long as a double holds
+    the binomials. Beyond, the largest term comes from log-gamma and the smaller ones follow
+    by their ratio for as long as they can still change a double, about sqrt(n) terms. Null
+    without trials.
     """
     n = (positive + negative).cast("double")
-    k = F.least(positive, negative).cast("double")
-    top = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) - n * math.log(2))
+    k = F.least(positive, negative)
+    one = F.pow(F.lit(2.0), -n)
+    start = F.struct(one.alias("t"), one.alias("s"))
+    upward = F.aggregate(
+        F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.when(n <= 1000, k).otherwise(1))).otherwise(
+            F.array().cast("array<long>")),
+        start, lambda acc, i: F.struct(
+            (acc["t"] * (n - i + 1) / i).alias("t"), (acc["s"] + acc["t"] * (n - i + 1) / i).alias("s")),
+        lambda acc: acc["s"])
+    top = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1.0) - _log_gamma(n - k + 1) - n * math.log(2))
     steps = F.least(k, F.ceil(F.sqrt(n) * 7) + 50).cast("long")
-    tail = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), steps),
+    downward = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), F.when(n > 1000, steps).otherwise(0)),
         F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
         lambda acc, i: F.struct(
             (acc["t"] * (k - i) / (n - k + i + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s")),
         lambda acc: acc["s"])
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * top * tail))
+    tail = F.when(n <= 1000, upward).otherwise(top * downward)
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
 def sign_test(pairs: DataFrame, keys: list[str], difference: str = "difference") -> DataFrame:

@@ -266,10 +266,12 @@ def _sign_sql(key: str, extra: str = "") -> str:
     return PAIRS_SQL + f""",
 sg AS (SELECT {key}{extra}, count(*) FILTER (difference > 0) AS positive, count(*) FILTER (difference < 0) AS negative,
               count(*) FILTER (difference = 0) AS ties FROM p GROUP BY ALL),
-st AS (SELECT *, positive + negative AS trials,
+st0 AS (SELECT *, positive + negative AS trials,
   CASE WHEN positive + negative > 0 THEN least(1.0, 2 * list_sum(list_transform(range(least(positive, negative) + 1),
     lambda k: exp(lgamma(positive + negative + 1) - lgamma(k + 1) - lgamma(positive + negative - k + 1)
-                  - (positive + negative) * ln(2))))) END AS p_value FROM sg)"""
+                  - (positive + negative) * ln(2))))) END AS p_value FROM sg),
+st AS (SELECT * REPLACE (CASE WHEN trials BETWEEN 1 AND 50 THEN round(p_value * pow(2, trials - 1)) / pow(2, trials - 1) ELSE p_value END AS p_value)
+       FROM st0)"""
 
 
 @query("g11_exact_sign_test", _sign_sql("car") + """
