@@ -10,27 +10,28 @@ from stintwise.vocabulary import (
     BOOLEAN_CONCEPTS, CONCEPT_UNITS, INTEGER_CONCEPTS, PROVENANCES, RECORD_TYPES, TEXT_CONCEPTS,
 )
 
-# Text rules. (rule, pattern) in a dialect both RE2 and Java accept.
+# Text rules as (rule, words, pattern), the pattern in a dialect both RE2 and
+# Java accept. Every match of a pattern contains one of its words, whatever the case, so a
+# text without any of them need not be searched.
 SECRET_RULES = (
-    ("private-key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    ("aws-access-key", r"AKIA[0-9A-Z]{16}"),
-    ("sk-style-key", r"\bsk-[A-Za-z0-9_-]{20,}\b"),
-    ("secret-assignment",
+    ("private-key", ("private key",), r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("aws-access-key", ("akia",), r"AKIA[0-9A-Z]{16}"),
+    ("sk-style-key", ("sk-",), r"\bsk-[A-Za-z0-9_-]{20,}\b"),
+    ("secret-assignment", ("api", "client", "password"),
      r"(?i)\b(?:api[_-]?key|client[_-]?secret|password)\s*[:=]\s*['\x22][^'\x22\r\n]{8,}"),
 )
 PRIVACY_RULES = (
-    ("e-mail", r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"),
-    ("payment-key", r"(?i)sk_(?:live|test)_|whsec_|cus_[a-z0-9]+|sub_[a-z0-9]+"),
-    ("license", r"(?i)license.{0,8}[A-Z0-9-]{16,}"),
-    ("platform-id", r"(?i)driveruserid|subsessionid|machine.?fingerprint"),
-    ("user-path", r"(?i)[A-Z]:\\Users\\"),
+    ("e-mail", ("@",), r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"),
+    ("payment-key", ("sk_", "whsec_", "cus_", "sub_"), r"(?i)sk_(?:live|test)_|whsec_|cus_[a-z0-9]+|sub_[a-z0-9]+"),
+    ("license", ("license",), r"(?i)license.{0,8}[A-Z0-9-]{16,}"),
+    ("platform-id", ("driveruserid", "subsessionid", "machine"), r"(?i)driveruserid|subsessionid|machine.?fingerprint"),
+    ("user-path", (":\\users\\",), r"(?i)[A-Z]:\\Users\\"),
 )
+_IDENTIFIERS = (r"(?:full_?name|email(?:_address)?|phone(?:_number)?|street_?address|iracing_?customer_?id|steam_?id)")
+_IDENTIFIER_WORDS = ("name", "email", "phone", "address", "id")
 IDENTIFIER_RULES = (
-    ("direct-identifier-json",
-     r"(?i)\x22(?:full_?name|email(?:_address)?|phone(?:_number)?|street_?address|iracing_?customer_?id|steam_?id)\x22\s*:"),
-    ("direct-identifier-csv",
-     r"(?i)^(?:[^\r\n]*,)?(?:full_?name|email(?:_address)?|phone(?:_number)?|street_?address|iracing_?customer_?id"
-     r"|steam_?id)(?:,|\r?$)"),
+    ("direct-identifier-json", _IDENTIFIER_WORDS, r"(?i)\x22" + _IDENTIFIERS + r"\x22\s*:"),
+    ("direct-identifier-csv", _IDENTIFIER_WORDS, r"(?i)^(?:[^\r\n]*,)?" + _IDENTIFIERS + r"(?:,|\r?$)"),
 )
 # File policy.
 MAX_FILE_BYTES = 5 * 1024 * 1024
@@ -41,11 +42,15 @@ PROHIBITED_EXTENSIONS = (
 
 
 def violations(df: DataFrame, rules: dict[str, Column], subject: list[str]) -> DataFrame:
-    """(subject..., rule) for every rule that is not satisfied. An unknown (null) rule passes."""
-    broken = F.array_compact(F.array(*[
-        F.when(~F.coalesce(ok, F.lit(True)), F.lit(code)) for code, ok in rules.items()]))
-    held = df.select(*subject, broken.alias("_rules")).filter(F.size("_rules") > 0)
-    return held.select(*subject, F.explode("_rules").alias("rule"))
+    """(subject..., rule) for every rule that is not satisfied. An unknown (null) rule passes.
+
+    The codes of a row are gathered in one string, which stays inside generated code however
+    many rules there are; clean rows leave before anything is exploded.
+    """
+    broken = F.concat_ws("\n", *[
+        F.when(~F.coalesce(ok, F.lit(True)), F.lit(code)) for code, ok in rules.items()])
+    held = df.select(*subject, broken.alias("_rules")).filter(F.col("_rules") != "")
+    return held.select(*subject, F.explode(F.split("_rules", "\n")).alias("rule"))
 
 
 def require_clean(found: DataFrame, what: str) -> None:
@@ -374,9 +379,17 @@ def block_rules(blocks: DataFrame, keys: list[str]) -> DataFrame:
                       [*keys, "block"])
 
 
-def scan_text(df: DataFrame, subject: list[str], text: str, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+def scan_text(df: DataFrame, subject: list[str], text: str, rules: tuple[tuple[str, tuple[str, ...], str], ...]
+              ) -> DataFrame:
     """(subject, rule) for each pattern found anywhere in the whole text."""
-    return violations(df, {name: ~F.col(text).rlike(pattern) for name, pattern in rules}, subject)
+    rows = df.select(*subject, text, F.lower(text).alias("_low"))
+    hit = {}
+    for name, words, pattern in rules:
+        near = F.lit(False)
+        for word in words:
+            near = near | F.contains(F.col("_low"), F.lit(word))
+        hit[name] = ~(near & F.col(text).rlike(pattern))
+    return violations(rows, hit, subject)
 
 
 def scan_files(files: DataFrame, group: str, classified: Column) -> DataFrame:

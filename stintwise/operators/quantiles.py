@@ -59,30 +59,43 @@ def quantiles(
     return stats.select(*keys, "n", *out)
 
 
-def medians(df: DataFrame, keys: list[str], value: str, name: str = "median", scale: Scale = UNKNOWN) -> DataFrame:
-    """Exact median and count ``n`` of the non-null values per key."""
-    if scale.fits:
-        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-            F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias(name))
-    return quantiles(histogram(df, keys, value), keys, value, {name: 0.5}, scale)
+def sorted_quantile(values: Column, p: float) -> Column:
+    """Inclusive quantile of a sorted array column; null when empty."""
+    at = (F.size(values) - 1) * F.lit(p)
+    lo = F.try_element_at(values, F.floor(at).cast("int") + 1)
+    hi = F.try_element_at(values, F.ceil(at).cast("int") + 1)
+    return F.when(F.size(values) > 0, lo + (hi - lo) * (at - F.floor(at)))
 
 
 def sorted_median(values: Column) -> Column:
-    """Median of a sorted array column."""
+    """Median of a sorted array column, the mean of the middle two for an even size."""
     n = F.size(values)
     lo, hi = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2).cast("int") + 1
     return F.when(n > 0, (F.element_at(values, lo) + F.element_at(values, hi)) / 2)
 
 
+def _gathered(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sorted values per key as an array; only for inputs that fit in one task as a whole."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_vs"))
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "median", scale: Scale = UNKNOWN) -> DataFrame:
+    """Exact median and count ``n`` of the non-null values per key."""
+    if scale.fits:
+        return _gathered(df, keys, value).select(
+            *keys, F.size("_vs").cast("long").alias("n"), sorted_median(F.col("_vs")).alias(name))
+    return quantiles(histogram(df, keys, value), keys, value, {name: 0.5}, scale)
+
+
 def array_mad(values: Column, centre: Column) -> Column:
     """Median absolute deviation of an array column around a centre."""
-    return sorted_median(F.array_sort(F.transform(values, lambda x: F.abs(x - centre))))
+    return sorted_median(F.sort_array(F.transform(values, lambda x: F.abs(x - centre))))
 
 
 def mad(df: DataFrame, keys: list[str], value: str, scale: Scale = UNKNOWN) -> DataFrame:
     """Median, unscaled median absolute deviation and ``n`` per key."""
     if scale.fits:
-        held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_vs"))
+        held = _gathered(df, keys, value)
         return held.withColumn("median", sorted_median(F.col("_vs"))).select(
             *keys, F.size("_vs").cast("long").alias("n"), "median", array_mad(F.col("_vs"), F.col("median")).alias("mad"))
     hist = settle(histogram(df, keys, value), scale)
@@ -104,14 +117,13 @@ def deviations(hist: DataFrame, keys: list[str], value: str, centre: DataFrame,
 def robust_summary(df: DataFrame, keys: list[str], value: str, scale: Scale = UNKNOWN) -> DataFrame:
     """n_values, minimum, maximum, mean, median, q1, q3, mad per key over the non-null values."""
     if scale.fits:
+        vs = F.col("_vs")
         held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-            F.count(value).alias("n_values"), F.min(value).alias("minimum"), F.max(value).alias("maximum"),
-            F.avg(value).alias("mean"),
-            F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-            F.collect_list(value).alias("_vs"))
-        return held.select(
-            *keys, "n_values", "minimum", "maximum", "mean", F.col("_q")[1].alias("median"),
-            F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), array_mad(F.col("_vs"), F.col("_q")[1]).alias("mad"))
+            F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("_vs"))
+        return held.withColumn("median", sorted_median(vs)).select(
+            *keys, F.size(vs).cast("long").alias("n_values"), F.element_at(vs, 1).alias("minimum"),
+            F.element_at(vs, -1).alias("maximum"), "mean", "median", sorted_quantile(vs, 0.25).alias("q1"),
+            sorted_quantile(vs, 0.75).alias("q3"), array_mad(vs, F.col("median")).alias("mad"))
     hist = settle(histogram(df, keys, value), scale)
     plain = hist.groupBy(*keys).agg(
         F.min(value).alias("minimum"), F.max(value).alias("maximum"),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.operators import audit
-from stintwise.operators.spread import literal_table
+from stintwise.operators.spread import fan_out, literal_table
 from stintwise.plans.bindings import (
-    BINS_SQL, EVENTS_SQL, base_events, distance_bins, findings, lap_table, laps, minute_slot, samples, scale_of, table,
+    BINS_SQL, EVENTS_SQL, base_events, distance_bins, findings, lap_table, laps, minute_slot, samples, scale_of,
+    table,
 )
 from stintwise.plans.registry import query
 from stintwise.schema import reading
@@ -246,10 +247,10 @@ def c21(spark: SparkSession, sf: str) -> DataFrame:
     return audit.bind_blocks(driven, blocks, ["participant"], "lap_number")
 
 
-def _scan_sql(source: str, key: str, text: str, rules: tuple[tuple[str, str], ...]) -> str:
+def _scan_sql(source: str, key: str, text: str, rules: tuple) -> str:
     return "\nUNION ALL ".join(
         f"SELECT {key}, '{name}' AS rule FROM {source} WHERE regexp_matches({text}, '" + pattern.replace("'", "''") + "')"
-        for name, pattern in rules)
+        for name, _, pattern in rules)
 
 
 SCANNED = audit.SECRET_RULES + audit.PRIVACY_RULES
@@ -257,12 +258,12 @@ SCANNED = audit.SECRET_RULES + audit.PRIVACY_RULES
 
 @query("c22_text_scan_documents", _scan_sql("documents", "doc_id", "text", SCANNED))
 def c22(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.scan_text(table(spark, sf, "documents"), ["doc_id"], "text", SCANNED)
+    return audit.scan_text(fan_out(table(spark, sf, "documents"), scale_of(sf, "documents")), ["doc_id"], "text", SCANNED)
 
 
 @query("c22_text_scan_pages", _scan_sql("pages", "page_id", "html", SCANNED + audit.IDENTIFIER_RULES[:1]))
 def c22_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.scan_text(table(spark, sf, "pages"), ["page_id"], "html", SCANNED + audit.IDENTIFIER_RULES[:1])
+    return audit.scan_text(fan_out(table(spark, sf, "pages"), scale_of(sf, "pages")), ["page_id"], "html", SCANNED + audit.IDENTIFIER_RULES[:1])
 
 
 @query("c23_file_policy", """

@@ -15,6 +15,7 @@ from stintwise.operators.theilsen import theil_sen
 from stintwise.plans.bindings import EVENTS_SQL, base_events, contexts, scale_of
 from stintwise.plans.evidence_queries import UNITS_SQL, lap_units, units
 from stintwise.plans.registry import query
+from stintwise.session import cut_lineage
 
 DRAWS = 100
 SEED = 7
@@ -36,10 +37,15 @@ def study_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs with the car they compare, kept for the several passes made over them."""
+    """Pairs with the car they compare."""
     return settle(ev.pair_units(study_units(spark, sf), by=["car"]), scale_of(sf))
 
 
+def held_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, written once for operators that pass over them many times."""
+    return cut_lineage(ev.pair_units(study_units(spark, sf), by=["car"]))
+
+
 def r9(*columns: str) -> list:
     return [F.round(c, 9).alias(c) for c in columns]
 
@@ -198,7 +204,7 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
 SELECT car, count(*) AS n, round(mad(difference), 9) AS mad,
        round(quantile_cont(difference, 0.75) - quantile_cont(difference, 0.25), 9) AS iqr FROM p GROUP BY car""")
 def g5(spark: SparkSession, sf: str) -> DataFrame:
-    p, scale = study_pairs(spark, sf), scale_of(sf)
+    p, scale = held_pairs(spark, sf), scale_of(sf)
     box = quantiles(histogram(p, ["car"], "difference"), ["car"], "difference", {"q1": 0.25, "q3": 0.75}, scale)
     return mad(p, ["car"], "difference", scale).join(box.drop("n"), "car").select(
         "car", "n", F.round("mad", 9).alias("mad"), F.round(F.col("q3") - F.col("q1"), 9).alias("iqr"))
@@ -322,12 +328,12 @@ def g12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g13_cluster_order", PAIRED_BOOT_SQL + " SELECT car, cluster_id, rank, m AS clusters FROM clusters")
 def g13_order(spark: SparkSession, sf: str) -> DataFrame:
-    return bs.cluster_order(study_pairs(spark, sf), "car", "cluster_id", ["difference"], scale_of(sf))
+    return bs.cluster_order(held_pairs(spark, sf), "car", "cluster_id", ["difference"], scale_of(sf))
 
 
 @query("g13_bootstrap_median", MEDIANS_SQL + " SELECT car, draw, round(value, 9) AS value FROM dist")
 def g13_median(spark: SparkSession, sf: str) -> DataFrame:
-    return bs.bootstrap(study_pairs(spark, sf), "car", "cluster_id", "median", DRAWS, SEED, scale_of(sf)).select(
+    return bs.bootstrap(held_pairs(spark, sf), "car", "cluster_id", "median", DRAWS, SEED, scale_of(sf)).select(
         "car", "draw", *r9("value"))
 
 
@@ -335,7 +341,7 @@ def g13_median(spark: SparkSession, sf: str) -> DataFrame:
 SELECT d.car, d.draw, round(sum(list_sum(c.content)) / sum(len(c.content)), 9) AS value
 FROM drawn d JOIN clusters c USING (car, rank) GROUP BY d.car, d.draw""")
 def g13_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return bs.bootstrap(study_pairs(spark, sf), "car", "cluster_id", "mean", DRAWS, SEED, scale_of(sf)).select(
+    return bs.bootstrap(held_pairs(spark, sf), "car", "cluster_id", "mean", DRAWS, SEED, scale_of(sf)).select(
         "car", "draw", *r9("value"))
 
 
@@ -344,7 +350,7 @@ SELECT d.car, d.draw, round(quantile_cont(x.v.value, 0.5) FILTER (x.v.arm = 'int
        - quantile_cont(x.v.value, 0.5) FILTER (x.v.arm = 'baseline'), 9) AS value
 FROM drawn d JOIN clusters c USING (car, rank), LATERAL (SELECT unnest(c.content) AS v) x GROUP BY d.car, d.draw""")
 def g13_unpaired(spark: SparkSession, sf: str) -> DataFrame:
-    return bs.bootstrap(study_units(spark, sf), "car", "participant", "median_difference", DRAWS, SEED,
+    return bs.bootstrap(cut_lineage(study_units(spark, sf)), "car", "participant", "median_difference", DRAWS, SEED,
                         scale_of(sf)).select("car", "draw", *r9("value"))
 
 
@@ -353,7 +359,7 @@ SELECT d.car, d.draw, round(mad(x.v.value) FILTER (x.v.arm = 'intervention')
        / nullif(mad(x.v.value) FILTER (x.v.arm = 'baseline'), 0), 9) AS value
 FROM drawn d JOIN clusters c USING (car, rank), LATERAL (SELECT unnest(c.content) AS v) x GROUP BY d.car, d.draw""")
 def g13_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return bs.bootstrap(study_units(spark, sf), "car", "participant", "dispersion_ratio", DRAWS, SEED,
+    return bs.bootstrap(cut_lineage(study_units(spark, sf)), "car", "participant", "dispersion_ratio", DRAWS, SEED,
                         scale_of(sf)).select("car", "draw", *r9("value"))
 
 
@@ -363,12 +369,12 @@ seq AS (SELECT d.car, d.draw, row_number() OVER (PARTITION BY d.car, d.draw ORDE
 SELECT a.car, a.draw, round(quantile_cont((b.y - a.y) / (b.i - a.i), 0.5), 9) AS value
 FROM seq a JOIN seq b ON a.car = b.car AND a.draw = b.draw AND a.i < b.i GROUP BY a.car, a.draw""")
 def g13_trend(spark: SparkSession, sf: str) -> DataFrame:
-    return bs.bootstrap(study_pairs(spark, sf), "car", "cluster_id", "trend", DRAWS, SEED, scale_of(sf)).select(
+    return bs.bootstrap(held_pairs(spark, sf), "car", "cluster_id", "trend", DRAWS, SEED, scale_of(sf)).select(
         "car", "draw", *r9("value"))
 
 
 def median_interval(spark: SparkSession, sf: str, pairs: DataFrame | None = None) -> DataFrame:
-    p = study_pairs(spark, sf) if pairs is None else pairs
+    p = held_pairs(spark, sf) if pairs is None else pairs
     drawn = bs.bootstrap(p, "car", "cluster_id", "median", DRAWS, SEED, scale_of(sf))
     clusters = p.select("car", "cluster_id").distinct().groupBy("car").agg(F.count(F.lit(1)).alias("clusters"))
     return bs.percentile_interval(drawn, "car", DRAWS, COVERAGE, clusters, 3)
@@ -387,7 +393,7 @@ SELECT car, abs(f) >= {THRESHOLD} AS estimate_exceeds_threshold, f > 0 AS direct
        NOT (lower <= 0 AND upper >= 0) AS interval_excludes_no_effect
 FROM full_estimate JOIN interval_of USING (car)""")
 def g16(spark: SparkSession, sf: str) -> DataFrame:
-    p = study_pairs(spark, sf)
+    p = held_pairs(spark, sf)
     both = stats.paired_effect(p, ["car"], scale=scale_of(sf)).join(median_interval(spark, sf, p), "car")
     return both.select("car", *[c.alias(n) for n, c in stats.practical(
         F.col("estimate"), THRESHOLD, "increase_is_improvement", F.col("lower"), F.col("upper")).items()])
@@ -470,7 +476,7 @@ SELECT car, count(*) AS clusters, round(min(e), 9) AS estimates_minimum, round(m
        CASE WHEN count(*) FILTER (sign(e) <> sign(f)) = 0 THEN 'robust' ELSE 'fragile' END AS outcome
 FROM loo JOIN full_estimate USING (car) GROUP BY car""")
 def g21(spark: SparkSession, sf: str) -> DataFrame:
-    return sensitivity.leave_one_cluster_out(study_pairs(spark, sf), "car", scale=scale_of(sf)).select(
+    return sensitivity.leave_one_cluster_out(held_pairs(spark, sf), "car", scale=scale_of(sf)).select(
         "car", "clusters", *r9("estimates_minimum", "estimates_maximum"), "direction_changes", "outcome")
 
 
@@ -480,7 +486,7 @@ SELECT car, count(*) AS clusters, count(*) FILTER (sign(e) = sign(f)) AS agreein
        CASE WHEN count(*) < 2 THEN 'not_computable' WHEN count(*) FILTER (sign(e) = sign(f)) * 2 > count(*) THEN 'robust' ELSE 'fragile' END AS outcome
 FROM c JOIN full_estimate USING (car) GROUP BY car""")
 def g22(spark: SparkSession, sf: str) -> DataFrame:
-    return sensitivity.isolation_by_cluster(study_pairs(spark, sf), "car", scale=scale_of(sf))
+    return sensitivity.isolation_by_cluster(held_pairs(spark, sf), "car", scale=scale_of(sf))
 
 
 @query("g23_early_versus_late", PAIRS_SQL + """,
@@ -490,7 +496,7 @@ h AS (SELECT car, any_value(n) AS n, any_value(n) // 2 AS split_at,
 SELECT car, h.n, split_at, round(e, 9) AS early_estimate, round(l, 9) AS late_estimate,
        CASE WHEN sign(e) = sign(f) AND sign(l) = sign(f) THEN 'robust' ELSE 'fragile' END AS outcome FROM h JOIN full_estimate USING (car)""")
 def g23(spark: SparkSession, sf: str) -> DataFrame:
-    return sensitivity.early_versus_late(study_pairs(spark, sf), "car", scale=scale_of(sf)).select(
+    return sensitivity.early_versus_late(held_pairs(spark, sf), "car", scale=scale_of(sf)).select(
         "car", "n", "split_at", *r9("early_estimate", "late_estimate"), "outcome")
 
 
@@ -502,7 +508,7 @@ SELECT car, n, round(f, 9) AS full_estimate, round(removed_difference, 9) AS rem
        CASE WHEN sign(e) <> sign(f) OR (abs(e) < {THRESHOLD} AND {THRESHOLD} <= abs(f)) THEN 'fragile' ELSE 'robust' END AS outcome
 FROM w JOIN full_estimate USING (car)""")
 def g24(spark: SparkSession, sf: str) -> DataFrame:
-    return sensitivity.outlier_dependence(study_pairs(spark, sf), "car", THRESHOLD, scale=scale_of(sf)).select(
+    return sensitivity.outlier_dependence(held_pairs(spark, sf), "car", THRESHOLD, scale=scale_of(sf)).select(
         "car", "n", *r9("full_estimate", "removed_difference", "estimate_without_outlier"), "outcome")
 
 
