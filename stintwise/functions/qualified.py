@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stintwise.schema import qualified_type
 from stintwise.vocabulary import CONCEPT_UNITS, value_type
 
 
@@ -20,7 +19,9 @@ def qualified(
 ) -> Column:
     """Null becomes ``unavailable``; unscaled ``measured``; scaled or derived ``derived``.
 
-    An explicit ``provenance`` replaces the measured/derived choice.
+    An explicit ``provenance`` replaces the measured/derived choice. The struct is built with
+    its final types and not cast as a whole: the optimizer can then reduce ``x.unit`` or
+    ``x.value`` to the one expression behind it.
     """
     known = value.isNotNull()
     scaled = value if scale == 1.0 else value * F.lit(scale)
@@ -34,7 +35,7 @@ def qualified(
         F.when(known, F.lit(text)).cast("string").alias("derivation"),
         (F.array(*[F.lit(f) for f in flags]) if flags else F.lit(None)).cast("array<string>").alias("quality_flags"),
         F.lit(None).cast("string").alias("reference"),
-    ).cast(qualified_type(concept))
+    )
 
 
 def decimal_text(value: Column, concept: str, source: str, flag: str) -> Column:

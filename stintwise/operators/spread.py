@@ -52,13 +52,13 @@ def settle(df: DataFrame, scale: Scale) -> DataFrame:
     return df if scale.fits else cut_lineage(df)
 
 
-def fan_out(df: DataFrame, scale: Scale) -> DataFrame:
-    """Deal a small input over all cores before row-heavy work.
+def fan_out(df: DataFrame, scale: Scale, *by: str) -> DataFrame:
+    """Deal a small input over all cores, by the hash of ``by``, before row-heavy work.
 
     A small file is often a single row group, hence a single task. Large inputs already come
     in many pieces and are left alone.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if scale.fits else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by) if scale.fits else df
 
 
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:

@@ -25,7 +25,8 @@ def c1(spark: SparkSession, sf: str) -> DataFrame:
         F.col("fields.speed.provenance"))
     spoilt = F.col("fields").withField("speed.unit", F.when(kind == "click", "km/h").otherwise("m/s")).withField(
         "speed.provenance", provenance).withField("speed.source_channel", F.lit("value"))
-    return audit.record_contract(samples(spark, sf).withColumn("fields", spoilt))
+    stored = fan_out(samples(spark, sf).withColumn("fields", spoilt), scale_of(sf), "event_id")
+    return audit.record_contract(stored)
 
 
 @query("c2_duplicate_identities", """
@@ -258,12 +259,12 @@ SCANNED = audit.SECRET_RULES + audit.PRIVACY_RULES
 
 @query("c22_text_scan_documents", _scan_sql("documents", "doc_id", "text", SCANNED))
 def c22(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.scan_text(fan_out(table(spark, sf, "documents"), scale_of(sf, "documents")), ["doc_id"], "text", SCANNED)
+    return audit.scan_text(fan_out(table(spark, sf, "documents"), scale_of(sf, "documents"), "doc_id"), ["doc_id"], "text", SCANNED)
 
 
 @query("c22_text_scan_pages", _scan_sql("pages", "page_id", "html", SCANNED + audit.IDENTIFIER_RULES[:1]))
 def c22_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.scan_text(fan_out(table(spark, sf, "pages"), scale_of(sf, "pages")), ["page_id"], "html", SCANNED + audit.IDENTIFIER_RULES[:1])
+    return audit.scan_text(fan_out(table(spark, sf, "pages"), scale_of(sf, "pages"), "page_id"), ["page_id"], "html", SCANNED + audit.IDENTIFIER_RULES[:1])
 
 
 @query("c23_file_policy", """

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.functions.qualified import fields, qualified
-from stintwise.operators.spread import Scale
+from stintwise.operators.spread import Scale, fan_out
 
 # A slot of the scan order: one minute of event time.
 SLOT_MICROS = 60_000_000
@@ -52,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat typed columns of the events table under telemetry names."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return fan_out(table(spark, sf_dir, "events"), scale_of(sf_dir), "event_id").selectExpr(
         "*", "dayofmonth(ts) AS dom", "concat('u', user_id) AS participant",
     ).selectExpr(
         "*", "CASE WHEN dom >= 29 THEN 'warmup' WHEN dom % 2 = 1 THEN 'odd' ELSE 'even' END AS condition_id",

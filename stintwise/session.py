@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles methods above 8000 bytes of bytecode; let Spark split such stages.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Plans here are built from many small expressions; recording a Python call site for
     # each one costs more than the expression itself.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
