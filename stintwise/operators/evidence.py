@@ -79,8 +79,9 @@ def classify(
     validity = laps.select("dataset_id", "lap_id", "lap_valid")
     joined = lookup_join(records, validity, ["dataset_id", "lap_id"], "left", [F.col("record_id")], scale)
     whole = extractor.kind == "record_field"
-    trouble = has_incident(text_truthy)
-    if "off_track_state" in records.schema["fields"].dataType.fieldNames():
+    carried = records.schema["fields"].dataType.fieldNames()
+    trouble = has_incident(text_truthy) if "incident_state" in carried else F.lit(False)
+    if "off_track_state" in carried:
         trouble = trouble | off_track()
     flagged = F.coalesce(F.exists(
         "quality_flags", lambda f: F.lit(False) | sum(

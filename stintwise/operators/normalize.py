@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stintwise.functions.cells import bad_cell, concept_cell
 from stintwise.functions.qualified import fields, qualified
@@ -71,16 +72,24 @@ def number_sequence(records: DataFrame, position: list[str], scale: Scale = UNKN
                        "sequence_index", scale).drop("_rank")
 
 
+def _widen(records: DataFrame, name: str) -> Column:
+    """A column of the contract; members a narrower struct lacks become null."""
+    field = RECORD[name]
+    if name not in records.columns:
+        return F.lit(None).cast(field.dataType)
+    have = records.schema[name].dataType
+    if not isinstance(have, T.StructType):
+        return F.col(name).cast(field.dataType)
+    members = set(have.fieldNames())
+    whole = F.struct(*[
+        (F.col(name)[m.name] if m.name in members else F.lit(None)).cast(m.dataType).alias(m.name)
+        for m in field.dataType.fields])
+    return F.when(F.col(name).isNotNull(), whole)
+
+
 def conform(records: DataFrame) -> DataFrame:
     """Give records every column and concept of the full contract, in contract order."""
-    have = set(records.columns)
-    carried = records.schema["fields"].dataType.fieldNames() if "fields" in have else []
-    full = F.struct(*[
-        (F.col("fields")[c] if c in carried else F.lit(None)).cast(RECORD["fields"].dataType[c].dataType).alias(c)
-        for c in CONCEPT_UNITS])
-    return records.select(*[
-        full.alias("fields") if f.name == "fields"
-        else (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields])
+    return records.select(*[_widen(records, f.name).alias(f.name) for f in RECORD.fields])
 
 
 def unmapped_columns(header: Column, mapped: list[str]) -> Column:
