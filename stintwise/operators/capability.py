@@ -73,11 +73,11 @@ def capability_map(channels: DataFrame, claims: DataFrame, snapshot: str) -> Dat
         (F.col("classification") != UNAVAILABLE) & none, "available_without_variables"))
 
 
-def readiness(channels: DataFrame, required: DataFrame, snapshot: str) -> DataFrame:
+def readiness(channels: DataFrame, snapshot: str, required: tuple[str, ...] = PROFILE_CHANNELS) -> DataFrame:
     """Readiness verdict per snapshot against the required channel list.
 
     channels: snapshot, channel, classification, supported, action, for_rehearsal,
-    for_campaign. required: channel. The profile mismatch is the symmetric difference of both
+    for_campaign. The profile mismatch is the symmetric difference of both
     channel sets.
     """
     gap = ~F.col("supported")
@@ -91,7 +91,8 @@ def readiness(channels: DataFrame, required: DataFrame, snapshot: str) -> DataFr
         F.count_if(~F.col("for_campaign") & gap & (F.col("classification") != UNAVAILABLE)).alias("optional_gaps"),
         F.count_if(F.col("supported") & (F.col("action") == "add_new_capture")).alias("partially_captured"))
     have = channels.select(snapshot, "channel").distinct()
-    wanted = channels.select(snapshot).distinct().join(F.broadcast(required.select("channel")))
+    wanted = channels.select(snapshot).distinct().select(
+        snapshot, F.explode(F.array(*[F.lit(c) for c in required])).alias("channel"))
     mismatch = have.withColumn("_h", F.lit(True)).join(
         wanted.withColumn("_w", F.lit(True)), [snapshot, "channel"], "full_outer").groupBy(snapshot).agg(
         F.count_if(F.col("_h").isNull() | F.col("_w").isNull()).alias("profile_mismatch"))

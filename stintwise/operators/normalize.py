@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stintwise.functions.cells import bad_cell, concept_cell
 from stintwise.functions.qualified import fields, qualified
-from stintwise.operators.spread import UNKNOWN, Scale, literal_table, lookup_join, position_in
+from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, position_in
 from stintwise.schema import RECORD
 from stintwise.vocabulary import CONCEPT_UNITS
 
@@ -130,16 +130,21 @@ def enum_dictionary_problems(dictionaries: DataFrame) -> DataFrame:
     return dictionaries.withColumn("problem", problem).filter("problem is not null")
 
 
-def capability_table(spark: SparkSession, mappings: list[ColumnMapping]) -> DataFrame:
-    """One row per concept: provenance, unit, source, derivation; unmapped = unavailable."""
+def capability_rows(mappings: list[ColumnMapping]) -> Column:
+    """The capability table as an array column, to be inlined beside any dataset."""
     by_concept = {m.concept: m for m in mappings}
     rows = []
     for concept, unit in CONCEPT_UNITS.items():
         m = by_concept.get(concept)
-        rows.append((concept, m.provenance if m else "unavailable", unit, m.column if m else None,
-                     m.derivation if m else None))
-    return literal_table(
-        spark, "concept string, provenance string, unit string, source_channel string, derivation string", rows)
+        cells = {"concept": concept, "provenance": m.provenance if m else "unavailable", "unit": unit,
+                 "source_channel": m.column if m else None, "derivation": m.derivation if m else None}
+        rows.append(F.struct(*[F.lit(v).cast("string").alias(k) for k, v in cells.items()]))
+    return F.array(*rows)
+
+
+def capability_table(spark: SparkSession, mappings: list[ColumnMapping]) -> DataFrame:
+    """One row per concept: provenance, unit, source, derivation; unmapped = unavailable."""
+    return spark.range(1).select(F.inline(capability_rows(mappings)))
 
 
 def capability_summary(capabilities: DataFrame, keys: list[str]) -> DataFrame:

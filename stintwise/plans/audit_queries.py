@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.operators import audit
-from stintwise.operators.spread import fan_out, literal_table
+from stintwise.operators.spread import fan_out
 from stintwise.plans.bindings import (
     BINS_SQL, EVENTS_SQL, base_events, distance_bins, findings, lap_table, laps, minute_slot, samples, scale_of,
     table,
@@ -241,10 +241,9 @@ SELECT participant, lap_number, count(b.block) AS blocks, min(b.block) AS block,
        CASE count(b.block) WHEN 0 THEN 'no_block' WHEN 1 THEN NULL ELSE 'several_blocks' END AS problem
 FROM laps l LEFT JOIN b ON l.lap_number BETWEEN b.start_lap AND b.end_lap GROUP BY participant, lap_number""")
 def c21(spark: SparkSession, sf: str) -> DataFrame:
-    plan = literal_table(spark, "block string, start_lap int, end_lap int",
-                         [("b1", 1, 7), ("b2", 8, 14), ("b3", 14, 20), ("b4", 22, 28)])
+    plan = "stack(4, 'b1', 1, 7, 'b2', 8, 14, 'b3', 14, 20, 'b4', 22, 28) AS (block, start_lap, end_lap)"
     driven = laps(spark, sf)
-    blocks = driven.select("participant").distinct().join(F.broadcast(plan))
+    blocks = driven.select("participant").distinct().selectExpr("participant", plan)
     return audit.bind_blocks(driven, blocks, ["participant"], "lap_number")
 
 

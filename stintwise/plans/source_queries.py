@@ -165,7 +165,8 @@ def b3(spark: SparkSession, sf: str) -> DataFrame:
 
 def recorder_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Events as the text rows of a recorder bundle; columns it does not know stay blank."""
-    iso = F.concat(F.date_format(F.timestamp_micros("micros"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."),
+    stamp = F.expr("timestampadd(MICROSECOND, micros, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    iso = F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."),
                    F.lpad((F.col("micros") % 1_000_000).cast("string"), 6, "0"), F.lit("9Z"))
     known = {
         "capture_sequence": F.col("event_id").cast("string"), "simulator_tick": F.col("event_id").cast("string"),
@@ -300,8 +301,7 @@ def b12(spark: SparkSession, sf: str) -> DataFrame:
 SELECT dataset_id, 'brake,gear,lap_distance,off_track_state,session_state,speed,timestamp' AS available, 34::BIGINT AS unavailable_count
 FROM contexts""")
 def b13(spark: SparkSession, sf: str) -> DataFrame:
-    table_of = nz.capability_table(spark, MAPPINGS)
-    per = contexts(spark, sf).select("dataset_id").join(F.broadcast(table_of))
+    per = contexts(spark, sf).select("dataset_id", F.inline(nz.capability_rows(MAPPINGS)))
     return nz.capability_summary(per, ["dataset_id"]).select(
         "dataset_id", F.concat_ws(",", "available").alias("available"), "unavailable_count")
 

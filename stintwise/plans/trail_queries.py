@@ -351,5 +351,4 @@ t AS (SELECT snapshot, count(*) FILTER (supported) AS supported, count(*) FILTER
         count(*) FILTER (channel = 'turbo') AS profile_mismatch FROM channels GROUP BY snapshot)
 SELECT *, blocking = 0 AND profile_mismatch = 0 AS ready, CASE WHEN blocking = 0 AND profile_mismatch = 0 THEN 'ready' ELSE 'update_required' END AS verdict FROM t""")
 def i5(spark: SparkSession, sf: str) -> DataFrame:
-    required = literal_table(spark, "channel string", [("speed",), ("damage",), ("weather",)])
-    return capability.readiness(channels(spark, sf), required, "snapshot")
+    return capability.readiness(channels(spark, sf), "snapshot", ("speed", "damage", "weather"))
