@@ -30,14 +30,14 @@ def record_inventory(records: DataFrame, keys: list[str] | None = None) -> DataF
 def concept_availability(records: DataFrame, record_type: str | None = None) -> DataFrame:
     """Present / measured / derived / estimated / unavailable counts for all 41 concepts.
 
-    One wide aggregation with no grouping key and no exploded rows; the single result row
-    is then turned into one row per concept.
+    One wide aggregation with no grouping key and no exploded rows, reading nothing but the
+    provenance members; the single result row is then turned into one row per concept.
     """
     rows = records if record_type is None else records.filter(F.col("record_type") == record_type)
     carried = rows.schema["fields"].dataType.fieldNames()
     flat = rows.agg(F.count(F.lit(1)).alias("records_scanned"), *[
         F.struct(
-            F.count(F.col("fields")[c]).alias("present"),
+            F.count(F.col("fields")[c]["provenance"]).alias("present"),
             *[F.count_if(F.col("fields")[c]["provenance"] == p).alias(p) for p in PROVENANCES]).alias(c)
         for c in CONCEPT_UNITS if c in carried])
     zero = F.lit(0).cast("long")
@@ -60,7 +60,7 @@ def descriptive_summary(
     rows = records.filter(F.col("record_type") == record_type)
     field = F.col("fields")[concept]
     attrition = rows.groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias("records_of_type"), F.count(field).alias("field_present"),
+        F.count(F.lit(1)).alias("records_of_type"), F.count(field["provenance"]).alias("field_present"),
         F.count_if(field["provenance"] == "unavailable").alias("values_unavailable"),
     ).withColumn("values_included", F.col("field_present") - F.col("values_unavailable"))
     values = rows.select(*group_by, reading(concept).cast("double").alias("_v"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintwise.operators.quantiles import histogram, mad, medians, quantiles, robust_summary
+from stintwise.operators.quantiles import medians, robust_summary
 from stintwise.operators.spread import UNKNOWN, Scale, ordered_scan, position_in
 
 
@@ -61,11 +61,10 @@ def sign_test(pairs: DataFrame, keys: list[str], difference: str = "difference")
 def paired_effect(pairs: DataFrame, keys: list[str], effect: str = "median_paired_difference",
                   scale: Scale = UNKNOWN) -> DataFrame:
     """Estimate and secondary estimate (the other of median and mean) of the differences."""
-    middle = medians(pairs, keys, "difference", "_median", scale)
-    mean = pairs.groupBy(*keys).agg(F.avg("difference").alias("_mean"))
     first, second = ("_median", "_mean") if effect == "median_paired_difference" else ("_mean", "_median")
-    return middle.join(mean, keys).select(
-        *keys, "n", F.col(first).alias("estimate"), F.col(second).alias("secondary_estimate"))
+    both = robust_summary(pairs, keys, "difference", scale).select(
+        *keys, F.col("n_values").alias("n"), F.col("median").alias("_median"), F.col("mean").alias("_mean"))
+    return both.select(*keys, "n", F.col(first).alias("estimate"), F.col(second).alias("secondary_estimate"))
 
 
 def arm_values(pairs: DataFrame, keep: list[str]) -> DataFrame:
@@ -101,11 +100,8 @@ def dispersion_ratio(units: DataFrame, keys: list[str], scale: Scale = UNKNOWN)
     The ratio is null when the baseline does not vary, an IQR when it has fewer than two
     values.
     """
-    by = [*keys, "arm"]
-    spread = mad(units, by, "value", scale)
-    box = quantiles(histogram(units, by, "value"), by, "value", {"q1": 0.25, "q3": 0.75}, scale)
-    both = spread.join(box.select(*by, "q1", "q3"), by).withColumn(
-        "iqr", F.when(F.col("n") >= 2, F.col("q3") - F.col("q1")))
+    both = robust_summary(units, [*keys, "arm"], "value", scale).withColumn(
+        "iqr", F.when(F.col("n_values") >= 2, F.col("q3") - F.col("q1")))
     return _by_arm(both, keys, ["mad", "iqr"]).withColumn(
         "ratio", F.when(F.col("baseline_mad") != 0, F.col("intervention_mad") / F.col("baseline_mad")))
 

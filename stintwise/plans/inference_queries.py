@@ -9,7 +9,7 @@ from stintwise.operators import bootstrap as bs
 from stintwise.operators import comparability as cmp
 from stintwise.operators import evidence as ev
 from stintwise.operators import inference, sensitivity, stats
-from stintwise.operators.quantiles import mad, quantiles, histogram
+from stintwise.operators.quantiles import robust_summary
 from stintwise.operators.spread import settle
 from stintwise.operators.theilsen import theil_sen
 from stintwise.plans.bindings import EVENTS_SQL, base_events, contexts, scale_of
@@ -204,10 +204,9 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
 SELECT car, count(*) AS n, round(mad(difference), 9) AS mad,
        round(quantile_cont(difference, 0.75) - quantile_cont(difference, 0.25), 9) AS iqr FROM p GROUP BY car""")
 def g5(spark: SparkSession, sf: str) -> DataFrame:
-    p, scale = held_pairs(spark, sf), scale_of(sf)
-    box = quantiles(histogram(p, ["car"], "difference"), ["car"], "difference", {"q1": 0.25, "q3": 0.75}, scale)
-    return mad(p, ["car"], "difference", scale).join(box.drop("n"), "car").select(
-        "car", "n", F.round("mad", 9).alias("mad"), F.round(F.col("q3") - F.col("q1"), 9).alias("iqr"))
+    return robust_summary(study_pairs(spark, sf), ["car"], "difference", scale_of(sf)).select(
+        "car", F.col("n_values").alias("n"), F.round("mad", 9).alias("mad"),
+        F.round(F.col("q3") - F.col("q1"), 9).alias("iqr"))
 
 
 @query("g6_paired_effect_by_car", PAIRS_SQL + """
