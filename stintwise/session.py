@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +35,39 @@ def build_session(name: str = "stintwise", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A private folder is used only when the session names none, as in tests.
+    A private temporary folder stands in only where the whole of Spark is one machine, as in
+    tests; on a cluster a missing setting is an error, as executors would not see the files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_stintwise_folder", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
+    folder = tempfile.mkdtemp(prefix="stintwise-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark._stintwise_folder = folder
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so that a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stintwise-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but columnar and compressed. Every call has a folder
+    of its own; the shared folder's owner clears it with the other checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stintwise/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
