@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stintwise.llm import packing, urlfilter
+from stintwise.llm import hnsw, packing, quality, topk, toxicity, urlfilter
 from stintwise.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,40 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "host", "path", "rule", "verdict")
 
 
+QUALITY_HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)"
+TOXIC_HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
+LEAST = 0.3
+
+
+def judged(scores: DataFrame, held_out: str) -> DataFrame:
+    return scores.select("doc_id", F.expr(held_out).alias("held_out"), "score",
+                         (F.col("score") >= LEAST).cast("int").alias("predicted"))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.stored_features(read_table(spark, sf_dir, "documents"))
+    labels = read_table(spark, sf_dir, "labels").selectExpr("doc_id", "quality as label")
+    return judged(quality.scored(found, quality.learnt(found, labels, QUALITY_HELD_OUT)), QUALITY_HELD_OUT)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").selectExpr("doc_id", "toxic as label")
+    return judged(toxicity.scored(docs, toxicity.learnt(docs, labels, TOXIC_HELD_OUT)), TOXIC_HELD_OUT)
+
+
+@query("op4_exact_top_k")
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+@query("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
