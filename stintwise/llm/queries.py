@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import hnsw, jaccard, packing, quality, topk, toxicity, urlfilter
+from stintwise.llm import hnsw, jaccard, packing, quality, suffixes, topk, toxicity, urlfilter
 from stintwise.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+@query("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read_table(spark, sf_dir, "documents"))
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
