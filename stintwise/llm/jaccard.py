@@ -16,7 +16,7 @@ costs ``SCAN`` times a subset's row, as lists are longer.
 
 Defined results: null and empty texts have no set, link with nothing and are their own
 component. A row with a null doc_id links with nothing and has a null component. Rows that
-repeat a doc_id belong together. Hashes have 64 bits: two different shingles of a pair of
+repeat a doc_id are one document with the smallest of their texts. Hashes have 64 bits: two different shingles of a pair of
 documents agree with a probability below 1e-12, which is the only inexactness. Other columns
 pass through ``deduplicated`` and are not read otherwise.
 """
@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from stintwise.llm.common import components, mix, slices, stored_table, text_buffer
+from stintwise.llm.common import mix, slices, stored_table, text_buffer
 from stintwise.llm.linkage import BROADCAST_IDS, linked
 
 WIDTH, PERCENT = 5, 75
@@ -107,7 +108,7 @@ def prefix(n: int) -> int:
 
 
 def slack(n: int) -> int:
-    return min(4 + n // 32, n - prefix(n))
+    return min(4 + n // 16, n - prefix(n))
 
 
 def least_shared(n: int) -> int:
@@ -178,6 +179,18 @@ def jaccard_distances(left: list, right: list) -> np.ndarray:
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if every.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = stored_table(every.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+                            .unionByName(every.where("doc_id is null")), "one_text_each")
+        found = components_of_keyed(docs)
+        known = every.select("doc_id").join(found.where("doc_id is not null"), "doc_id")
+        return known.unionByName(found.where("doc_id is null"))
+    return components_of_keyed(every)
+
+
+def components_of_keyed(docs: DataFrame) -> DataFrame:
+    """As ``components_of``, for documents whose doc_ids are distinct or null."""
     sets = stored_table(shingle_sets(docs), "sets")
     narrow = sets.select("doc_id", "n", "sum_a", "sum_b")
     known = narrow.where("doc_id is not null and n > 0").distinct()
@@ -191,27 +204,29 @@ def components_of(docs: DataFrame) -> DataFrame:
     held = stored_table(entries.join(shared, "k").join(first, F.col("doc_id") == F.col("id"))
                         .select("k", "id", "size", F.col("copies").alias("weight")).distinct(), "shared_keys")
     # Twice: drop keys with one holder, and list entries of documents that share too few.
-    sizes = F.col("size")
-    smallest = F.ceil(sizes * PERCENT / 100)
+    smallest = F.ceil(F.col("size") * PERCENT / 100)
     cut = smallest - F.ceil(smallest * PERCENT / 100) + 1
-    needed = 1 + F.least(4 + F.floor(smallest / 32), smallest - cut)
+    needed = 1 + F.least(4 + F.floor(smallest / 16), smallest - cut)
+
+    def shared_by_two(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "k")
+
     for _ in range(2):
-        again = held.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-        held = held.join(again, "k")
+        held = shared_by_two(held).drop("c")
         enough = held.where("k % 2 = 0").groupBy("id", "size").agg(F.count("*").alias("c")).where(F.col("c") >= needed) \
             .select(F.col("id").alias("fit"))
         held = stored_table(held.join(enough, F.col("id") == F.col("fit"), "left")
                             .where("fit is not null or k % 2 <> 0").drop("fit"), "shared_keys")
+    # Similar documents share the needed number; each may leave out half of it less one, its
+    # longest lists, and they still meet. That takes out what many unlike documents have in common.
+    order = W.partitionBy("id", F.col("k") % 2).orderBy(F.desc("c"), "k")
+    lean = shared_by_two(held).withColumn("place", F.row_number().over(order)) \
+        .where((F.col("k") % 2 != 0) | (F.col("place") > F.floor((needed - 1) / 2))).drop("c", "place")
+    held = stored_table(shared_by_two(stored_table(lean, "lean_keys")), "lean_keys")
     payload = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = linked(held.select("k", "id", "weight"), payload, prepared, jaccard_distances, 1 - PERCENT / 100)
 
-    # A document with several rows of different texts ties their sets together.
-    ties = members.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    joined = members.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    if ties.limit(1).count():
-        edges = joined.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
-        joined = components(edges).select(F.col("id").alias("doc_id"), "component")
-    per_doc = joined.groupBy("doc_id").agg(F.min("component").alias("component"))
+    per_doc = members.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
     return narrow.select("doc_id", F.col("n").alias("n_shingles")).join(per_doc, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

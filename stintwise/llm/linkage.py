@@ -25,34 +25,38 @@ from stintwise.llm.common import components, stored_table
 
 #: Items of a leader's group that go to one cell.
 BLOCK = 256
-#: Up to so many item ids (16 MB) the texts of the items to test are found by a broadcast.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids, or rows of a few numbers (50 MB), texts are found by a broadcast.
+BROADCAST_IDS = BROADCAST_ROWS = 1_000_000
 
 Prepare = Callable[[pa.Array], list]
 Distances = Callable[[list, list], np.ndarray]
 
 
-def only(payload: DataFrame, ids: DataFrame) -> DataFrame:
-    """The payload rows of the ids; the ids are broadcast only if they were counted to be few."""
-    return payload.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def with_text(payload: DataFrame, cells: DataFrame) -> DataFrame:
+    """The cells' items with their texts; the cells are broadcast only if they were counted to be few."""
+    return payload.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, "id")
 
 
 def tested(cells: DataFrame, prepare: Prepare, distances: Distances, limit: float, links_only: bool) -> DataFrame:
     """Test the left items of every cell against its right items: a, b, distance.
 
     ``cells`` has cell, side (0 left, 1 right), id, component, anchor (distance to the common
-    leader, or null) and text. Rows stream by in order, only a cell's left items are held.
+    leader, or null) and text. Rows stream by in order, only a cell's left items are held. An item
+    that the payload has more than once counts once.
     """
     parted = cells.repartition("cell").sortWithinPartitions("cell", "side", "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, held, before = None, [], None
         for whole in batches:
             for batch in (whole.slice(a, 1000) for a in range(0, whole.num_rows, 1000)):
                 ready = prepare(batch.column("text"))
                 names = [batch.column(c).to_pylist() for c in ("cell", "side", "id", "component", "anchor")]
                 pairs: list[tuple] = []
                 for item, cell, side, i, component, anchor in zip(ready, *names):
+                    if (cell, side, i) == before:
+                        continue  # the payload had the item more than once
+                    before = (cell, side, i)
                     if cell != current:
                         current, held = cell, []
                     if side == 0:
@@ -85,13 +89,12 @@ def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Dis
     sizes = pairs.groupBy("leader").agg(F.count("*").alias("n"))
     split = pairs.join(sizes, "leader").select("leader", "id", F.xxhash64("leader", F.pmod(
         F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).alias("cell"))
-    texts = stored_table(only(payload, pairs.select("id").union(pairs.select("leader")).distinct()), "texts")
     none = F.lit(None)
     members = split.select("cell", F.lit(1).alias("side"), "id")
     heads = split.select("cell", F.lit(0).alias("side"), F.col("leader").alias("id")).distinct()
-    first = stored_table(tested(members.unionByName(heads).join(texts, "id").select(
-        "cell", "side", "id", none.cast("long").alias("component"), none.cast("double").alias("anchor"), "text"),
-        prepare, distances, limit, False), "leader_tests")
+    cells = stored_table(members.unionByName(heads).select(
+        "cell", "side", "id", none.cast("long").alias("component"), none.cast("double").alias("anchor")), "cells")
+    first = stored_table(tested(with_text(payload, cells), prepare, distances, limit, False), "leader_tests")
     links = first.where(F.col("distance") <= limit).select("a", "b")
     found = components(links)
 
@@ -113,7 +116,8 @@ def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Dis
         .select(F.xxhash64("leader", row, "column").alias("cell"), F.lit(0).alias("side"), "id", "component", "anchor")
     right = rest.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))) \
         .select(F.xxhash64("leader", "row", column).alias("cell"), F.lit(1).alias("side"), "id", "component", "anchor")
-    more = stored_table(tested(left.unionByName(right).join(texts, "id"), prepare, distances, limit, True), "rest_links")
+    cells = stored_table(left.unionByName(right), "rest_cells")
+    more = stored_table(tested(with_text(payload, cells), prepare, distances, limit, True), "rest_links")
     if not more.limit(1).count():
         return found
     return components(links.unionByName(more.select("a", "b")))

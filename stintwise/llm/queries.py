@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import hnsw, jaccard, packing, quality, suffixes, topk, toxicity, urlfilter
+from stintwise.llm import hnsw, jaccard, linededup, packing, quality, suffixes, topk, toxicity, urlfilter
 from stintwise.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.scored(found, quality.learnt(found, labels, QUALITY_HELD_OUT)), QUALITY_HELD_OUT)
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
