@@ -64,7 +64,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of values[i] * BASE^i before every position, and the inverse powers: the hash of
     a stretch is the difference of its ends' sums times the inverse power of its start."""
-    size = 1 << max(22, int(len(values)).bit_length())
+    size = 1 << max(20, int(len(values)).bit_length())
     up, down = powers(size)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:len(values)], out=sums[1:], dtype=np.uint64)

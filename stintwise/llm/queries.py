@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm import hnsw, jaccard, linededup, packing, quality, suffixes, topk, toxicity, urlfilter
+from stintwise.llm import hnsw, jaccard, linededup, packing, pieces, quality, suffixes, topk, toxicity, urlfilter
 from stintwise.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,14 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(read_table(spark, sf_dir, "documents"))
 
 
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number of ids, their checksum, and whether decoding gives the text again."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = read_table(spark, sf_dir, "documents")
+    return pieces.round_trips(docs, path)
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))

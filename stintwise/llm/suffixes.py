@@ -13,26 +13,28 @@ An anchor more frequent than ``hot`` would fill a shard on its own. Its windows
 dealt by their own 128-bit hashes, combined before the shuffle: equal windows meet as counted
 rows, and the others are spread.
 
-Order of starts: doc_id, null first, then position. Rows that repeat a doc_id are ordered by
-text, exactly repeated rows are one document (each gets its result). Null texts are empty;
-texts shorter than ``length`` lose nothing. Other columns pass through ``without_repeats``.
+An anchor all of whose pieces are equal needs no sorting: its windows agree with no others.
+
+Order of starts: doc_id, null first, then position. Rows that repeat a doc_id are documents of
+their own, ordered by text; of exactly repeated rows one counts as the first. Null texts are
+empty; texts shorter than ``length`` lose nothing. Other columns pass through
+``without_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from stintwise.llm.common import mix, slices, stored_table, text_buffer
 from stintwise.llm.induce import sorted_suffixes
 from stintwise.llm.jaccard import prefix_sums
-from stintwise.llm.linkage import BROADCAST_IDS
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES = 4_000_000
@@ -40,7 +42,7 @@ HOT = 50_000
 #: Bytes of one text whose windows are found at a time; 24 bits hold a position among them.
 STRETCH = 8_000_000
 #: Piece bytes that a task remembers to count equal pieces once.
-REMEMBERED = 32_000_000
+REMEMBERED = 16_000_000
 
 _byte = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -87,66 +89,71 @@ def stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, sub, doc_id, text): a distinct document's order key. ``sub`` counts texts of one doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    doc = F.coalesce("doc_id", F.lit(-2 ** 63)).alias("doc")
-    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return rows.select(doc, F.lit(0).alias("sub"), "doc_id", "text")
-    sub = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
-    return stored_table(rows.distinct().select(doc, sub.alias("sub"), "doc_id", "text"), "numbered")
+    """(doc, row): a number that orders the documents, and all columns as a struct.
+
+    The doc_id itself where that is a key. Otherwise a number that rises along the rows sorted
+    by doc_id and text, stored so that it stays.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    doc_id = F.col("row.doc_id").cast("long")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1 or doc_id is null").limit(1).count():
+        return rows.select(doc_id.alias("doc"), "row")
+    sorted_rows = rows.orderBy(doc_id.asc_nulls_first(), F.coalesce("row.text", F.lit("")))
+    return stored_table(sorted_rows.select(F.monotonically_increasing_id().alias("doc"), "row"), "numbered")
 
 
 def runs_of(rows: DataFrame, length: int) -> DataFrame:
-    """doc, sub, key, low, high for every run of windows."""
+    """doc, key and span (first window * 256 + further windows) for every run of windows."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds, at in stretches(batches, length):
             of, low, high, key = runs(data, bounds, length)
-            take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), batch.column("sub").take(take), pa.array(key.view(np.int64)),
-                 pa.array((low + at).astype(np.int32)), pa.array((high + at).astype(np.int32))],
-                ["doc", "sub", "key", "low", "high"])
+                [batch.column("doc").take(pa.array(of)), pa.array(key.view(np.int64)), pa.array((low + at) * 256 + high - low)],
+                ["doc", "key", "span"])
 
-    return rows.select("doc", "sub", "text").mapInArrow(find, "doc long, sub int, key long, low int, high int")
+    return rows.select("doc", F.col("row.text").alias("text")).mapInArrow(find, "doc long, key long, span long")
 
 
-PIECES = "key long, piece binary, doc long, sub int, low int"
+def texts_of(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with a ``row`` struct, and their text buffers."""
+    flat = pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field("text")], [*batch.schema.names, "text"])
+    for part in slices(iter([flat]), "text", most):
+        yield part, *text_buffer(part.column("text"))
 
 
 def cut_pieces(rows: DataFrame, length: int) -> DataFrame:
-    """The pieces of text of every document's runs, equal ones of a task once, with the earliest start.
+    """key, piece, doc and low of all runs; equal pieces of a task once, with the earliest start.
 
-    ``rows``: doc, sub, text and an array of (key, low, high).
+    ``rows``: doc, row and runs, an array of (key, span).
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
         size = 0
 
         def out() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            columns = zip(*((k, p, *v) for (k, p), v in seen.items()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                              ["key", "piece", "doc", "sub", "low"])
+            columns = zip(*((*name, *start) for name, start in seen.items()))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "piece", "doc", "low"])
 
         for whole in batches:
-            for batch in slices(iter([whole]), "text"):
-                data, bounds = text_buffer(batch.column("text"))
+            for batch, data, bounds in texts_of(whole):
                 raw = data.tobytes()
-                docs, subs = batch.column("doc").to_pylist(), batch.column("sub").to_pylist()
                 lists = batch.column("runs")
                 flat = lists.flatten()
-                keys, lows, highs = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("key", "low", "high"))
+                keys = flat.field("key").to_numpy(zero_copy_only=False).tolist()
+                spans = flat.field("span").to_numpy(zero_copy_only=False)
+                lows, ends = (spans >> 8).tolist(), ((spans >> 8) + (spans & 255) + length).tolist()
                 at = 0
-                for doc, sub, base, n in zip(docs, subs, bounds.tolist(), lists.value_lengths().to_pylist()):
-                    for key, low, high in zip(keys[at:at + n], lows[at:at + n], highs[at:at + n]):
-                        name = (key, raw[base + low:base + high + length])
-                        start = (doc, sub, low)
+                for doc, base, n in zip(batch.column("doc").to_pylist(), bounds.tolist(), lists.value_lengths().to_pylist()):
+                    for key, low, end in zip(keys[at:at + n], lows[at:at + n], ends[at:at + n]):
+                        name = (key, raw[base + low:base + end])
                         known = seen.get(name)
                         if known is None:
-                            seen[name] = start
+                            seen[name] = (doc, low)
                             size += len(name[1])
-                        elif start < known:
-                            seen[name] = start
+                        elif (doc, low) < known:
+                            seen[name] = (doc, low)
                     at += n
                 if size > REMEMBERED:
                     yield out()
@@ -155,158 +162,159 @@ def cut_pieces(rows: DataFrame, length: int) -> DataFrame:
         if seen:
             yield out()
 
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(cut, "key long, piece binary, doc long, low long")
+
+
+def first_windows(doc: np.ndarray, low: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int,
+                  memory: int) -> np.ndarray:
+    """Which windows of the pieces, end to end, start nowhere earlier; by sorting the pieces' suffixes."""
+    sizes = np.diff(bounds)
+    n = len(sizes)
+    # Symbols are bytes from 1 on, 0 after every piece.
+    text = np.zeros(len(data) + n, np.uint16)
+    starts = bounds[:-1] + np.arange(n)
+    text[np.arange(len(data)) + np.repeat(np.arange(n), sizes)] = data.astype(np.uint16) + 1
+    piece_at = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+    by_rank = np.lexsort((low, doc))
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    windows = sizes - length + 1
+    window_at = np.concatenate([[0], np.cumsum(windows)])
+    kept = np.zeros(window_at[-1], bool)
+
+    def keep(order: np.ndarray) -> None:
+        kept[window_at[by_rank[order >> 8]] + (order & 255)] = True
+
+    carry = -1  # the earliest start of the group that the last block ended in
+    for positions, shared in sorted_suffixes(text, length, memory):
+        piece = piece_at[positions]
+        at = positions - starts[piece]
+        cut = np.cumsum(shared < length)
+        valid = at < windows[piece]
+        order, group = (rank[piece] * 256 + at)[valid], cut[valid]
+        if carry >= 0:
+            if len(group) and group[0] == 0:
+                order, group = np.append(carry, order), np.append(0, group)
+            elif cut[-1]:
+                keep(np.array([carry]))
+            else:
+                continue
+        carry = -1
+        if not len(order):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.minimum.reduceat(order, begins)
+        if group[-1] == cut[-1]:
+            carry, least = int(least[-1]), least[:-1]
+        keep(least)
+    if carry >= 0:
+        keep(np.array([carry]))
+    return kept
 
 
 def shard_firsts(pieces: DataFrame, length: int, memory: int) -> DataFrame:
-    """doc, sub, low, high of the runs of windows that start nowhere earlier; a partition is a shard."""
-    def first_of(doc: np.ndarray, sub: np.ndarray, low: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        sizes = np.diff(bounds)
-        n = len(sizes)
-        # Symbols are bytes from 1 on, 0 after every piece.
-        text = np.zeros(len(data) + n, np.uint16)
-        starts = bounds[:-1] + np.arange(n)
-        text[np.arange(len(data)) + np.repeat(np.arange(n), sizes)] = data.astype(np.uint16) + 1
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((low, sub, doc))] = np.arange(n)
-        windows = sizes - length + 1
-        window_at = np.concatenate([[0], np.cumsum(windows)])
-        kept = np.zeros(window_at[-1], bool)
-        carry = np.zeros(0, np.int64)
-        big = np.int64(int(windows.max(initial=1)) + 1)
-
-        def settle(group: np.ndarray) -> None:
-            best = int(group.min())
-            piece, at = divmod(best, int(big))
-            kept[window_at[by_rank[piece]] + at] = True
-
-        by_rank = np.argsort(rank)
-        for positions, shared in sorted_suffixes(text, length, memory):
-            piece = np.searchsorted(starts, positions, side="right") - 1
-            at = positions - starts[piece]
-            valid = at < windows[piece]
-            cut = np.cumsum(shared < length)
-            order = (rank[piece] * big + at)[valid]
-            group = cut[valid]
-            if not len(order):
-                # No window here: a group that goes on afterwards would share these prefixes.
-                if len(cut) and cut[-1] and len(carry):
-                    settle(carry)
-                    carry = np.zeros(0, np.int64)
-                continue
-            if len(carry):
-                if group[0] == 0:
-                    order, group = np.append(carry.min(), order), np.append(0, group)
-                else:
-                    settle(carry)
-            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            least = np.minimum.reduceat(order, begins)
-            # The last group may go on in the next block.
-            done = least[:-1]
-            kept[window_at[by_rank[done // big]] + done % big] = True
-            carry = least[-1:] if group[-1] == cut[-1] else np.zeros(0, np.int64)
-            if not len(carry):
-                settle(least[-1:])
-        if len(carry):
-            settle(carry)
-        edge = np.diff(np.concatenate([[0], kept.astype(np.int8), [0]]))
-        edge_starts = np.zeros(len(kept) + 1, bool)
-        edge_starts[window_at] = True
-        # Runs of kept windows, cut where pieces meet.
-        inner = np.flatnonzero(kept[1:] & kept[:-1] & edge_starts[1:-1]) + 1
-        begin = np.sort(np.concatenate([np.flatnonzero(edge == 1), inner]))
-        end = np.sort(np.concatenate([np.flatnonzero(edge == -1), inner])) - 1
-        of = np.searchsorted(window_at, begin, side="right") - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[of]), pa.array(sub[of].astype(np.int32)),
-             pa.array((low[of] + begin - window_at[of]).astype(np.int32)),
-             pa.array((low[of] + end - window_at[of]).astype(np.int32))], ["doc", "sub", "low", "high"])
-
+    """doc, low, high of the runs of windows that start nowhere earlier; a partition is a shard."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple[int, int, int]] = {}
+        best: dict[tuple[int, bytes], tuple[int, int]] = {}
         for batch in batches:
-            starts = zip(*(batch.column(c).to_pylist() for c in ("doc", "sub", "low")))
-            for piece, start in zip(batch.column("piece").to_pylist(), starts):
-                known = best.get(piece)
-                if known is None or start < known:
-                    best[piece] = start
-        if best:
-            doc, sub, low = (np.array(c, np.int64) for c in zip(*best.values()))
-            data = np.frombuffer(b"".join(best), np.uint8)
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in best])])
-            del best
-            yield first_of(doc, sub, low, data, bounds)
-
-    return pieces.mapInArrow(rows, "doc long, sub int, low int, high int")
+            for *name, doc, low in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "doc", "low"))):
+                name = tuple(name)
+                known = best.get(name)
+                if known is None or (doc, low) < known:
+                    best[name] = (doc, low)
+        if not best:
+            return
+        kinds = Counter(key for key, _ in best)
+        alone = [(doc, low, low + len(piece) - length) for (key, piece), (doc, low) in best.items() if kinds[key] == 1]
+        doc, low, high = (np.array(c, np.int64) for c in (zip(*alone) if alone else ((), (), ())))
+        several = [(piece, start) for (key, piece), start in best.items() if kinds[key] > 1]
+        del best, alone, kinds
+        if several:
+            own_doc, own_low = (np.array(c, np.int64) for c in zip(*(start for _, start in several)))
+            bounds = np.concatenate([[0], np.cumsum([len(p) for p, _ in several])])
+            data = np.frombuffer(b"".join(p for p, _ in several), np.uint8)
+            del several
+            kept = first_windows(own_doc, own_low, data, bounds, length, memory)
+            window_at = np.concatenate([[0], np.cumsum(np.diff(bounds) - length + 1)])
+            # Runs of kept windows, cut where pieces meet.
+            edge = np.zeros(len(kept) + 1, bool)
+            edge[window_at] = True
+            begin = np.flatnonzero(kept & np.concatenate([[True], ~kept[:-1] | edge[1:-1]]))
+            end = np.flatnonzero(kept & np.concatenate([~kept[1:] | edge[1:-1], [True]]))
+            of = np.searchsorted(window_at, begin, side="right") - 1
+            doc, low, high = (np.concatenate(pair) for pair in (
+                (doc, own_doc[of]), (low, own_low[of] + begin - window_at[of]), (high, own_low[of] + end - window_at[of])))
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low), pa.array(high)], ["doc", "low", "high"])
+
+    return pieces.mapInArrow(rows, "doc long, low long, high long")
 
 
 def hot_firsts(rows: DataFrame, length: int) -> DataFrame:
     """As ``shard_firsts`` for frequent anchors: windows by their hashes, combined before the shuffle."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole]), "text"):
-                data, bounds = text_buffer(batch.column("text"))
+            for batch, data, bounds in texts_of(whole):
                 raw = data.tobytes()
                 out: list[tuple] = []
-                for doc, sub, base, found in zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(),
-                                                 bounds.tolist(), batch.column("runs").to_pylist()):
+                for doc, base, found in zip(batch.column("doc").to_pylist(), bounds.tolist(), batch.column("runs").to_pylist()):
                     for run in found:
-                        for at in range(run["low"], run["high"] + 1):
+                        for at in range(run["span"] >> 8, (run["span"] >> 8) + (run["span"] & 255) + 1):
                             name = hashlib.blake2b(raw[base + at:base + at + length], digest_size=16).digest()
-                            out.append((name, doc, sub, at))
+                            out.append((name, doc, at))
                 if out:
-                    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                                     ["name", "doc", "sub", "low"])
+                    kinds = (pa.binary(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["name", "doc", "low"])
+
+    return rows.mapInArrow(windows, "name binary, doc long, low long").groupBy("name").agg(
+        F.min(F.struct("doc", "low")).alias("first")).select("first.*", F.col("first.low").alias("high"))
 
-    return rows.mapInArrow(windows, "name binary, doc long, sub int, low int").groupBy("name").agg(
-        F.min(F.struct("doc", "sub", "low")).alias("first")).select("first.*", F.col("first.low").alias("high"))
 
+def with_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, memory: int = 4_000_000,
+               shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Every row as a struct, with the starts and ends of the spans to remove (null if there are none).
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, memory: int = 4_000_000,
-                   shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and for those that lose bytes doc, sub and arrays of span starts and ends."""
+    The texts are shuffled once: the pieces and the result are made from one exchange by
+    document, as both read the same columns of it.
+    """
     rows = keyed(docs)
     found = runs_of(rows, length)
     shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = stored_table(found.join(shared, "key"), "shared_runs")
-    by_doc = held.groupBy("doc", "sub").agg(
-        F.collect_list(F.when(F.col("n") <= hot, F.struct("key", "low", "high"))).alias("runs"),
-        F.collect_list(F.when(F.col("n") > hot, F.struct("key", "low", "high"))).alias("hot_runs"))
-    by_doc = stored_table(by_doc, "runs_by_doc")
-    few = by_doc.count() <= BROADCAST_IDS
-    ids = by_doc.select("doc", "sub")
-    texts = rows.select("doc", "sub", "text").join(F.broadcast(ids) if few else ids, ["doc", "sub"], "left_semi")
-    total, any_hot = held.agg(F.sum(F.when(F.col("n") <= hot, F.col("high") - F.col("low") + length)),
-                              F.max(F.col("n") > hot)).first()
+    run = F.struct("key", "span")
+    by_doc = stored_table(found.join(shared, "key").groupBy("doc").agg(
+        F.collect_list(F.when(F.col("n") <= hot, run)).alias("runs"),
+        F.collect_list(F.when(F.col("n") > hot, run)).alias("hot_runs")), "runs_by_doc")
+    total, any_hot = by_doc.agg(
+        F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + F.pmod(r["span"], F.lit(256)) + length)),
+        F.max(F.size("hot_runs") > 0)).first()
     shards = max(1, -(-(total or 0) // shard_bytes))
-    with_text = texts.join(by_doc, ["doc", "sub"])
-    pieces = cut_pieces(with_text.select("doc", "sub", "text", "runs"), length)
-    firsts = shard_firsts(pieces.repartition(shards, "key"), length, memory)
+    firsts = shard_firsts(cut_pieces(rows.join(by_doc.select("doc", "runs"), "doc"), length)
+                          .repartition(shards, "key"), length, memory)
     if any_hot:
-        firsts = firsts.unionByName(hot_firsts(with_text.where("size(hot_runs) > 0").select(
-            "doc", "sub", "text", F.col("hot_runs").alias("runs")), length))
-    firsts = stored_table(firsts, "firsts").groupBy("doc", "sub").agg(F.collect_list(F.struct("low", "high")).alias("firsts"))
-    whole = by_doc.select("doc", "sub", F.concat("runs", "hot_runs").alias("runs")).join(firsts, ["doc", "sub"], "left")
+        firsts = firsts.unionByName(hot_firsts(rows.join(
+            by_doc.where("size(hot_runs) > 0").select("doc", F.col("hot_runs").alias("runs")), "doc"), length))
+    firsts = firsts.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("firsts"))
+    whole = by_doc.select("doc", F.transform(F.concat("runs", "hot_runs"), lambda r: r["span"]).alias("spans")) \
+        .join(firsts, "doc", "left")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
-            for every, kept in zip(batch.column("runs").to_pylist(), batch.column("firsts").to_pylist()):
-                a, b = removed(every, kept or [], length)
+            for every, kept in zip(batch.column("spans").to_pylist(), batch.column("firsts").to_pylist()):
+                a, b = removed([(s >> 8, (s >> 8) + (s & 255)) for s in every],
+                               [(r["low"], r["high"]) for r in kept or []], length)
                 starts.append(a)
                 ends.append(b)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("sub"), pa.array(starts, kind), pa.array(ends, kind)],
-                                             ["doc", "sub", "starts", "ends"])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(starts, kind), pa.array(ends, kind)],
+                                             ["doc", "starts", "ends"])
 
-    return rows, whole.mapInArrow(spans, "doc long, sub int, starts array<int>, ends array<int>").where("size(starts) > 0")
+    gone = whole.mapInArrow(spans, "doc long, starts array<long>, ends array<long>").where("size(starts) > 0")
+    return rows.join(gone, "doc", "left").select("row", "starts", "ends")
 
 
-def removed(every: list[dict], kept: list[dict], length: int) -> tuple[list[int], list[int]]:
-    """Maximal stretches covered by the windows of ``every`` run that no run of ``kept`` holds."""
-    windows = sorted((r["low"], r["high"]) for r in every)
-    stay = sorted((r["low"], r["high"]) for r in kept)
+def removed(every: list[tuple[int, int]], kept: list[tuple[int, int]], length: int) -> tuple[list[int], list[int]]:
+    """Maximal stretches covered by the windows of ``every`` run (first, last) that no run of ``kept`` holds."""
+    stay = sorted(kept)
     starts: list[int] = []
     ends: list[int] = []
 
@@ -318,7 +326,7 @@ def removed(every: list[dict], kept: list[dict], length: int) -> tuple[list[int]
             ends.append(high + length)
 
     k = 0
-    for low, high in windows:
+    for low, high in sorted(every):
         while k < len(stay) and stay[k][0] <= high:
             if stay[k][0] > low:
                 cover(low, stay[k][0] - 1)
@@ -336,74 +344,38 @@ def rest_of(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, spans = repeated_spans(docs, length, **limits)
-    spans = stored_table(spans, "spans")
-    ids = spans.select("doc", "sub")
-    few = ids.count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids
-
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "sub", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, a, b in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(),
+            for text, a, b in zip(batch.column("row").field("text").to_pylist(), batch.column("starts").to_pylist(),
                                   batch.column("ends").to_pylist()):
-                raw = text.encode()
+                raw, a, b = (text or "").encode(), a or [], b or []
                 for store, v in zip(out, (len(raw), sum(b) - sum(a), len(a), hashlib.sha256(rest_of(raw, a, b)).hexdigest())):
                     store.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("sub"), batch.column("doc_id"),
-                                              *(pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.string(),)))], names)
-
-    schema = "doc long, sub int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut = rows.join(ids, ["doc", "sub"], "left_semi").join(spans, ["doc", "sub"]) \
-        .select("doc", "sub", "doc_id", "text", "starts", "ends").mapInArrow(digest, schema)
-    plain = rows.join(ids, ["doc", "sub"], "left_anti").select(
-        "doc", "sub", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    found = cut.unionByName(plain)
-    if "numbered" not in "".join(rows.inputFiles()[:1]):
-        return found.drop("doc", "sub")
-    copies = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("doc"),
-                          F.coalesce("text", F.lit("")).alias("text")).count()
-    times = copies.join(rows, ["doc", "text"]).select("doc", "sub", "count")
-    return found.join(times, ["doc", "sub"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))) \
-        .drop("doc", "sub", "count", "copy")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").field("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.string(),)))],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, **limits).mapInArrow(
+        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """The documents, other columns as they are, with the repeated bytes cut out of their texts.
 
     A cut inside a character drops the bytes of it that stay. n_chars, where it is a column, is
-    made anew. Exactly repeated rows all keep what the first one keeps.
+    made anew for the texts that changed.
     """
-    rows, spans = repeated_spans(docs, length, **limits)
-    spans = stored_table(spans, "spans")
-    if "numbered" in "".join(rows.inputFiles()[:1]):
-        spans = spans.join(rows, ["doc", "sub"]).select("doc", F.col("text").alias("whole"), "starts", "ends")
-    else:
-        spans = spans.select("doc", F.lit(None).cast("string").alias("whole"), "starts", "ends")
-    ids = spans.select("doc").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids
-    names = docs.columns
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63))
-    # The parts' names can't clash with the columns': the documents travel as one struct.
-    row = docs.select(doc.alias("doc"), F.struct(*[F.col(c) for c in names]).alias("row"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None or a is None else rest_of(t.encode(), a, b).decode(errors="ignore") for t, a, b in zip(
-                batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
-
-    touched = row.join(ids, "doc", "left_semi").join(
-        spans, (row.doc == spans.doc) & (spans.whole.isNull() | (spans.whole == row.row.text)), "left") \
-        .select("row", F.col("row.text").alias("text"), "starts", "ends")
-    kind = row.schema["row"].dataType.simpleString()
-    done = touched.mapInArrow(cut, f"row {kind}, kept string")
-    text = F.coalesce("kept", "row.text")
-    made = {"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(
-        F.length("kept").cast("long")) if "n_chars" in names else None}
-    done = done.select(*[(made.get(c) if made.get(c) is not None else F.col("row").getField(c)).alias(c) for c in names])
-    plain = row.join(ids, "doc", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in names])
-    return done.unionByName(plain)
+            texts = [t if t is None or a is None else rest_of(t.encode(), a, b).decode(errors="ignore") for t, a, b in zip(
+                batch.column("row").field("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
+            changed = batch.column("starts").is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), changed], ["row", "kept", "changed"])
+
+    kind = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).schema["row"].dataType.simpleString()
+    done = with_spans(docs, length, **limits).mapInArrow(cut, f"row {kind}, kept string, changed boolean")
+    made = {"text": F.col("kept"),
+            "n_chars": F.when(F.col("changed"), F.length("kept").cast("long")).otherwise(F.col("row").getField("n_chars"))
+            if "n_chars" in docs.columns else None}
+    return done.select(*[(made[c] if made.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
