@@ -108,7 +108,7 @@ def prefix(n: int) -> int:
 
 
 def slack(n: int) -> int:
-    return min(4 + n // 16, n - prefix(n))
+    return min(4 + n // 10, n - prefix(n))
 
 
 def least_shared(n: int) -> int:
@@ -206,7 +206,7 @@ def components_of_keyed(docs: DataFrame) -> DataFrame:
     # Twice: drop keys with one holder, and list entries of documents that share too few.
     smallest = F.ceil(F.col("size") * PERCENT / 100)
     cut = smallest - F.ceil(smallest * PERCENT / 100) + 1
-    needed = 1 + F.least(4 + F.floor(smallest / 16), smallest - cut)
+    needed = 1 + F.least(4 + F.floor(smallest / 10), smallest - cut)
 
     def shared_by_two(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "k")
@@ -217,11 +217,12 @@ def components_of_keyed(docs: DataFrame) -> DataFrame:
             .select(F.col("id").alias("fit"))
         held = stored_table(held.join(enough, F.col("id") == F.col("fit"), "left")
                             .where("fit is not null or k % 2 <> 0").drop("fit"), "shared_keys")
-    # Similar documents share the needed number; each may leave out half of it less one, its
-    # longest lists, and they still meet. That takes out what many unlike documents have in common.
+    # Similar documents share the needed number of lists. In one order of all lists, by length,
+    # each may leave out all but one of as many of its last: what a pair loses was left out by the
+    # one that leaves out more, so a list in common stays. That takes out what unlike texts share.
     order = W.partitionBy("id", F.col("k") % 2).orderBy(F.desc("c"), "k")
     lean = shared_by_two(held).withColumn("place", F.row_number().over(order)) \
-        .where((F.col("k") % 2 != 0) | (F.col("place") > F.floor((needed - 1) / 2))).drop("c", "place")
+        .where((F.col("k") % 2 != 0) | (F.col("place") >= needed)).drop("c", "place")
     held = stored_table(shared_by_two(stored_table(lean, "lean_keys")), "lean_keys")
     payload = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = linked(held.select("k", "id", "weight"), payload, prepared, jaccard_distances, 1 - PERCENT / 100)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stintwise.llm.common import components, stored_table
 
 #: Items of a leader's group that go to one cell.
-BLOCK = 256
+BLOCK = 512
 #: Up to so many ids, or rows of a few numbers (50 MB), texts are found by a broadcast.
 BROADCAST_IDS = BROADCAST_ROWS = 1_000_000
 
@@ -49,7 +49,7 @@ def tested(cells: DataFrame, prepare: Prepare, distances: Distances, limit: floa
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, before = None, [], None
         for whole in batches:
-            for batch in (whole.slice(a, 1000) for a in range(0, whole.num_rows, 1000)):
+            for batch in (whole.slice(a, 500) for a in range(0, whole.num_rows, 500)):
                 ready = prepare(batch.column("text"))
                 names = [batch.column(c).to_pylist() for c in ("cell", "side", "id", "component", "anchor")]
                 pairs: list[tuple] = []
