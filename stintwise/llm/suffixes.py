@@ -9,9 +9,9 @@ once, and every shard is sorted by external induced sorting (``induce``), which
 the common-prefix lengths: neighbours that share ``length`` bytes are one window, of which the
 earliest start stays and all others go.
 
-An anchor more frequent than ``hot`` would fill a shard on its own. Its windows are then
-dealt by their own 128-bit hashes, combined before the shuffle: equal windows meet as counted
-rows, and the others are spread.
+An anchor more frequent than ``hot`` would fill a shard on its own. Its windows become pieces
+of their own, dealt by their own hashes and counted once per task: equal ones meet, the others
+are spread.
 
 An anchor all of whose pieces are equal needs no sorting: its windows agree with no others.
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ HOT = 50_000
 #: Bytes of one text whose windows are found at a time; 24 bits hold a position among them.
 STRETCH = 8_000_000
 #: Piece bytes that a task remembers to count equal pieces once.
-REMEMBERED = 16_000_000
+REMEMBERED = 40_000_000
 
 _byte = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -115,17 +116,32 @@ def runs_of(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc", F.col("row.text").alias("text")).mapInArrow(find, "doc long, key long, span long")
 
 
-def texts_of(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with a ``row`` struct, and their text buffers."""
-    flat = pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field("text")], [*batch.schema.names, "text"])
-    for part in slices(iter([flat]), "text", most):
-        yield part, *text_buffer(part.column("text"))
+def packed(rows: DataFrame) -> DataFrame:
+    """(doc, rest, text): the other columns as a struct, the text compressed for the shuffle."""
+    rest = F.struct(*[F.col("row").getField(f.name).alias(f.name) for f in rows.schema["row"].dataType if f.name != "text"])
+    flat = rows.select("doc", rest.alias("rest"), F.col("row.text").alias("text"))
+    kind = flat.schema["rest"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            text = [None if t is None else compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rest"), pa.array(text, pa.binary())],
+                                             ["doc", "rest", "text"])
+
+    return flat.mapInArrow(pack, f"doc long, rest {kind}, text binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes | None]:
+    expand = zstandard.ZstdDecompressor().decompress
+    for text in column.to_pylist():
+        yield None if text is None else expand(text)
 
 
 def cut_pieces(rows: DataFrame, length: int) -> DataFrame:
     """key, piece, doc and low of all runs; equal pieces of a task once, with the earliest start.
 
-    ``rows``: doc, row and runs, an array of (key, span).
+    ``rows``: doc, rest, text and runs, an array of (key, span, hot).
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], tuple[int, int]] = {}
@@ -136,25 +152,27 @@ def cut_pieces(rows: DataFrame, length: int) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "piece", "doc", "low"])
 
-        for whole in batches:
-            for batch, data, bounds in texts_of(whole):
-                raw = data.tobytes()
-                lists = batch.column("runs")
-                flat = lists.flatten()
-                keys = flat.field("key").to_numpy(zero_copy_only=False).tolist()
-                spans = flat.field("span").to_numpy(zero_copy_only=False)
-                lows, ends = (spans >> 8).tolist(), ((spans >> 8) + (spans & 255) + length).tolist()
-                at = 0
-                for doc, base, n in zip(batch.column("doc").to_pylist(), bounds.tolist(), lists.value_lengths().to_pylist()):
-                    for key, low, end in zip(keys[at:at + n], lows[at:at + n], ends[at:at + n]):
-                        name = (key, raw[base + low:base + end])
-                        known = seen.get(name)
+        for batch in batches:
+            lists = batch.column("runs")
+            flat = lists.flatten()
+            spans = flat.field("span").to_numpy(zero_copy_only=False)
+            keys = flat.field("key").to_numpy(zero_copy_only=False).tolist()
+            lows, ends = (spans >> 8).tolist(), ((spans >> 8) + (spans & 255) + length).tolist()
+            hots = flat.field("hot").to_numpy(zero_copy_only=False).tolist()
+            at = 0
+            for doc, raw, n in zip(batch.column("doc").to_pylist(), unpacked(batch.column("text")), lists.value_lengths().to_pylist()):
+                for key, low, end, hot in zip(keys[at:at + n], lows[at:at + n], ends[at:at + n], hots[at:at + n]):
+                    names = [(key, raw[low:end], low)] if not hot else [
+                        (int.from_bytes(hashlib.blake2b(raw[k:k + length], digest_size=8).digest(), "little", signed=True),
+                         raw[k:k + length], k) for k in range(low, end - length + 1)]
+                    for name, piece, begin in names:
+                        known = seen.get((name, piece))
                         if known is None:
-                            seen[name] = (doc, low)
-                            size += len(name[1])
-                        elif (doc, low) < known:
-                            seen[name] = (doc, low)
-                    at += n
+                            seen[name, piece] = (doc, begin)
+                            size += len(piece)
+                        elif (doc, begin) < known:
+                            seen[name, piece] = (doc, begin)
+                at += n
                 if size > REMEMBERED:
                     yield out()
                     seen.clear()
@@ -249,58 +267,31 @@ def shard_firsts(pieces: DataFrame, length: int, memory: int) -> DataFrame:
     return pieces.mapInArrow(rows, "doc long, low long, high long")
 
 
-def hot_firsts(rows: DataFrame, length: int) -> DataFrame:
-    """As ``shard_firsts`` for frequent anchors: windows by their hashes, combined before the shuffle."""
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch, data, bounds in texts_of(whole):
-                raw = data.tobytes()
-                out: list[tuple] = []
-                for doc, base, found in zip(batch.column("doc").to_pylist(), bounds.tolist(), batch.column("runs").to_pylist()):
-                    for run in found:
-                        for at in range(run["span"] >> 8, (run["span"] >> 8) + (run["span"] & 255) + 1):
-                            name = hashlib.blake2b(raw[base + at:base + at + length], digest_size=16).digest()
-                            out.append((name, doc, at))
-                if out:
-                    kinds = (pa.binary(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["name", "doc", "low"])
-
-    return rows.mapInArrow(windows, "name binary, doc long, low long").groupBy("name").agg(
-        F.min(F.struct("doc", "low")).alias("first")).select("first.*", F.col("first.low").alias("high"))
-
-
 def with_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, memory: int = 4_000_000,
                shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Every row as a struct, with the starts and ends of the spans to remove (null if there are none).
+    """rest, text (see ``packed``) and the starts and ends of the spans to remove (null if there are none).
 
-    The texts are shuffled once: the pieces and the result are made from one exchange by
-    document, as both read the same columns of it.
+    The texts are shuffled once, compressed: the pieces and the result are made from one
+    exchange by document, as both read the same columns of it.
     """
     rows = keyed(docs)
     found = runs_of(rows, length)
     shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    run = F.struct("key", "span")
     by_doc = stored_table(found.join(shared, "key").groupBy("doc").agg(
-        F.collect_list(F.when(F.col("n") <= hot, run)).alias("runs"),
-        F.collect_list(F.when(F.col("n") > hot, run)).alias("hot_runs")), "runs_by_doc")
-    total, any_hot = by_doc.agg(
-        F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + F.pmod(r["span"], F.lit(256)) + length)),
-        F.max(F.size("hot_runs") > 0)).first()
+        F.collect_list(F.struct("key", "span", (F.col("n") > hot).alias("hot"))).alias("runs")), "runs_by_doc")
+    total = by_doc.agg(F.sum(F.aggregate(
+        "runs", F.lit(0).cast("long"), lambda t, r: t + F.pmod(r["span"], F.lit(256)) + length))).first()[0]
     shards = max(1, -(-(total or 0) // shard_bytes))
-    firsts = shard_firsts(cut_pieces(rows.join(by_doc.select("doc", "runs"), "doc"), length)
-                          .repartition(shards, "key"), length, memory)
-    if any_hot:
-        firsts = firsts.unionByName(hot_firsts(rows.join(
-            by_doc.where("size(hot_runs) > 0").select("doc", F.col("hot_runs").alias("runs")), "doc"), length))
-    firsts = firsts.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("firsts"))
-    whole = by_doc.select("doc", F.transform(F.concat("runs", "hot_runs"), lambda r: r["span"]).alias("spans")) \
-        .join(firsts, "doc", "left")
+    whole = packed(rows)
+    firsts = shard_firsts(cut_pieces(whole.join(by_doc, "doc"), length).repartition(shards, "key"), length, memory) \
+        .groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("firsts"))
+    every = by_doc.select("doc", F.transform("runs", lambda r: r["span"]).alias("spans")).join(firsts, "doc", "left")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
-            for every, kept in zip(batch.column("spans").to_pylist(), batch.column("firsts").to_pylist()):
-                a, b = removed([(s >> 8, (s >> 8) + (s & 255)) for s in every],
+            for all_, kept in zip(batch.column("spans").to_pylist(), batch.column("firsts").to_pylist()):
+                a, b = removed([(s >> 8, (s >> 8) + (s & 255)) for s in all_],
                                [(r["low"], r["high"]) for r in kept or []], length)
                 starts.append(a)
                 ends.append(b)
@@ -308,8 +299,8 @@ def with_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, memory: in
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(starts, kind), pa.array(ends, kind)],
                                              ["doc", "starts", "ends"])
 
-    gone = whole.mapInArrow(spans, "doc long, starts array<long>, ends array<long>").where("size(starts) > 0")
-    return rows.join(gone, "doc", "left").select("row", "starts", "ends")
+    gone = every.mapInArrow(spans, "doc long, starts array<long>, ends array<long>").where("size(starts) > 0")
+    return whole.join(gone, "doc", "left").select("rest", "text", "starts", "ends")
 
 
 def removed(every: list[tuple[int, int]], kept: list[tuple[int, int]], length: int) -> tuple[list[int], list[int]]:
@@ -347,16 +338,17 @@ def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, a, b in zip(batch.column("row").field("text").to_pylist(), batch.column("starts").to_pylist(),
-                                  batch.column("ends").to_pylist()):
-                raw, a, b = (text or "").encode(), a or [], b or []
+            for raw, a, b in zip(unpacked(batch.column("text")), batch.column("starts").to_pylist(),
+                                 batch.column("ends").to_pylist()):
+                raw, a, b = raw or b"", a or [], b or []
                 for store, v in zip(out, (len(raw), sum(b) - sum(a), len(a), hashlib.sha256(rest_of(raw, a, b)).hexdigest())):
                     store.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").field("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.string(),)))],
+                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.string(),)))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, **limits).mapInArrow(
+    return with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, **limits).select(
+        F.col("rest.doc_id").alias("doc_id"), "text", "starts", "ends").mapInArrow(
         digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -366,16 +358,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> Dat
     A cut inside a character drops the bytes of it that stay. n_chars, where it is a column, is
     made anew for the texts that changed.
     """
+    found = with_spans(docs, length, **limits)
+    kind = found.schema["rest"].dataType.simpleString()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or a is None else rest_of(t.encode(), a, b).decode(errors="ignore") for t, a, b in zip(
-                batch.column("row").field("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
-            changed = batch.column("starts").is_valid()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), changed], ["row", "kept", "changed"])
-
-    kind = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).schema["row"].dataType.simpleString()
-    done = with_spans(docs, length, **limits).mapInArrow(cut, f"row {kind}, kept string, changed boolean")
-    made = {"text": F.col("kept"),
-            "n_chars": F.when(F.col("changed"), F.length("kept").cast("long")).otherwise(F.col("row").getField("n_chars"))
-            if "n_chars" in docs.columns else None}
-    return done.select(*[(made[c] if made.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
+            texts = [None if raw is None else rest_of(raw, a or [], b or []).decode(errors="ignore") for raw, a, b in zip(
+                unpacked(batch.column("text")), batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), batch.column("starts").is_valid()],
+                                             ["rest", "kept", "changed"])
+
+    done = found.mapInArrow(cut, f"rest {kind}, kept string, changed boolean")
+    made = {c: F.col("rest").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in made:
+        made["n_chars"] = F.when(F.col("changed"), F.length("kept").cast("long")).otherwise(made["n_chars"])
+    return done.select(*[made[c].alias(c) for c in docs.columns])
