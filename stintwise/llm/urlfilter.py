@@ -44,7 +44,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
                      .select(F.length("path")).distinct().collect())
     kept = [c for c in pages.columns if c not in RESULT]
     host, path = split_url(F.col("url"))
-    seen = pages.select(*kept, host.alias("host"), path.alias("path"))
+    # The pages' own columns travel as a struct, where their names clash with nothing.
+    seen = pages.select(F.struct(F.lit(0).alias("-"), *kept).alias("row"), host.alias("host"), path.alias("path"))
 
     digest = F.sha2(F.concat("rule_host", "rule_path"), 256)
     known = rules.where("path is not null and host is not null").select(
@@ -66,5 +67,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("said")),
                  order).alias("best"))
     return seen.join(best, ["host", "path"], "left").select(
-        *kept, "host", "path", F.col("best.rule").alias("rule"),
+        *[F.col("row").getField(c).alias(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.said", F.lit(default)).alias("verdict"))
