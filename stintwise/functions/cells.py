@@ -12,10 +12,14 @@ TRUE_WORDS = ("1", "true", "yes")
 FALSE_WORDS = ("0", "false", "no")
 
 
+# Fixed value: decimal notation with an optional exponent, as a number in a text file may be written.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def finite(text: Column) -> Column:
-    """Text to double; null for blanks, non-numbers, NaN and infinities."""
-    number = F.trim(text).try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    """Decimal text to double; null for blanks, type suffixes, hexadecimals, NaN and infinities."""
+    number = F.when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double"))
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def loose_boolean(text: Column) -> Column:
@@ -35,8 +39,8 @@ def unsigned(text: Column) -> Column:
 
 
 def signed(text: Column) -> Column:
-    """Optional minus and digits, as long."""
-    return F.when(text.rlike("^-?[0-9]+$"), text.try_cast("long"))
+    """Optional sign and digits, as long."""
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long"))
 
 
 def concept_cell(text: Column, concept: str) -> Column:

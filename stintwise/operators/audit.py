@@ -257,7 +257,7 @@ def event_log(events: DataFrame, keys: list[str], sequence: str, kind: str, requ
     """Per bundle: is the sequence dense from zero, and does the required kind occur."""
     return events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"), F.min(sequence).alias("lowest"), F.max(sequence).alias("highest"),
-        F.count_distinct(sequence).alias("n_distinct"), F.bool_or(F.col(kind) == required).alias("has_required"),
+        F.count_distinct(sequence).alias("n_distinct"), F.coalesce(F.bool_or(F.col(kind) == required), F.lit(False)).alias("has_required"),
     ).withColumn("problem", F.when(
         (F.col("lowest") != 0) | (F.col("highest") != F.col("n_events") - 1)
         | (F.col("n_distinct") != F.col("n_events")), "sequence_not_dense").when(
@@ -361,7 +361,7 @@ def lap_set_agreement(laps: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if("is_reference").alias("references"),
         F.count_if(F.col("is_reference") | F.col("is_reviewed_lap")).alias("comparable"),
     ).withColumn("problem", F.when(F.col("reviewed") != 1, "reviewed_lap_count").when(
-        F.col("best") > 1, "best_lap_count"))
+        F.col("best") != 1, "best_lap_count"))
 
 
 def bind_blocks(laps: DataFrame, blocks: DataFrame, keys: list[str], lap_number: str) -> DataFrame:

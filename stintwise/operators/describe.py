@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stintwise.operators.audit import violations
 from stintwise.operators.quantiles import robust_summary
-from stintwise.operators.spread import UNKNOWN, Scale
+from stintwise.operators.spread import UNKNOWN, Scale, by_key
 from stintwise.schema import reading
 from stintwise.vocabulary import CONCEPT_UNITS, PROVENANCES
 
@@ -64,7 +64,7 @@ def descriptive_summary(
         F.count_if(field["provenance"] == "unavailable").alias("values_unavailable"),
     ).withColumn("values_included", F.col("field_present") - F.col("values_unavailable"))
     values = rows.select(*group_by, reading(concept).cast("double").alias("_v"))
-    return attrition.join(robust_summary(values, group_by, "_v", scale).drop("n_values"), group_by, "left")
+    return by_key(attrition, robust_summary(values, group_by, "_v", scale).drop("n_values"), group_by, "left")
 
 
 def event_yield(records: DataFrame, record_type: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, settle, split_cumulative
+from stintwise.operators.spread import UNKNOWN, Scale, by_key, lookup_join, settle, split_cumulative
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -100,14 +100,17 @@ def mad(df: DataFrame, keys: list[str], value: str, scale: Scale = UNKNOWN) -> D
             *keys, F.size("_vs").cast("long").alias("n"), "median", array_mad(F.col("_vs"), F.col("median")).alias("mad"))
     hist = settle(histogram(df, keys, value), scale)
     centre = settle(quantiles(hist, keys, value, {"median": 0.5}, scale), scale)
-    return centre.join(deviations(hist, keys, value, centre, "median", scale), keys)
+    return by_key(centre, deviations(hist, keys, value, centre, "median", scale), keys)
 
 
 def deviations(hist: DataFrame, keys: list[str], value: str, centre: DataFrame, centre_name: str,
                scale: Scale = UNKNOWN) -> DataFrame:
     """MAD of a histogram around a given per-key centre."""
+    # A null key is joined under a mark of its own, so that it too may be split.
+    marks = [f"_mark_{k}" for k in keys]
+    marked = [F.struct(F.col(k)).alias(m) for k, m in zip(keys, marks)]
     away = (
-        lookup_join(hist, centre.select(*keys, centre_name), keys, "inner", [F.col(value)], scale)
+        lookup_join(hist.select("*", *marked), centre.select(*marked, centre_name), marks, "inner", [F.col(value)], scale)
         .withColumn("_away", F.abs(F.col(value) - F.col(centre_name)))
         .groupBy(*keys, "_away").agg(F.sum("w").alias("w"))
     )
@@ -130,7 +133,7 @@ def robust_summary(df: DataFrame, keys: list[str], value: str, scale: Scale = UN
         (F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))
     cut = settle(quantiles(hist, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, scale), scale)
     return (
-        cut.withColumnRenamed("n", "n_values").join(plain, keys)
-        .join(deviations(hist, keys, value, cut, "median", scale), keys)
+        by_key(by_key(cut.withColumnRenamed("n", "n_values"), plain, keys),
+               deviations(hist, keys, value, cut, "median", scale), keys)
         .select(*keys, "n_values", "minimum", "maximum", "mean", "median", "q1", "q3", "mad")
     )

@@ -46,6 +46,19 @@ class Scale:
 UNKNOWN = Scale()
 
 
+def by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on ``keys`` with null equal to null, so that a null group is a group like any other.
+
+    ``small`` broadcasts the right side; it is for tables whose size the limit bounds.
+    """
+    renamed = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    joined = left.join(F.broadcast(renamed) if small else renamed, match, how)
+    return joined.drop(*[f"_same_{k}" for k in keys])
+
+
 def settle(df: DataFrame, scale: Scale) -> DataFrame:
     """End of a stage: beyond one task's worth of rows, write the result to the shared
     checkpoint folder so that the many readers after it do not redo the work before it."""
@@ -90,16 +103,16 @@ def lookup_join(
     """
     if scale.fits:
         return facts.join(table, on, how)
-    heavy = F.broadcast(heavy_keys(facts, on, scale.rows_per_task))
+    heavy = heavy_keys(facts, on, scale.rows_per_task)
     mix = F.xxhash64(*(spread or [F.col(c) for c in facts.columns if c not in on]))
     left = (
-        facts.join(heavy, on, "left")
+        by_key(facts, heavy, on, "left", small=True)
         .withColumn("_piece", F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
             F.pmod(mix, F.col("_pieces").cast("long")).cast("int")))
         .drop("_pieces")
     )
     right = (
-        table.join(heavy, on, "left")
+        by_key(table, heavy, on, "left", small=True)
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)))
         .drop("_pieces")
     )
@@ -118,7 +131,8 @@ def ordered_scan(
 
     ``carry`` maps an output name to (kind, expression) with kind one of ``last`` (last
     non-null), ``previous`` (the row before, null or not), ``max``, ``sum``. ``slot`` is a
-    non-decreasing function of the first order column. Keys under the limit are one window;
+    non-decreasing function of the first order column; where it is null, the rows come first,
+    as null does in the order. Keys under the limit are one window;
     a heavier key is scanned slot by slot and each slot starts from what the slots before it
     left behind, so no task holds more than one slot of one key.
     """
@@ -131,10 +145,11 @@ def ordered_scan(
             "sum": lambda e: F.sum(e).over(w),
         }
         return df.select("*", *[simple[kind](e).alias(name) for name, (kind, e) in carry.items()])
-    heavy = F.broadcast(heavy_keys(df, keys, scale.rows_per_task))
+    heavy = heavy_keys(df, keys, scale.rows_per_task)
+    first_slot = F.lit(-(2 ** 63)).cast("long")
     tagged = (
-        df.join(heavy, keys, "left")
-        .withColumn("_slot", F.when(F.col("_pieces").isNotNull(), slot.cast("long")))
+        by_key(df, heavy, keys, "left", small=True)
+        .withColumn("_slot", F.when(F.col("_pieces").isNotNull(), F.coalesce(slot.cast("long"), first_slot)))
         .drop("_pieces")
     )
     rank = F.struct(*order)
@@ -165,7 +180,7 @@ def ordered_scan(
         .select(*keys, "_slot", *prefix)
     )
     out = tagged.select("*", *[c.alias(f"_lo_{n}") for n, c in local.items()])
-    out = out.join(incoming, [*keys, "_slot"], "left")
+    out = by_key(out, incoming, [*keys, "_slot"], "left")
     final = []
     for name, (kind, _) in carry.items():
         here, there = F.col(f"_lo_{name}"), F.col(f"_in_{name}")
@@ -213,7 +228,7 @@ def split_cumulative(
     inner = F.size(F.filter(
         F.slice("_cuts", (F.col("_block") - 1) * F.col("_stride") + 1, F.col("_stride")), lambda h: h <= v))
     ranged = (
-        hist.join(F.broadcast(cuts), keys, "left")
+        by_key(hist, cuts, keys, "left", small=True)
         .withColumn("_block", F.when(F.col("_cuts").isNotNull(), block))
         .withColumn("_range", F.when(F.col("_block").isNull() | (F.col("_block") == 0), F.lit(0))
                     .otherwise((F.col("_block") - 1) * F.col("_stride") + inner))
@@ -232,13 +247,11 @@ def split_cumulative(
     )
     piece = Window.partitionBy(*keys, "_range")
     running = piece.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = (
-        ranged.select(
-            *hist.columns, "_range",
-            *[F.coalesce(F.sum(w).over(running), F.lit(0)).alias(f"_b_{w}") for w in weights],
-            *[F.sum(w).over(piece).alias(f"_p_{w}") for w in weights])
-        .join(F.broadcast(offsets), [*keys, "_range"], "left")
-    )
+    within = ranged.select(
+        *hist.columns, "_range",
+        *[F.coalesce(F.sum(w).over(running), F.lit(0)).alias(f"_b_{w}") for w in weights],
+        *[F.sum(w).over(piece).alias(f"_p_{w}") for w in weights])
+    out = by_key(within, offsets, [*keys, "_range"], "left", small=True)
     return out.select(
         *hist.columns,
         *[(F.col(f"_b_{w}") + F.coalesce(F.col(f"_o_{w}"), F.lit(0))).alias(f"{w}_before") for w in weights],

@@ -122,15 +122,17 @@ def c10(spark: SparkSession, sf: str) -> DataFrame:
 w AS (SELECT participant, event_id, event_id - lag(event_id) OVER (PARTITION BY participant ORDER BY micros, event_id) AS step FROM base),
 s AS (SELECT participant, count(*) AS n_rows, CAST(coalesce(sum(step - 1) FILTER (step > 0), 0) AS BIGINT) AS gaps,
              count(*) FILTER (step <= 0) AS not_increasing FROM w GROUP BY participant),
-d AS (SELECT participant, CAST(sum(n_rows) AS BIGINT) AS samples_written, CAST(150 * sum(n_rows) - sum(n_incidents) AS BIGINT) AS samples_dropped
-      FROM laps WHERE lap_number < 30 GROUP BY participant)
+d AS (SELECT participant, CAST(sum(n_rows) + CASE WHEN ascii(right(participant, 1)) % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS samples_written, CAST(150 * sum(n_rows) - sum(n_incidents) AS BIGINT) AS samples_dropped
+      FROM laps GROUP BY participant)
 SELECT participant, samples_written, samples_dropped, n_rows, gaps, not_increasing,
        CASE WHEN not_increasing > 0 THEN 'sequence_not_increasing' WHEN gaps > samples_dropped THEN 'gaps_exceed_declared_drops'
             WHEN samples_written IS DISTINCT FROM n_rows THEN 'row_count_mismatch' END AS problem
 FROM d FULL JOIN s USING (participant)""")
 def c11(spark: SparkSession, sf: str) -> DataFrame:
-    declared = laps(spark, sf).filter("lap_number < 30").groupBy("participant").agg(
-        F.sum("n_rows").alias("samples_written"),
+    # A third of the participants declare one sample too many.
+    excess = F.when(F.ascii(F.substring("participant", -1, 1)) % 3 == 0, 1).otherwise(0)
+    declared = laps(spark, sf).groupBy("participant").agg(
+        (F.sum("n_rows") + excess).alias("samples_written"),
         (F.sum("n_rows") * 150 - F.sum("n_incidents")).alias("samples_dropped"))
     return audit.capture_sequence(base_events(spark, sf), ["participant"], "event_id", ["micros", "event_id"],
                                   minute_slot(), declared, scale_of(sf))
@@ -229,7 +231,7 @@ def c19(spark: SparkSession, sf: str) -> DataFrame:
 SELECT participant, count(*) FILTER (is_reviewed_lap) AS reviewed, count(*) FILTER (is_best_valid_lap) AS best,
        count(*) FILTER (is_reference) AS "references", count(*) FILTER (is_reference OR is_reviewed_lap) AS comparable,
        CASE WHEN count(*) FILTER (is_reviewed_lap) <> 1 THEN 'reviewed_lap_count'
-            WHEN count(*) FILTER (is_best_valid_lap) > 1 THEN 'best_lap_count' END AS problem
+            WHEN count(*) FILTER (is_best_valid_lap) <> 1 THEN 'best_lap_count' END AS problem
 FROM lap_table GROUP BY participant""")
 def c20(spark: SparkSession, sf: str) -> DataFrame:
     return audit.lap_set_agreement(lap_table(spark, sf), ["participant"])
@@ -253,7 +255,7 @@ def _scan_sql(source: str, key: str, text: str, rules: tuple) -> str:
         for name, _, pattern in rules)
 
 
-SCANNED = audit.SECRET_RULES + audit.PRIVACY_RULES
+SCANNED = audit.SECRET_RULES + audit.PRIVACY_RULES + audit.IDENTIFIER_RULES
 
 
 @query("c22_text_scan_documents", _scan_sql("documents", "doc_id", "text", SCANNED))
@@ -261,9 +263,9 @@ def c22(spark: SparkSession, sf: str) -> DataFrame:
     return audit.scan_text(fan_out(table(spark, sf, "documents"), scale_of(sf, "documents"), "doc_id"), ["doc_id"], "text", SCANNED)
 
 
-@query("c22_text_scan_pages", _scan_sql("pages", "page_id", "html", SCANNED + audit.IDENTIFIER_RULES[:1]))
+@query("c22_text_scan_pages", _scan_sql("pages", "page_id", "html", SCANNED))
 def c22_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.scan_text(fan_out(table(spark, sf, "pages"), scale_of(sf, "pages"), "page_id"), ["page_id"], "html", SCANNED + audit.IDENTIFIER_RULES[:1])
+    return audit.scan_text(fan_out(table(spark, sf, "pages"), scale_of(sf, "pages"), "page_id"), ["page_id"], "html", SCANNED)
 
 
 @query("c23_file_policy", """

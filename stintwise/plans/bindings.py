@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,16 +69,15 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
 def _rows(sf_dir: str, name: str) -> int:
     return table(SparkSession.active(), sf_dir, name).count()
 
 
 def scale_of(sf_dir: str, name: str = "events") -> Scale:
-    """Row bound of a table, from the Parquet footers. Remembered per folder: an outdated
-    number can only pick a slower plan, never another result."""
+    """Row bound of a table, counted anew from the Parquet footers at every call."""
     per_task = SparkSession.active().conf.get("stintwise.rowsPerTask", None)
-    return Scale(_rows(sf_dir, name), int(per_task)) if per_task else Scale(_rows(sf_dir, name))
+    rows = _rows(sf_dir, name)
+    return Scale(rows, int(per_task)) if per_task else Scale(rows)
 
 
 def minute_slot(column: str = "micros") -> Column:

@@ -151,15 +151,17 @@ def h5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h6_finding_validation_agreement", """
-WITH v AS (SELECT p_partkey, p_brand, CASE WHEN p_size > 40 THEN p_size + 1 ELSE p_size END AS p_size,
-                  CASE WHEN p_type = 'ECONOMY' THEN NULL ELSE p_type END AS p_type FROM part WHERE p_retailprice < 1000),
+WITH v AS (SELECT CASE WHEN p_retailprice < 1000 THEN p_partkey ELSE -p_partkey END AS p_partkey, p_brand, CASE WHEN p_size > 40 THEN p_size + 1 ELSE p_size END AS p_size,
+                  CASE WHEN p_type = 'ECONOMY' THEN NULL ELSE p_type END AS p_type FROM part),
 j AS (SELECT p.*, v.p_partkey IS NOT NULL AS known, v.p_size AS vs, v.p_type AS vt FROM part p LEFT JOIN v USING (p_partkey))
 SELECT p_partkey, 'validation_missing' AS rule FROM j WHERE NOT known
 UNION ALL SELECT p_partkey, 'p_size_differs' FROM j WHERE known AND p_size IS DISTINCT FROM vs
 UNION ALL SELECT p_partkey, 'p_type_differs' FROM j WHERE known AND p_type IS DISTINCT FROM vt""")
 def h6(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part")
-    artifacts = parts.filter("p_retailprice < 1000").withColumns({
+    # Validations of dear parts are filed under another key, so they count as missing.
+    artifacts = parts.withColumns({
+        "p_partkey": F.when(F.col("p_retailprice") < 1000, F.col("p_partkey")).otherwise(-F.col("p_partkey")),
         "p_size": F.when(F.col("p_size") > 40, F.col("p_size") + 1).otherwise(F.col("p_size")),
         "p_type": F.when(F.col("p_type") != "ECONOMY", F.col("p_type"))})
     return trail.disagreements(parts, artifacts, ["p_partkey"], ["p_brand", "p_size", "p_type"], scale_of(sf, "part"))
@@ -178,8 +180,8 @@ def h6_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h7_export_references", """
-WITH p AS (SELECT p_partkey, p_type = 'ECONOMY' AS synthetic, CASE WHEN p_size > 25 THEN 'validated' ELSE 'provisional' END AS status, p_size > 10 AS safe
-           FROM part WHERE p_retailprice < 2000),
+WITH p AS (SELECT CASE WHEN p_retailprice < 2000 THEN p_partkey ELSE -p_partkey END AS p_partkey, p_type = 'ECONOMY' AS synthetic, CASE WHEN p_size > 25 THEN 'validated' ELSE 'provisional' END AS status, p_size > 10 AS safe
+           FROM part),
 g AS (SELECT l_orderkey, count(*) FILTER (p.p_partkey IS NULL) AS dangling, bool_or(synthetic) AS synthetic, bool_and(status = 'validated') AS val, bool_and(safe) AS safe
       FROM lineitem LEFT JOIN p ON p_partkey = l_partkey GROUP BY l_orderkey),
 a AS (SELECT o_orderkey, o_orderstatus = 'F' AS recommended, o_orderpriority = '1-URGENT' AS a_safe, g.* FROM orders JOIN g ON l_orderkey = o_orderkey)
@@ -190,8 +192,9 @@ UNION ALL SELECT o_orderkey, 'safe_without_safe_findings' FROM a WHERE a_safe AN
 def h7(spark: SparkSession, sf: str) -> DataFrame:
     references = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("algorithm_id"), F.col("l_partkey").alias("finding_id"))
-    evidence = table(spark, sf, "part").filter("p_retailprice < 2000").select(
-        F.col("p_partkey").alias("finding_id"), (F.col("p_type") == "ECONOMY").alias("synthetic"),
+    filed = F.when(F.col("p_retailprice") < 2000, F.col("p_partkey")).otherwise(-F.col("p_partkey"))
+    evidence = table(spark, sf, "part").select(
+        filed.alias("finding_id"), (F.col("p_type") == "ECONOMY").alias("synthetic"),
         F.when(F.col("p_size") > 25, "validated").otherwise("provisional").alias("status"),
         (F.col("p_size") > 10).alias("safe"))
     algorithms = table(spark, sf, "orders").select(
@@ -201,11 +204,10 @@ def h7(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h7_unreferenced_artifacts", """
-SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R')""")
+SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def h7_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
-    used = table(spark, sf, "lineitem").filter("l_quantity >= 50 and l_returnflag = 'R'").select(
-        F.col("l_suppkey").alias("s_suppkey"))
-    return trail.unreferenced(table(spark, sf, "supplier").select("s_suppkey", "s_name"), used, ["s_suppkey"])
+    used = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return trail.unreferenced(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), used, ["o_orderkey"])
 
 
 @query("h8_first_seen_lines", """

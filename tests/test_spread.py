@@ -61,3 +61,22 @@ def test_position_and_lookup(rows):
     names = df.select("k").distinct().withColumn("name", F.concat(F.lit("n"), F.col("k")))
     joined = lookup_join(df, names, ["k"], "left", [F.col("id")], DIVIDED)
     assert joined.count() == 900 and joined.filter("name <> concat('n', k)").count() == 0
+
+
+def test_null_keys_and_null_slots_at_both_limits(spark):
+    """A null group is summarized, and a null order value comes first, however the input is divided."""
+    keyed = spark.createDataFrame([(None if k % 3 == 0 else "ab"[k % 2], float(k)) for k in range(60)], "g string, v double")
+    both = [sorted(map(str, f(keyed, ["g"], "v", scale).collect())) for f in (robust_summary, mad)
+            for scale in (Scale(60, 1000), Scale(60, 10))]
+    assert len(both[0]) == 3
+    for plain, divided in (both[:2], both[2:]):
+        assert plain == divided
+    ordered = spark.createDataFrame([(1, None if k % 4 == 0 else k, k) for k in range(40)], "g int, at int, k int")
+    rows = [sorted((r.k, r.before) for r in ordered_scan(
+        ordered, ["g"], ["at", "k"], F.col("at"), {"before": ("previous", F.col("k"))}, scale).collect())
+        for scale in (Scale(40, 1000), Scale(40, 5))]
+    assert rows[0] == rows[1]
+    assert dict(rows[0])[1] == 36
+    joined = [sorted(map(str, lookup_join(keyed, spark.createDataFrame([("a", 1), (None, 2)], "g string, w int"), ["g"], "left",
+                                          [F.col("v")], scale).collect())) for scale in (Scale(60, 1000), Scale(60, 10))]
+    assert joined[0] == joined[1]
