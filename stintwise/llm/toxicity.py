@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.common import slices, text_buffer
+from stintwise.llm.linkage import BROADCAST_ROWS
 
 ORDER, SYMBOLS, DISCOUNT = 5, 32, 0.75
 #: Cells in which the calibration rows' differences are counted.
@@ -173,7 +174,10 @@ def learnt(docs: DataFrame, labels: DataFrame, held_out: str) -> Contrast:
     known = labels.where("label in (0, 1)").where(f"not ({held_out})").select(
         "doc_id", F.col("label").cast("int").alias("label"),
         (F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))), F.lit(4)) == 0).cast("int").alias("fold"))
-    training = docs.where(f"not ({held_out})").select("doc_id", "text").join(known, "doc_id").select("text", "label", "fold")
+    # Few labels, as counted, are broadcast; for more the texts are shuffled to them.
+    few = known.count() <= BROADCAST_ROWS
+    training = docs.where(f"not ({held_out})").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id") \
+        .select("text", "label", "fold")
     found = counted(training).groupBy("sequence").pivot("part", [0, 1, 2, 3]).agg(F.sum("n")).fillna(0).toPandas()
     sizes = {(r[0], r[1]): r[2] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("label", "fold")
              .count().collect()}
