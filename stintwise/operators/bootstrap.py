@@ -32,7 +32,9 @@ def cluster_order(obs: DataFrame, key: str, cluster: str, values: list[str], sca
     # Compare contents a block of positions at a time, and go on only with those still equal.
     hist = obs.withColumn("_item", item).groupBy(key, cluster, "_item").agg(F.count(F.lit(1)).alias("w"))
     placed = cut_lineage(split_cumulative(hist, [key, cluster], "_item", ["w"], scale))
-    sizes = placed.groupBy(key, cluster).agg(F.max("w_total").alias("_size"))
+    # Clusters of the same contents stay equal for good; two hashes of the contents tell them.
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "_item", "w")) for i in (1, 2)]
+    sizes = placed.groupBy(key, cluster).agg(F.max("w_total").alias("_size"), F.struct(*marks).alias("_same"))
     state = cut_lineage(sizes.withColumn("_group", F.lit(0).cast("long")).withColumn("_tied", F.lit(True)))
     block = 0
     while True:
@@ -44,13 +46,14 @@ def cluster_order(obs: DataFrame, key: str, cluster: str, values: list[str], sca
         empty = F.array().cast(part.schema["_part"].dataType)
         joined = state.join(part, [key, cluster], "left").withColumn("_part", F.coalesce("_part", empty))
         groups = joined.groupBy(key, "_group", "_part").agg(F.count(F.lit(1)).alias("c"),
-                                                           F.max("_size").alias("_longest"))
+                                                           F.max("_size").alias("_longest"),
+                                                           (F.min("_same") != F.max("_same")).alias("_differ"))
         after = split_cumulative(groups, [key, "_group"], "_part", ["c"], scale)
         state = cut_lineage(lookup_join(
             joined.drop("_tied"), after.select(
-                key, "_group", "_part", "c_before", ((F.col("c") > 1) & (F.col("_longest") > stop)).alias("_tied")),
+                key, "_group", "_part", "c_before", (F.col("_differ") & (F.col("_longest") > stop)).alias("_tied")),
             [key, "_group", "_part"], "inner", [F.col(cluster)], scale).select(
-            key, cluster, "_size", (F.col("_group") + F.col("c_before")).alias("_group"), "_tied"))
+            key, cluster, "_size", "_same", (F.col("_group") + F.col("c_before")).alias("_group"), "_tied"))
         block += 1
         if state.filter("_tied").isEmpty():
             break
@@ -62,12 +65,14 @@ def cluster_order(obs: DataFrame, key: str, cluster: str, values: list[str], sca
 def drawn_clusters(sizes: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """(key, draw, slot, rank): which cluster each slot of each draw takes.
 
-    ``sizes`` holds key and clusters (< 2^31). Draws are dealt over the cluster first, then
+    ``sizes`` holds key and clusters, fewer than 2^31, which is checked. Draws are dealt over the cluster first, then
     each draw makes its own digests in chunks; a rejected word shifts all later ones, so the
     (practically always empty) list of rejected words is found first.
     """
     two32 = 1 << 32
     m = F.col("clusters")
+    sizes = sizes.withColumn("clusters", F.when(m < 2 ** 31, m).otherwise(
+        F.raise_error(F.lit("more than 2^31 clusters in one comparison"))))
     # 2^64 mod m words at the top of the range are rejected.
     top = (F.lit(two32) % m) * (F.lit(two32) % m) % m
 
@@ -118,6 +123,8 @@ def bootstrap(
     ``mean_difference`` (arms unpaired, of ``value``), ``dispersion_ratio``, or ``trend``
     (slope over the resampled sequence; needs ``pair_id``). Undefined draws are left out.
     """
+    if not 200 <= draws <= 100_000:
+        raise ValueError(f"{draws} draws; 200 to 100,000 are allowed")
     armed = statistic in ("median_difference", "mean_difference", "dispersion_ratio")
     parts = ["arm", "value"] if armed else ["difference"]
     measure = parts[-1]

@@ -1,10 +1,11 @@
 """Theil-Sen slope (median of pairwise slopes) without forming the pairs.
 
 The number of slopes below s equals the number of point pairs that are out of order after
-y is replaced by y - s * x. Counting those costs n log n, so the median slope is found by
-searching over s. Groups up to ``max_group`` points are solved one per task with numpy;
-larger groups are searched by the cluster, with the counting spread over value ranges.
-Both searches stop at a relative width of 1e-13.
+y is replaced by y - s * x. Counting those costs n log n. Groups up to ``max_group`` points are
+solved one per task: the bracket about the wanted ranks is narrowed with slopes of sampled
+points until it holds few, and the slope of that rank among them is the result, an actual
+slope of two points at every size. Larger groups are searched by the cluster, with the counting
+spread over value ranges, down to a relative width of 1e-13; a bracket about zero gives zero.
 """
 
 from __future__ import annotations
@@ -22,25 +23,26 @@ MAX_GROUP = 100_000
 DIRECT = 256
 WIDTH = 1e-13
 PROBES = 15
+ROUNDS = 40
 
 
-def out_of_order_pairs(values: np.ndarray) -> int:
-    """Number of i < j with values[i] > values[j], by splitting on the bits of the ranks."""
+def out_of_order(values: np.ndarray) -> np.ndarray:
+    """For every j the number of i < j with values[i] > values[j], by splitting on the bits of the ranks."""
     n = len(values)
     place = np.empty(n, dtype=np.int64)
     place[np.argsort(values, kind="stable")] = np.arange(n)
-    total = 0
+    counts, who = np.zeros(n, dtype=np.int64), np.arange(n)
     for bit in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
         order = np.argsort(place >> (bit + 1), kind="stable")
-        p = place[order]
+        p, who = place[order], who[order]
         group = p >> (bit + 1)
         one = (p >> bit) & 1
         ones_so_far = np.cumsum(one) - one
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         base = np.repeat(ones_so_far[starts], np.diff(np.r_[starts, n]))
-        total += int(((ones_so_far - base) * (1 - one)).sum())
+        counts[who] += (ones_so_far - base) * (1 - one)
         place = p
-    return total
+    return counts
 
 
 def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
@@ -56,29 +58,62 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
         apart = x[j] != x[i]
         return float(np.median((y[j] - y[i])[apart] / (x[j] - x[i])[apart]))
     sizes = np.diff(np.r_[firsts, n])
-    total = n * (n - 1) // 2 - int((sizes * (sizes - 1) // 2).sum())
+    before = np.repeat(firsts, sizes)  # points with a smaller x
+    total = int(before.sum())
     low, high = np.minimum.reduceat(y, firsts), np.maximum.reduceat(y, firsts)
     gap = np.diff(x[firsts])
+    # The steepest and flattest slopes lie between neighbouring x.
     smallest, largest = ((low[1:] - high[:-1]) / gap).min(), ((high[1:] - low[:-1]) / gap).max()
+    margin = 1e-12 * max(abs(smallest), abs(largest), 1e-290)
 
-    def below(s: float) -> int:
+    def below(s: float) -> np.ndarray:
+        """For every point the number of slopes to points of smaller x that are below s."""
         z = y - s * x
-        return out_of_order_pairs(z[np.lexsort((z, x))])
+        inside = np.lexsort((z, x))
+        counts = np.empty(n, dtype=np.int64)
+        counts[inside] = out_of_order(z[inside])
+        return counts
+
+    def slopes(rows: np.ndarray, a: float, b: float) -> np.ndarray:
+        """Those slopes of the points to points of smaller x that lie in [a, b)."""
+        found = []
+        for j in rows:
+            s = (y[j] - y[:before[j]]) / (x[j] - x[:before[j]])
+            found.append(s[(s >= a) & (s < b)])
+        return np.sort(np.concatenate(found)) if found else np.zeros(0)
 
     def at(rank: int) -> float:
-        a, b = smallest, np.nextafter(largest, np.inf) + abs(largest) * WIDTH
-        while b - a > WIDTH * max(abs(a), abs(b), 1e-300):
-            middle = a + (b - a) / 2
-            if middle in (a, b):
-                break
-            if below(middle) <= rank:
-                a = middle
+        a, b = smallest - margin, largest + margin
+        under_a, under_b = np.zeros(n, dtype=np.int64), before.astype(np.int64)
+        while True:
+            inside = under_b - under_a
+            rows = np.flatnonzero(inside > 0)
+            if inside[rows].sum() <= 64 or not len(rows):
+                held = slopes(rows, a, b)
+                return float(held[min(max(rank - int(under_a.sum()), 0), len(held) - 1)])
+            # Slopes of some of the points stand for all in the bracket.
+            pool = slopes(rows[np.linspace(0, len(rows) - 1, min(len(rows), 16)).astype(int)], a, b)
+            share = (rank - int(under_a.sum()) + 0.5) / int(inside.sum())
+            if not len(pool):
+                pool = slopes(rows, a, b)
+            near, reach = int(np.clip(share * len(pool), 0, len(pool) - 1)), int(2 * np.sqrt(len(pool))) + 1
+            ends = [float(pool[max(near - reach, 0)]), float(pool[min(near + reach, len(pool) - 1)])]
+            step = max(1e-13 * max(abs(pool[0]), abs(pool[-1])), margin * 1e-6)
+            if ends[0] - step <= a and ends[1] + step >= b:
+                ends = [float(pool[near])] * 2  # these ends would not narrow the bracket
+            lower, upper = ends[0] - step, ends[1] + step
+            under_lower, under_upper = below(lower), below(upper)
+            if int(under_lower.sum()) <= rank < int(under_upper.sum()):
+                if ends[0] == ends[1] and int((under_upper - under_lower).sum()) > 64:
+                    return ends[0]  # many equal slopes
+                a, b, under_a, under_b = lower, upper, under_lower, under_upper
+            elif rank < int(under_lower.sum()):
+                b, under_b = lower, under_lower
             else:
-                b = middle
-        return a
+                a, under_a = upper, under_upper
 
     first = at((total - 1) // 2)
-    return float(first if total % 2 else (first + at(total // 2)) / 2)
+    return first if total % 2 else (first + at(total // 2)) / 2
 
 
 def theil_sen(
@@ -125,14 +160,17 @@ def _search(pts: DataFrame, keys: list[str], scale: Scale) -> DataFrame:
     total = (F.col("_n") * (F.col("_n") - 1) / 2 - F.col("_same")).cast("long")
     state = bounds.join(sizes, keys).withColumn("_total", total).withColumn("rank", F.explode(F.array(
         F.expr("(_total - 1) div 2"), F.expr("_total div 2")))).distinct().select(
-        *keys, "rank", "_total", "lo", (F.col("hi") + F.abs("hi") * 1e-12 + 1e-300).alias("hi"))
+        *keys, "rank", "_total", "lo", (F.col("hi") + F.abs("hi") * 1e-12 + 1e-300).alias("hi"),
+        (F.col("hi") - F.col("lo")).alias("_span"))
     state = cut_lineage(state)
     ranked = cut_lineage(lookup_join(pts, columns.select(*keys, "_x", "_xr"), [*keys, "_x"], "inner",
                                      [F.col("_y")], scale))
-    for _ in range(20):
-        wide = state.filter((F.col("hi") - F.col("lo")) > WIDTH * F.greatest(F.abs("lo"), F.abs("hi")))
-        if wide.isEmpty():
+    finest = WIDTH * F.greatest(F.abs("lo"), F.abs("hi"), F.col("_span") * 1e-3)
+    for done in range(ROUNDS + 1):
+        if state.filter((F.col("hi") - F.col("lo")) > finest).isEmpty():
             break
+        if done == ROUNDS:
+            raise ArithmeticError(f"the slope search did not settle in {ROUNDS} rounds")
         probes = state.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(PROBES)))).withColumn(
             "s", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_i") / (PROBES + 1))
         z = F.col("_y") - F.col("s") * F.col("_x")
@@ -147,8 +185,9 @@ def _search(pts: DataFrame, keys: list[str], scale: Scale) -> DataFrame:
         crossing = F.col("_ones") * (F.col("_zeros_total") - F.col("_zeros_before") - F.col("_zeros"))
         counts = placed.groupBy(*keys, "rank", "_i").agg(F.sum(crossing).alias("below"))
         low = F.col("below") <= F.col("rank")
-        narrowed = probes.join(counts, [*keys, "rank", "_i"]).groupBy(*keys, "rank", "_total").agg(
+        narrowed = probes.join(counts, [*keys, "rank", "_i"]).groupBy(*keys, "rank", "_total", "_span").agg(
             F.greatest(F.max("lo"), F.max(F.when(low, F.col("s")))).alias("lo"),
             F.least(F.max("hi"), F.min(F.when(~low, F.col("s")))).alias("hi"))
         state = cut_lineage(narrowed)
-    return state.groupBy(*keys).agg(F.avg("lo").alias("slope"))
+    settled = F.when((F.col("lo") <= 0) & (F.col("hi") >= 0), F.lit(0.0)).otherwise(F.col("lo"))
+    return state.groupBy(*keys).agg(F.avg(settled).alias("slope"))

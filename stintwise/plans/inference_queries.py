@@ -17,7 +17,7 @@ from stintwise.plans.evidence_queries import UNITS_SQL, lap_units, units
 from stintwise.plans.registry import query
 from stintwise.session import cut_lineage
 
-DRAWS = 100
+DRAWS = 200
 SEED = 7
 COVERAGE = 0.9
 THRESHOLD = 5.0
