@@ -137,3 +137,34 @@ def test_leave_one_out_against_brute_force(spark, effect, n):
     per = [f(d[[c != g for c in clusters]]) for g in ("g0", "g1", "g2")]
     got = sensitivity.leave_one_cluster_out(pairs, "k", effect, SMALL).first()
     assert (got.estimates_minimum, got.estimates_maximum) == (pytest.approx(min(per)), pytest.approx(max(per)))
+
+
+def test_slope_is_an_actual_slope_at_every_size():
+    """0/1 noise has slope 0.0, and larger groups give what enumerating all pairs gives."""
+    from stintwise.operators.theilsen import median_slope
+
+    rng = np.random.default_rng(8)
+    for n in (256, 257, 2000):
+        assert repr(median_slope(np.arange(n, dtype=float), rng.integers(0, 2, n).astype(float))) == "0.0"
+    for n in (257, 400, 700):
+        x, y = rng.permutation(n).astype(float), rng.normal(size=n)
+        i, j = np.triu_indices(n, 1)
+        assert median_slope(x, y) == float(np.median((y[j] - y[i]) / (x[j] - x[i])))
+
+
+def test_identical_clusters_are_settled_at_once(spark):
+    """Two clusters of equal contents get their ranks without walking through them."""
+    from stintwise.operators.bootstrap import cluster_order
+    from stintwise.operators.spread import Scale
+
+    rows = spark.range(2000).selectExpr("'k' AS key", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS cluster", "0.0 AS v")
+    rows = rows.unionByName(spark.createDataFrame([("k", "c", -1.0)], "key string, cluster string, v double"))
+    got = {r.cluster: (r["rank"], r.clusters) for r in cluster_order(rows, "key", "cluster", ["v"], Scale(None, 500)).collect()}
+    assert got == {"c": (0, 3), "a": (1, 3), "b": (2, 3)}
+
+
+def test_draw_bounds(spark):
+    from stintwise.operators.bootstrap import bootstrap
+
+    with pytest.raises(ValueError, match="200 to 100,000"):
+        bootstrap(spark.range(1), "k", "c", "median", 100, 1)
