@@ -117,7 +117,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.scored(docs, toxicity.learnt(docs, labels, TOXIC_HELD_OUT)), TOXIC_HELD_OUT)
 
 
-@query("op4_exact_top_k")
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op4_exact_top_k", OP4_SQL)
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
