@@ -74,9 +74,9 @@ def lap_records(laps: DataFrame, dataset_id: str, session_id: str) -> DataFrame:
             F.array().cast("array<string>")).alias("quality_flags"),
         fields(
             lap_time=qualified(F.col("lap_time_seconds"), "lap_time", "laps.csv/lap_time_seconds",
-                               derivation="exported lap-time value"),
+                               derivation="lap time as the export states it"),
             lap_valid=qualified(F.col("is_valid"), "lap_valid", "laps.csv/is_valid",
-                                derivation="exported lap validity classification"),
+                                derivation="validity as the export states it"),
         ).alias("fields"))
 
 
@@ -103,9 +103,9 @@ def bin_records(bins: DataFrame, laps: DataFrame, dataset_id: str, session_id: s
                                 F.when(~F.col("_lap_valid"), "product_classified_excluded"))).alias("quality_flags"),
         fields(
             lap_distance=qualified(F.col("distance_m"), "lap_distance", "telemetry.csv/distance_m",
-                                   derivation="exported distance-bin start"),
+                                   derivation="start of the bin in metres"),
             lap_fraction=qualified(F.col("lap_fraction"), "lap_fraction", "telemetry.csv/lap_fraction",
-                                   derivation="exported convenience fraction"), **channels).alias("fields"))
+                                   derivation="fraction as the export states it"), **channels).alias("fields"))
 
 
 def records(laps: DataFrame, bins: DataFrame, session: dict[str, str], scale: Scale = UNKNOWN) -> DataFrame:
