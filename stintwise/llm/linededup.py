@@ -215,7 +215,7 @@ def repeated_lines(docs: DataFrame, tau: int = TAU, shortest: int = SHORTEST) ->
     shared = entries.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("k")
     keys = stored_table(entries.join(shared, "k").select("k", "id", F.lit(0).cast("long").alias("weight")).distinct(), "shared_segments")
     found = linked(keys, line_texts(rows.select("text"), shortest), characters,
-                   lambda a, b: edit_distances(a, b, tau), float(tau))
+                   lambda a, b: edit_distances(a, b, tau), float(tau), store_texts=True)
     of_class = lines.select("doc", "mark", "line", "id").join(found, "id", "left") \
         .select("doc", "mark", "line", F.coalesce("component", "id").alias("class"))
     first = of_class.groupBy("class").agg(F.min(F.struct("doc", "mark", "line")).alias("first"), F.count("*").alias("n")) \

@@ -76,9 +76,13 @@ def tested(cells: DataFrame, prepare: Prepare, distances: Distances, limit: floa
     return parted.mapInArrow(rows, "a long, b long, distance double")
 
 
-def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Distances, limit: float) -> DataFrame:
+def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Distances, limit: float,
+           store_texts: bool = False) -> DataFrame:
     """id, component for every item with a link; ``keys``: k, id, weight; ``payload``: id, text.
 
+    ``store_texts`` keeps the texts of the items to test for the second round of tests, where
+    they are dear to make and short.
+
     The heaviest item of a list leads it, of equal ones the smallest. ``keys`` is read twice
     and should be a stored table.
     """
@@ -89,6 +93,8 @@ def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Dis
     sizes = pairs.groupBy("leader").agg(F.count("*").alias("n"))
     split = pairs.join(sizes, "leader").select("leader", "id", F.xxhash64("leader", F.pmod(
         F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).alias("cell"))
+    if store_texts:
+        payload = stored_table(with_text(payload, pairs.select("id").union(pairs.select("leader")).distinct()), "texts")
     none = F.lit(None)
     members = split.select("cell", F.lit(1).alias("side"), "id")
     heads = split.select("cell", F.lit(0).alias("side"), F.col("leader").alias("id")).distinct()
