@@ -142,11 +142,6 @@ def capability_rows(mappings: list[ColumnMapping]) -> Column:
     return F.array(*rows)
 
 
-def capability_table(spark: SparkSession, mappings: list[ColumnMapping]) -> DataFrame:
-    """One row per concept: provenance, unit, source, derivation; unmapped = unavailable."""
-    return spark.range(1).select(F.inline(capability_rows(mappings)))
-
-
 def capability_summary(capabilities: DataFrame, keys: list[str]) -> DataFrame:
     """Available concepts (sorted) and the number of unavailable ones; 41 rows per key at most."""
     known = F.col("provenance") != "unavailable"

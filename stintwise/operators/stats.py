@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintwise.operators.quantiles import medians, robust_summary
-from stintwise.operators.spread import UNKNOWN, Scale, ordered_scan, position_in
+from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, ordered_scan, position_in
 
 
 def _log_gamma(x: Column) -> Column:
@@ -121,24 +121,39 @@ def adjust_p_values(
     running maximum in ascending order of p, Benjamini-Hochberg a running minimum in
     descending order.
     """
-    size = results.groupBy(family).agg(F.count(F.lit(1)).alias("_m"))
-    known = results.filter(F.col(p_value).isNotNull()).join(size, family)
+    if method not in ("none", "holm_bonferroni", "benjamini_hochberg"):
+        raise ValueError(f"unknown correction {method!r}")
     p = F.col(p_value)
+    if scale.fits:
+        # Family size, ranks and running bound share one partitioning and one order.
+        whole = Window.partitionBy(family)
+        ordered = whole.orderBy(p.asc_nulls_last(), index)
+        rank = F.row_number().over(ordered) - 1
+        numbered = results.withColumn("_m", F.count(F.lit(1)).over(whole)).withColumn("_rank", F.when(p.isNotNull(), rank))
+        if method == "none":
+            adjusted = F.least(F.lit(1.0), p)
+        elif method == "holm_bonferroni":
+            adjusted = F.max("_step").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        else:
+            adjusted = F.min("_step").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        step = (F.col("_m") - F.col("_rank")) * p if method == "holm_bonferroni" else F.col("_m") / (F.col("_rank") + 1) * p
+        out = numbered.withColumn("_step", F.when(p.isNotNull(), F.least(F.lit(1.0), step))) \
+            .withColumn("adjusted_p_value", F.when(p.isNotNull(), adjusted)).drop("_m", "_rank", "_step")
+        return out.withColumn("rejected", F.coalesce(F.col("adjusted_p_value") <= alpha, F.lit(False)))
+    size = results.groupBy(family).agg(F.count(F.lit(1)).alias("_m"))
+    known = lookup_join(results.filter(p.isNotNull()), size, [family], "inner", [F.col(index)], scale)
     if method == "none":
         adjusted = known.withColumn("adjusted_p_value", F.least(F.lit(1.0), p))
     else:
         ranked = position_in(known, [family], [p_value, index], "_rank", scale)
         if method == "holm_bonferroni":
-            step = F.least(F.lit(1.0), (F.col("_m") - F.col("_rank")) * p)
-            order, slot, sign = [p_value, index], F.floor(p * 1_000_000), 1
-        elif method == "benjamini_hochberg":
-            step = F.least(F.lit(1.0), F.col("_m") / (F.col("_rank") + 1) * p)
-            ranked = ranked.withColumn("_back", -F.col("_rank"))
-            order, slot, sign = ["_back"], F.floor(F.col("_back") / 1_000_000), -1
+            step, place, sign = F.least(F.lit(1.0), (F.col("_m") - F.col("_rank")) * p), F.col("_rank"), 1
         else:
-            raise ValueError(f"unknown correction {method!r}")
-        held = ranked.withColumn("_step", step * sign)
-        seen = ordered_scan(held, [family], order, slot, {"_bound": ("max", F.col("_step"))}, scale)
+            step, place, sign = F.least(F.lit(1.0), F.col("_m") / (F.col("_rank") + 1) * p), -F.col("_rank"), -1
+        held = ranked.withColumn("_step", step * sign).withColumn("_place", place)
+        # Slots of ranks hold equally many rows, wherever the p-values pile up.
+        slot = F.floor(F.col("_place") / scale.rows_per_task)
+        seen = ordered_scan(held, [family], ["_place"], slot, {"_bound": ("max", F.col("_step"))}, scale)
         adjusted = seen.withColumn("adjusted_p_value", F.greatest("_step", "_bound") * sign)
     back = adjusted.select(family, index, "adjusted_p_value")
     return results.join(back, [family, index], "left").withColumn(
@@ -162,8 +177,3 @@ def practical(estimate: Column, threshold: float, directionality: str, lower: Co
 def pair_order(pairs: DataFrame, keys: list[str], scale: Scale = UNKNOWN) -> DataFrame:
     """0-based place of each pair within its comparison, by pair id."""
     return position_in(pairs, keys, ["pair_id"], "pair_index", scale)
-
-
-def bounded_rank_window(keys: list[str], order: list[str]) -> Column:
-    """Row number for groups whose size has a fixed bound (draws of one comparison)."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

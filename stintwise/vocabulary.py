@@ -56,10 +56,7 @@ TEXT_CONCEPTS = ("session_state", "incident_state")
 RECORD_TYPES = ("session", "lap", "segment", "telemetry_sample", "distance_bin", "driver_input_event")
 PROVENANCES = ("measured", "derived", "estimated", "unavailable")
 
-# Ordinal scales, weakest first.
-OBSERVATION_LEVELS = (
-    "telemetry_frame", "event", "segment_opportunity", "lap", "stint", "block", "session", "participant",
-)
+# An ordinal scale, weakest first.
 CEILINGS = ("descriptive", "associational", "intervention_associated", "causal_candidate")
 
 # The fields of a comparability key, and those whose variation needs a plan.
