@@ -343,12 +343,17 @@ def region_coverage(bins: DataFrame, regions: DataFrame, session_key: str, lap:
                     scale: Scale = UNKNOWN) -> DataFrame:
     """Smallest share of sampled bins over the laps, per region of a session.
 
-    Equi-join on the session with the range as residual; a session has few regions.
+    Equi-join on the session, the range part of its condition; a session has few regions, so
+    they are repeated for the pieces of a session that holds very many bins.
     """
-    rows = lookup_join(bins.select(session_key, lap, at, "has_sample"), regions, [session_key], "inner",
-                       [F.col(lap), F.col(at)], scale)
-    per_lap = rows.filter((F.col("start") <= F.col(at)) & (F.col(at) <= F.col("end"))).groupBy(
-        session_key, "finding_key", lap).agg(
+    pieces = 1 if scale.fits else 64
+    piece = F.pmod(F.xxhash64(lap, at), F.lit(pieces))
+    left = bins.select(session_key, lap, at, "has_sample", piece.alias("_piece"))
+    right = regions.select(F.col(session_key).alias("_session"), "finding_key", "start", "end",
+                           F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_part"))
+    rows = left.join(right, (F.col(session_key) == F.col("_session")) & (F.col("_piece") == F.col("_part"))
+                     & F.col(at).between(F.col("start"), F.col("end")))
+    per_lap = rows.groupBy(session_key, "finding_key", lap).agg(
         (F.count_if("has_sample") / F.count(F.lit(1))).alias("share"))
     return per_lap.groupBy(session_key, "finding_key").agg(
         F.min("share").alias("coverage"), F.count(F.lit(1)).alias("laps"))
@@ -365,11 +370,16 @@ def lap_set_agreement(laps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bind_blocks(laps: DataFrame, blocks: DataFrame, keys: list[str], lap_number: str) -> DataFrame:
-    """Assign laps to the declared block that holds them; zero or several is a problem."""
-    matched = laps.select(*keys, lap_number).join(blocks, keys, "left").withColumn(
-        "_in", F.col(lap_number).between(F.col("start_lap"), F.col("end_lap")))
-    return matched.groupBy(*keys, lap_number).agg(
-        F.count_if("_in").alias("blocks"), F.min(F.when(F.col("_in"), F.col("block"))).alias("block"),
+    """Assign laps to the declared block that holds them; zero or several is a problem.
+
+    The range is part of the join condition, so only laps inside a block leave the join.
+    """
+    declared = blocks.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "block", "start_lap", "end_lap")
+    held = F.col(lap_number).between(F.col("start_lap"), F.col("end_lap"))
+    for k in keys:
+        held = held & (F.col(k) == F.col(f"_of_{k}"))
+    return laps.select(*keys, lap_number).join(declared, held, "left").groupBy(*keys, lap_number).agg(
+        F.count("block").alias("blocks"), F.min("block").alias("block"),
     ).withColumn("problem", F.when(F.col("blocks") == 0, "no_block").when(F.col("blocks") > 1, "several_blocks"))
 
 

@@ -249,6 +249,16 @@ def c21(spark: SparkSession, sf: str) -> DataFrame:
     return audit.bind_blocks(driven, blocks, ["participant"], "lap_number")
 
 
+@query("c21_block_rules", """
+WITH b AS (SELECT o_custkey, o_orderkey AS block, o_custkey % 40 - 2 AS start_lap, o_orderkey % 40 AS end_lap FROM orders)
+SELECT o_custkey, block, 'range' AS rule FROM b WHERE start_lap > end_lap
+UNION ALL SELECT o_custkey, block, 'start' FROM b WHERE start_lap < 0""")
+def c21_rules(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = table(spark, sf, "orders").selectExpr(
+        "o_custkey", "o_orderkey AS block", "o_custkey % 40 - 2 AS start_lap", "o_orderkey % 40 AS end_lap")
+    return audit.block_rules(blocks, ["o_custkey"])
+
+
 def _scan_sql(source: str, key: str, text: str, rules: tuple) -> str:
     return "\nUNION ALL ".join(
         f"SELECT {key}, '{name}' AS rule FROM {source} WHERE regexp_matches({text}, '" + pattern.replace("'", "''") + "')"
