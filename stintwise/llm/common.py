@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stintwise.session import stored_table
 
-__all__ = ["components", "mix", "read_table", "slices", "stored_table", "text_buffer"]
+__all__ = ["components", "logistic", "mix", "read_table", "slices", "stored_table", "text_buffer"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def logistic(x: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic over x, which has so many rows of either label, by Newton steps
+    with a small penalty."""
+    weight = zeros + ones
+    mean = (weight * x).sum() / weight.sum()
+    scale = np.sqrt((weight * (x - mean) ** 2).sum() / weight.sum()) or 1.0
+    z = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
+    beta, penalty = np.zeros(2), np.diag([1e-2, 1e-6]) + 1e-9
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -50, 50)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty,
+                               z.T @ (ones - weight * p) - penalty @ beta)
+        beta += np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0] / scale), float(beta[1] - beta[0] * mean / scale)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of every id that has a link: columns ``id``, ``component``.
 

@@ -2,10 +2,12 @@
 
 A document becomes transformed shares of its bytes and byte transitions. Both classes get a mean
 and a covariance, shrunk towards the pooled covariance and a multiple of the unit matrix; a
-score is the logistic of the difference of log densities, each from a Mahalanobis distance by
-the class's Cholesky factor, made once. The model is made from sums of the features and of
-their products per class, so learning reads every labelled row and the driver sees a few
-hundred numbers.
+document's evidence is the difference of log densities, each from a Mahalanobis distance by
+the class's Cholesky factor, made once. As statistics are not normal, a logistic over that
+difference, with slope and intercept fitted on the training rows, makes it a probability. The
+model is made from sums of the features and of their products per class, and the logistic from
+counts of differences, so learning reads every labelled row twice and the driver sees a few
+thousand numbers.
 
 Defined results: null and empty texts have all counts zero and are scored like any other.
 Without any usable label the score is 0.5; with one class only, it is that class's 0 or 1.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.common import slices, stored_table, text_buffer
+from stintwise.llm.common import logistic, slices, stored_table, text_buffer
 
 #: Byte classes: lower-case, upper-case, digit, space, line end, sentence mark, other mark, high byte.
 LOWER, UPPER, DIGIT, SPACE, LINE, MARK, SYMBOL, HIGH = range(8)
@@ -45,6 +47,8 @@ CLASSES = byte_classes()
 #: Transitions whose share is a feature of its own.
 TURNS = ((UPPER, UPPER), (LOWER, SYMBOL), (UPPER, SYMBOL), (SYMBOL, SYMBOL), (SPACE, SYMBOL), (SYMBOL, SPACE),
          (SPACE, UPPER), (MARK, SYMBOL), (MARK, LINE))
+#: Cells in which the differences of the training rows are counted.
+CELLS, WIDEST = 4000, 50.0
 N_FEATURES = 4 + 8 + len(TURNS)
 
 
@@ -93,13 +97,19 @@ class Discriminant:
     factors: np.ndarray | None
     constants: np.ndarray | None
     fixed: float = 0.5
+    slope: float = 1.0
+    intercept: float = 0.0
+
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """Log density of class 1 less that of class 0, cut off where it says all."""
+        density = [c - 0.5 * (((x - m) @ f.T) ** 2).sum(axis=1)
+                   for m, f, c in zip(self.means, self.factors, self.constants)]
+        return np.clip(density[1] - density[0], -WIDEST, WIDEST)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.fixed)
-        density = [c - 0.5 * (((x - m) @ f.T) ** 2).sum(axis=1)
-                   for m, f, c in zip(self.means, self.factors, self.constants)]
-        return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+        return 1 / (1 + np.exp(-(self.slope * self.difference(x) + self.intercept)))
 
 
 def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> Discriminant:
@@ -120,8 +130,8 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> Discri
             [pa.array(np.repeat([0, 1], k).astype(np.int32)), pa.array(np.tile(np.arange(k), 2).astype(np.int32)),
              pa.array(total.ravel())], ["label", "part", "value"])
 
-    rows = labelled.where("label in (0, 1)").select("features", F.col("label").cast("int").alias("label")) \
-        .mapInArrow(sums, "label int, part int, value double").groupBy("label", "part").agg(F.sum("value")).collect()
+    training = labelled.where("label in (0, 1)").select("features", F.col("label").cast("int").alias("label"))
+    rows = training.mapInArrow(sums, "label int, part int, value double").groupBy("label", "part").agg(F.sum("value")).collect()
     total = np.zeros((2, 1 + d + len(upper[0])))
     for c, k, v in rows:
         total[c, k] = v
@@ -141,7 +151,25 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> Discri
         root = np.linalg.cholesky((1 - ridge) * own + ridge * unit)
         factors.append(np.linalg.inv(root))
         constants.append(np.log(n[c] / n.sum()) - np.log(np.diag(root)).sum())
-    return Discriminant(means, np.stack(factors), np.array(constants))
+    model = Discriminant(means, np.stack(factors), np.array(constants))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, CELLS), np.int64)
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            y = batch.column("label").to_numpy(zero_copy_only=False)
+            at = np.minimum((model.difference(x) + WIDEST) / (2 * WIDEST) * CELLS, CELLS - 1).astype(np.int64)
+            for c in (0, 1):
+                counts[c] += np.bincount(at[y == c], minlength=CELLS)
+        some = np.flatnonzero(counts.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])],
+                                         ["cell", "zeros", "ones"])
+
+    seen = training.mapInArrow(cells, "cell long, zeros long, ones long").groupBy("cell").agg(
+        F.sum("zeros"), F.sum("ones")).collect()
+    cell, zeros, ones = np.array(seen, dtype=float).T
+    model.slope, model.intercept = logistic((cell + 0.5) / CELLS * 2 * WIDEST - WIDEST, zeros, ones)
+    return model
 
 
 def learnt(docs_features: DataFrame, labels: DataFrame, held_out: str) -> Discriminant:

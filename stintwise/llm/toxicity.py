@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.common import slices, text_buffer
+from stintwise.llm.common import logistic, slices, text_buffer
 from stintwise.llm.linkage import BROADCAST_ROWS
 
 ORDER, SYMBOLS, DISCOUNT = 5, 32, 0.75
@@ -127,23 +127,6 @@ def contrast(keys: np.ndarray, counts: np.ndarray) -> Contrast:
     return Contrast(row_of, table.ravel())
 
 
-def logistic(x: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept for counted differences, by Newton steps with a small penalty."""
-    weight = ordinary + toxic
-    mean = (weight * x).sum() / weight.sum()
-    scale = np.sqrt((weight * (x - mean) ** 2).sum() / weight.sum()) or 1.0
-    z = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
-    beta, penalty = np.zeros(2), np.diag([1e-2, 1e-6]) + 1e-9
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -50, 50)))
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty,
-                               z.T @ (toxic - weight * p) - penalty @ beta)
-        beta += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0] / scale), float(beta[1] - beta[0] * mean / scale)
-
-
 def counted(training: DataFrame) -> DataFrame:
     """(sequence, label, fold) -> count over all training texts, combined in every task first."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
