@@ -38,12 +38,12 @@ from stintwise.llm.induce import sorted_suffixes
 from stintwise.llm.jaccard import prefix_sums
 
 LENGTH, GRAM = 100, 24
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 3_000_000
 HOT = 50_000
 #: Bytes of one text whose windows are found at a time; 24 bits hold a position among them.
 STRETCH = 8_000_000
 #: Piece bytes that a task remembers to count equal pieces once.
-REMEMBERED = 16_000_000
+REMEMBERED = 12_000_000
 
 _byte = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -271,8 +271,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, memory: in
                shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """rest, text (see ``packed``) and the starts and ends of the spans to remove (null if there are none).
 
-    The texts are shuffled once, compressed: the pieces and the result are made from one
-    exchange by document, as both read the same columns of it.
+    The texts are shuffled compressed, once to cut the pieces and once for the result.
     """
     rows = keyed(docs)
     found = runs_of(rows, length)
