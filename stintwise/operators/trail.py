@@ -140,7 +140,8 @@ def export_references(references: DataFrame, findings: DataFrame, algorithms: Da
     """(algorithm_id, rule) for algorithms whose supporting findings do not allow their claims.
 
     references: algorithm_id, finding_id. findings: finding_id, synthetic, status, safe.
-    algorithms: algorithm_id, recommended, safe. A finding may be cited by very many
+    algorithms: algorithm_id, recommendation (not_recommended, recommended or another status),
+    safe. Synthetic support forbids every status but not_recommended. A finding may be cited by very many
     algorithms, an algorithm may cite very many findings: both joins salt heavy keys and the
     per-algorithm facts are plain mergeable aggregates.
     """
@@ -151,8 +152,9 @@ def export_references(references: DataFrame, findings: DataFrame, algorithms: Da
         F.bool_and(F.col("status") == "validated").alias("all_validated"), F.bool_and("_safe").alias("all_safe"))
     return violations(algorithms.join(facts, "algorithm_id"), {
         "dangling_reference": F.col("dangling") == 0,
-        "synthetic_support": ~(F.coalesce("synthetic", F.lit(False)) & (F.col("recommended") | F.col("safe"))),
-        "recommended_without_validation": ~F.col("recommended") | F.coalesce("all_validated", F.lit(True)),
+        "synthetic_support": ~(F.coalesce("synthetic", F.lit(False)) & (
+            ~F.col("recommendation").eqNullSafe(F.lit("not_recommended")) | F.col("safe"))),
+        "recommended_without_validation": ~F.col("recommendation").eqNullSafe(F.lit("recommended")) | F.coalesce("all_validated", F.lit(True)),
         "safe_without_safe_findings": ~F.col("safe") | F.coalesce("all_safe", F.lit(True)),
     }, ["algorithm_id"])
 

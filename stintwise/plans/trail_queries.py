@@ -184,10 +184,10 @@ WITH p AS (SELECT CASE WHEN p_retailprice < 2000 THEN p_partkey ELSE -p_partkey
            FROM part),
 g AS (SELECT l_orderkey, count(*) FILTER (p.p_partkey IS NULL) AS dangling, bool_or(synthetic) AS synthetic, bool_and(status = 'validated') AS val, bool_and(safe) AS safe
       FROM lineitem LEFT JOIN p ON p_partkey = l_partkey GROUP BY l_orderkey),
-a AS (SELECT o_orderkey, o_orderstatus = 'F' AS recommended, o_orderpriority = '1-URGENT' AS a_safe, g.* FROM orders JOIN g ON l_orderkey = o_orderkey)
+a AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'recommended' WHEN 'O' THEN 'not_recommended' ELSE 'provisional' END AS recommendation, o_orderpriority = '1-URGENT' AS a_safe, g.* FROM orders JOIN g ON l_orderkey = o_orderkey)
 SELECT o_orderkey AS algorithm_id, 'dangling_reference' AS rule FROM a WHERE dangling > 0
-UNION ALL SELECT o_orderkey, 'synthetic_support' FROM a WHERE coalesce(synthetic, false) AND (recommended OR a_safe)
-UNION ALL SELECT o_orderkey, 'recommended_without_validation' FROM a WHERE recommended AND NOT coalesce(val, true)
+UNION ALL SELECT o_orderkey, 'synthetic_support' FROM a WHERE coalesce(synthetic, false) AND (recommendation <> 'not_recommended' OR a_safe)
+UNION ALL SELECT o_orderkey, 'recommended_without_validation' FROM a WHERE recommendation = 'recommended' AND NOT coalesce(val, true)
 UNION ALL SELECT o_orderkey, 'safe_without_safe_findings' FROM a WHERE a_safe AND NOT coalesce(safe, true)""")
 def h7(spark: SparkSession, sf: str) -> DataFrame:
     references = table(spark, sf, "lineitem").select(
@@ -198,7 +198,9 @@ def h7(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") > 25, "validated").otherwise("provisional").alias("status"),
         (F.col("p_size") > 10).alias("safe"))
     algorithms = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("algorithm_id"), (F.col("o_orderstatus") == "F").alias("recommended"),
+        F.col("o_orderkey").alias("algorithm_id"),
+        F.when(F.col("o_orderstatus") == "F", "recommended").when(F.col("o_orderstatus") == "O", "not_recommended")
+        .otherwise("provisional").alias("recommendation"),
         (F.col("o_orderpriority") == "1-URGENT").alias("safe"))
     return trail.export_references(references, evidence, algorithms, scale_of(sf, "lineitem"))
 
