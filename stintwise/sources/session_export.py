@@ -11,15 +11,19 @@ from stintwise.operators.normalize import number_sequence, unite
 from stintwise.operators.spread import UNKNOWN, Scale, lookup_join
 from stintwise.sources.files import read_text_table
 
-# Headers, in order.
-LAP_COLUMNS = (
-    "lap_number lap_time_seconds lap_time_display is_best_valid_lap is_reviewed_lap is_valid is_reference "
-    "exclusion_reasons lap_kind stint laps_since_pit_exit sampled_bins total_bins coverage_fraction "
-    "coaching_delivered_on_lap delivered_cue_count").split()
-BIN_COLUMNS = (
-    "lap_number distance_m lap_fraction brake throttle steering_rad steering_deg speed_ms speed_kph sample_count "
-    "has_sample lap_is_valid lap_is_reference lap_is_excluded lap_exclusion_reason lap_kind stint incident_on_lap "
-    "in_finding_region finding_keys").split()
+# The header of the lap table, in order.
+LAP_COLUMNS = [
+    "lap_number", "lap_time_seconds", "lap_time_display", "is_best_valid_lap", "is_reviewed_lap", "is_valid",
+    "is_reference", "exclusion_reasons", "lap_kind", "stint", "laps_since_pit_exit", "sampled_bins", "total_bins",
+    "coverage_fraction", "coaching_delivered_on_lap", "delivered_cue_count",
+]
+# The header of the bin table, in order.
+BIN_COLUMNS = [
+    "lap_number", "distance_m", "lap_fraction", "brake", "throttle", "steering_rad", "steering_deg", "speed_ms",
+    "speed_kph", "sample_count", "has_sample", "lap_is_valid", "lap_is_reference", "lap_is_excluded",
+    "lap_exclusion_reason", "lap_kind", "stint", "incident_on_lap", "in_finding_region", "finding_keys",
+]
+# Which of them hold counts, flags and text.
 UNSIGNED = {"lap_number", "stint", "laps_since_pit_exit", "sampled_bins", "total_bins", "delivered_cue_count",
             "sample_count"}
 FLAGS = {"is_best_valid_lap", "is_reviewed_lap", "is_valid", "is_reference", "coaching_delivered_on_lap", "has_sample",
@@ -30,12 +34,21 @@ CHANNEL_METHODS = {"brake": "maximum", "throttle": "arithmetic_mean", "steering_
                    "speed": "arithmetic_mean"}
 CHANNEL_SOURCE = {"brake": "brake", "throttle": "throttle", "steering_angle": "steering_rad", "speed": "speed_ms"}
 
+# The fields of the findings document.
 FINDINGS_SCHEMA = (
-    "schema STRING, session STRUCT<simulator: STRING, car: STRING, track: STRING, sessionType: STRING, "
-    "trackLengthMeters: DOUBLE, reviewedLapNumber: INT, comparableLapCount: INT, comparableLapNumbers: ARRAY<INT>, "
-    "bestValidLapNumber: INT, bestValidLapTimeSeconds: DOUBLE>, findings ARRAY<STRUCT<key: STRING, rank: INT, "
-    "channel: STRING, findingType: STRING, lapNumber: INT, startDistanceMeters: DOUBLE, endDistanceMeters: DOUBLE, "
-    "coverage: DOUBLE, cleanComparisonLapCount: INT>>")
+    "schema STRING, productVersion STRING, referencePolicy STRING, timeDeltaConvention STRING, "
+    "session STRUCT<simulator: STRING, car: STRING, track: STRING, sessionType: STRING, recordedLocal: STRING, "
+    "durationSeconds: DOUBLE, trackLengthMeters: DOUBLE, reviewedLapNumber: INT, comparableLapCount: INT, "
+    "comparableLapNumbers: ARRAY<INT>, bestValidLapNumber: INT, bestValidLapTimeSeconds: DOUBLE, "
+    "driverDisplayName: STRING>, "
+    "findings ARRAY<STRUCT<key: STRING, rank: INT, channel: STRING, findingType: STRING, lapNumber: INT, "
+    "startDistanceMeters: DOUBLE, endDistanceMeters: DOUBLE, startLapFraction: DOUBLE, endLapFraction: DOUBLE, "
+    "locationLabel: STRING, observedValue: DOUBLE, referenceValue: DOUBLE, referenceSpread: DOUBLE, "
+    "measurementUnit: STRING, direction: STRING, confidence: DOUBLE, confidenceBand: STRING, severitySigma: DOUBLE, "
+    "repeatability: DOUBLE, cleanComparisonLapCount: INT, coverage: DOUBLE, performanceVerdict: STRING, "
+    "timeDeltaSeconds: DOUBLE, timeDeltaUnavailableReason: STRING, recommendedAction: STRING, "
+    "limitations: ARRAY<STRING>, attributionState: STRING, attribution: STRING, deterministicExplanation: STRING, "
+    "aiExplanation: STRING, aiExplanationSource: STRING, aiFallbackCategory: STRING>>")
 
 
 def _typed(rows: DataFrame, columns: list[str]) -> DataFrame:
