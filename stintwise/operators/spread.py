@@ -51,12 +51,10 @@ def by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 
     ``small`` broadcasts the right side; it is for tables whose size the limit bounds.
     """
-    renamed = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
-    joined = left.join(F.broadcast(renamed) if small else renamed, match, how)
-    return joined.drop(*[f"_same_{k}" for k in keys])
+    # Structs of equal fields are equal, nulls included, and such a key can be hashed and sorted.
+    key = F.struct(*keys)
+    others = right.select(key.alias("_key"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("_key", key).join(F.broadcast(others) if small else others, "_key", how).drop("_key")
 
 
 def settle(df: DataFrame, scale: Scale) -> DataFrame:
@@ -202,13 +200,15 @@ def split_cumulative(
     value: str,
     weights: list[str],
     scale: Scale = UNKNOWN,
+    null_keys: bool = True,
 ) -> DataFrame:
     """Add ``<w>_before`` (sum over smaller values of the key) and ``<w>_total`` per weight.
 
     ``hist`` holds one row per (keys, value). Each value becomes a cut point with
     probability 4 / scale.rows_per_task, decided by its hash: small keys get none and stay whole,
     a heavy key is divided into ranges of about a quarter of the limit. The cut table
-    therefore has about 4 * rows / rows_per_task entries and is broadcast.
+    therefore has about 4 * rows / rows_per_task entries and is broadcast. Where the keys hold
+    no null, ``null_keys=False`` lets the joins be plain ones.
     """
     if scale.fits:
         whole = Window.partitionBy(*keys)
@@ -228,7 +228,7 @@ def split_cumulative(
     inner = F.size(F.filter(
         F.slice("_cuts", (F.col("_block") - 1) * F.col("_stride") + 1, F.col("_stride")), lambda h: h <= v))
     ranged = (
-        by_key(hist, cuts, keys, "left", small=True)
+        (by_key(hist, cuts, keys, "left", small=True) if null_keys else hist.join(F.broadcast(cuts), keys, "left"))
         .withColumn("_block", F.when(F.col("_cuts").isNotNull(), block))
         .withColumn("_range", F.when(F.col("_block").isNull() | (F.col("_block") == 0), F.lit(0))
                     .otherwise((F.col("_block") - 1) * F.col("_stride") + inner))
@@ -251,7 +251,8 @@ def split_cumulative(
         *hist.columns, "_range",
         *[F.coalesce(F.sum(w).over(running), F.lit(0)).alias(f"_b_{w}") for w in weights],
         *[F.sum(w).over(piece).alias(f"_p_{w}") for w in weights])
-    out = by_key(within, offsets, [*keys, "_range"], "left", small=True)
+    out = by_key(within, offsets, [*keys, "_range"], "left", small=True) if null_keys else within.join(
+        F.broadcast(offsets), [*keys, "_range"], "left")
     return out.select(
         *hist.columns,
         *[(F.col(f"_b_{w}") + F.coalesce(F.col(f"_o_{w}"), F.lit(0))).alias(f"{w}_before") for w in weights],

@@ -181,7 +181,7 @@ def _search(pts: DataFrame, keys: list[str], scale: Scale) -> DataFrame:
         hist = split.withColumn("_node", F.expr("shiftright(_xr, _bit + 1)")).withColumn(
             "_one", F.expr("shiftright(_xr, _bit) & 1")).groupBy(*node, "_z").agg(
             F.sum("_one").alias("_ones"), F.sum(F.lit(1) - F.col("_one")).alias("_zeros"))
-        placed = split_cumulative(hist, node, "_z", ["_zeros"], scale)
+        placed = split_cumulative(hist, node, "_z", ["_zeros"], scale, null_keys=False)
         crossing = F.col("_ones") * (F.col("_zeros_total") - F.col("_zeros_before") - F.col("_zeros"))
         counts = placed.groupBy(*keys, "rank", "_i").agg(F.sum(crossing).alias("below"))
         low = F.col("below") <= F.col("rank")
