@@ -1,155 +1,185 @@
-"""Toxicity: class-conditional Kneser-Ney models of character sequences.
-
-Text is read as letters (case folded), four classes of other letters' bytes, an apostrophe, and
-one gap symbol for any run of anything else: 32 symbols. Both classes, toxic and ordinary, have
-an interpolated Kneser-Ney model of order five. The highest order counts are the class's own;
-all lower orders are continuation counts of both classes together, so that rare expressions
-get the same probability from both and cancel. The score is the logistic of the mean
-difference of log-likelihoods per symbol.
-
-Counts come from all labelled training texts and grow with them until every sequence has been
-seen; there are 32^5 sequences at most, which bounds the model (a row of 32 numbers for each
-context seen, at most 128 MB). Slope and intercept of the logistic are fitted on a quarter of
-the training rows, scored by a model of the other three quarters, so they don't see the
-model's own texts; the model that scores is then made from all counts.
-
-Defined results: null and empty texts have difference 0. Without training rows of both classes
-the score is the share of toxic training rows, 0 without any. Repeated rows are scored, and
+"""Toxicity: class-conditional Kneser-Ney models of word sequences.
+
+Words are runs of letters, marks and digits, case folded and not folded otherwise; a letter of a
+script that sets no spaces between words (Han, Kana) is a word. Both classes, toxic and ordinary,
+have an interpolated Kneser-Ney model of word pairs over continuation counts of words over all
+known words and one unknown, with the discounts that their counts of counts give. STRENGTH adds so
+many rows of the lower order to every context (the concentration of a Pitman-Yor process, of which
+Kneser-Ney is the case 0), so that contexts seen a few times don't decide.
+
+A toxic text is mostly ordinary words, so it is modelled as a mixture: each word comes from the
+toxic model with probability SHARE. A text's difference is the sum over all its words of the log of
+the mixture's probability over the ordinary one, taken through asinh; the score is a logistic of it.
+
+Counts come from all labelled training texts and grow with them. They and the model are tables:
+texts' pairs are joined to them, by a broadcast only where they were counted to be few. Slope and
+intercept are fitted on a quarter of the training rows, scored by a model of the other three
+quarters, so they don't see the model's own texts; the model that scores is then made from all counts.
+Words stand in the tables by 64-bit hashes.
+
+Defined results: null texts and texts without words have difference 0. Without training rows of both
+classes the score is the share of toxic training rows, 0 without any. Repeated rows are scored, and
 repeated labels learnt, row by row. Other columns of the documents are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm.common import logistic, slices, text_buffer
+from stintwise.llm.common import logistic, mix, slices, stored_table
 from stintwise.llm.linkage import BROADCAST_ROWS
 
-ORDER, SYMBOLS, DISCOUNT = 5, 32, 0.75
-#: Cells in which the calibration rows' differences are counted.
-CELLS, WIDEST = 4000, 2.0
-
-
-def symbol_table() -> np.ndarray:
-    table = np.zeros(256, np.int32)
-    for k in range(26):
-        table[ord("a") + k] = table[ord("A") + k] = k + 1
-    table[128:] = 27 + np.arange(128, 256) % 4
-    table[ord("'")] = 31
-    return table
-
-
-TABLE = symbol_table()
-
-
-def sequences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every text's sequences of ORDER symbols as numbers, end to end, and how many each text has."""
-    n = len(bounds) - 1
-    symbols = TABLE[data]
-    keep = symbols != 0
-    if len(keep):
-        keep[1:] |= symbols[:-1] != 0
-        keep[0] = True
-        keep[bounds[:-1][np.diff(bounds) > 0]] = True
-    at = np.concatenate([[0], np.cumsum(keep)])[bounds]
-    counts = np.diff(at)
-    # ORDER - 1 gaps go before every text, so that no sequence spans two of them.
-    place = np.arange(at[-1]) + np.repeat((ORDER - 1) * np.arange(1, n + 1), counts)
-    line = np.zeros(at[-1] + (ORDER - 1) * n, np.int32)
-    line[place] = symbols[keep]
-    keys = np.zeros(len(line), np.int32)
-    for back in range(ORDER - 1, -1, -1):
-        keys *= SYMBOLS
-        keys[back:] += line[:len(line) - back] if back else line
-    return keys[place], counts
-
-
-def lower_orders(seen: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities from continuation counts; ``seen`` counts all sequences of a length."""
-    if len(seen) == SYMBOLS:
-        return (seen + 0.5) / (seen.sum() + 0.5 * SYMBOLS)
-    by_context = seen.reshape(-1, SYMBOLS).astype(np.float32)
-    total = by_context.sum(axis=1, keepdims=True)
-    kinds = (by_context > 0).sum(axis=1, keepdims=True)
-    below = lower_orders((seen.reshape(SYMBOLS, -1) > 0).sum(axis=0)).reshape(-1, SYMBOLS)
-    below = np.tile(below, (SYMBOLS, 1)).astype(np.float32)
-    return np.where(total > 0, (np.maximum(by_context - DISCOUNT, 0) + DISCOUNT * kinds * below) / np.maximum(total, 1),
-                    below).ravel()
+SHARE, STRENGTH, DISCOUNT = 0.001, 10_000, 0.75
+#: Cells to a unit of difference in which the calibration rows are counted.
+CELLS = 200
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}"
+WORD = regex.compile(rf"(?V1)[{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}--[{UNSPACED}]]+")
+#: Up to so many words a task keeps the hashes of.
+REMEMBERED = 500_000
+
+
+def word_ids(words: list[str], known: dict[str, int]) -> list[int]:
+    """64-bit hashes, none of them 0, which stands for the start of a text."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
+    return [known[w] for w in words]
+
+
+def pairs_of(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word's predecessor (0 at a text's start) and the word, end to end; the number of each text's words."""
+    found = [WORD.findall((t or "").casefold()) for t in texts]
+    counts = np.array([len(f) for f in found], np.int64)
+    word = np.array(word_ids([w for f in found for w in f], known), np.int64)
+    before = np.concatenate([[0], word[:-1]]).astype(np.int64)[:len(word)]
+    starts = np.cumsum(counts) - counts
+    before[starts[counts > 0]] = 0
+    return before, word, counts
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one row of each distinct key, and how many rows have it."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = mix(mixed * np.uint64(3) + k.view(np.uint64))
+    order = np.argsort(mixed, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(mixed[order]) != 0])[:len(order)])
+    return order[first], np.diff(np.append(first, len(order)))
+
+
+def counted(training: DataFrame) -> DataFrame:
+    """before, word and their counts n0..n3 over all training texts, by 2 * label + fold."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in slices(batches, "text"):
+            before, word, counts = pairs_of(batch.column("text").to_pylist(), known)
+            part = np.repeat(batch.column("label").to_numpy() * 2 + batch.column("fold").to_numpy(), counts).astype(np.int64)
+            at, n = runs(before, word, part)
+            yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at])] + [
+                pa.array(np.where(part[at] == p, n, 0)) for p in range(4)], ["before", "word", "n0", "n1", "n2", "n3"])
+
+    return training.mapInArrow(rows, "before long, word long, n0 long, n1 long, n2 long, n3 long") \
+        .groupBy("before", "word").agg(*(F.sum(f"n{p}").alias(f"n{p}") for p in range(4)))
+
+
+def text_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a checksum of the text), before, word, n: every text's distinct pairs, and a row of word 0 for itself."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            before, word, counts = pairs_of(texts, known)
+            row = np.repeat(np.arange(len(texts)), counts)
+            at, n = runs(before, word, row)
+            mark = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
+            # The own rows' predecessors differ, so that they don't meet in one task of a join.
+            row, whole = np.concatenate([row[at], np.arange(len(texts))]), np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), pa.array(mark[row]), pa.array(np.concatenate([before[at], mark])),
+                 pa.array(np.concatenate([word[at], whole])), pa.array(np.concatenate([n, whole + 1]))],
+                ["doc_id", "mark", "before", "word", "n"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        rows, "doc_id long, mark long, before long, word long, n long")
+
+
+def discount(ones: int | None, twos: int | None) -> float:
+    return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else DISCOUNT
+
+
+def if_few(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table
 
 
 @dataclass
 class Contrast:
-    """Difference of log-probabilities by context row and next symbol; the logistic over its mean."""
-
-    row_of: np.ndarray
-    table: np.ndarray
+    """Tables of pair counts (c0 ordinary, c1 toxic), of words' probabilities (p0, p1) and of contexts' weights
+    (s0, s1 for a count, b0, b1 for the lower order); the logistic over the difference."""
+
+    pairs: DataFrame | None = None
+    words: DataFrame | None = None
+    contexts: DataFrame | None = None
+    sizes: tuple[int, int, int] = (0, 0, 0)
+    discounts: tuple[float, float] = (DISCOUNT, DISCOUNT)
+    unknown: tuple[float, float] = (1.0, 1.0)
     slope: float = 1.0
     intercept: float = 0.0
     fixed: float | None = None
 
-    def difference(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        keys, counts = sequences(data, bounds)
-        gain = self.table[self.row_of[keys >> 5] * SYMBOLS + (keys & 31)]
-        total = np.concatenate([[0.0], np.cumsum(gain, dtype=np.float64)])
-        ends = np.cumsum(counts)
-        return (total[ends] - total[ends - counts]) / np.maximum(counts, 1)
+    def differences(self, docs: DataFrame) -> DataFrame:
+        """doc_id, mark, difference and the number of rows that have them."""
+        found = text_pairs(docs).join(if_few(self.pairs, self.sizes[0]), ["before", "word"], "left") \
+            .join(if_few(self.words, self.sizes[1]), "word", "left") \
+            .join(if_few(self.contexts, self.sizes[2]), "before", "left")
+        ordinary, toxic = (
+            F.coalesce(F.greatest(F.col(f"c{c}") - self.discounts[c], F.lit(0.0)) * F.col(f"s{c}"), F.lit(0.0))
+            + F.coalesce(f"b{c}", F.lit(1.0)) * F.coalesce(f"p{c}", F.lit(self.unknown[c])) for c in (0, 1))
+        gain = F.when(F.col("word") != 0, F.col("n") * F.log(1 - SHARE + SHARE * toxic / ordinary))
+        own = F.when(F.col("word") == 0, F.col("n"))
+        return found.groupBy("doc_id", "mark").agg(F.sum(gain).alias("total"), F.sum(own).alias("rows")).select(
+            "doc_id", "mark", F.asinh(F.coalesce("total", F.lit(0.0)) / F.col("rows")).alias("difference"), "rows")
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The scores of a few texts, given by their bytes."""
+        n = len(bounds) - 1
         if self.fixed is not None:
-            return np.full(len(bounds) - 1, self.fixed)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(data, bounds) + self.intercept, -500, 500)))
-
-
-def contrast(keys: np.ndarray, counts: np.ndarray) -> Contrast:
-    """The two models from distinct sequences and their counts in the ordinary and the toxic class."""
-    four = SYMBOLS ** (ORDER - 1)
-    shared = lower_orders(np.bincount(keys % four, minlength=four))
-    contexts, row = np.unique(keys >> 5, return_inverse=True)
-    row_of = np.zeros(four, np.int32)
-    row_of[contexts] = np.arange(1, len(contexts) + 1)
-    # Row 0 stands for every context that was not seen: there both models are the shared one.
-    below = shared.reshape(-1, SYMBOLS)[contexts % (four // SYMBOLS)]
-    logs = []
+            return np.full(n, self.fixed)
+        raw = data.tobytes()
+        docs = SparkSession.active().createDataFrame(
+            [(k, raw[a:b].decode()) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))], "doc_id long, text string")
+        return np.array([r.score for r in sorted(scored(docs, self).collect())])
+
+
+def contrast(pairs: DataFrame) -> Contrast:
+    """The two models from a stored table of before, word, c0 and c1."""
+    totals = pairs.agg(F.count("*"), *(F.count_if(F.col(f"c{c}") == k) for c in (0, 1) for k in (1, 2))).first()
+    kinds = stored_table(pairs.groupBy("word").agg(*(F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}") for c in (0, 1))), "kinds")
+    of_kinds = kinds.agg(F.count("*"), *(f for c in (0, 1) for f in (
+        F.sum(f"k{c}"), F.count_if(F.col(f"k{c}") > 0), F.count_if(F.col(f"k{c}") == 1), F.count_if(F.col(f"k{c}") == 2)))).first()
+    discounts, unknown, known = [], [], []
     for c in (0, 1):
-        own = np.zeros((len(contexts), SYMBOLS), np.float32)
-        own[row, keys & 31] = counts[c]
-        total = own.sum(axis=1, keepdims=True)
-        kept = np.maximum(own - DISCOUNT, 0)
-        rest = total - kept.sum(axis=1, keepdims=True)
-        logs.append(np.log(np.where(total > 0, (kept + rest * below) / np.maximum(total, 1), below)))
-    table = np.concatenate([np.zeros((1, SYMBOLS)), logs[1] - logs[0]]).astype(np.float32)
-    return Contrast(row_of, table.ravel())
-
-
-def counted(training: DataFrame) -> DataFrame:
-    """(sequence, label, fold) -> count over all training texts, combined in every task first."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in slices(batches, "text"):
-            keys, counts = sequences(*text_buffer(batch.column("text")))
-            group = batch.column("label").to_numpy() * 2 + batch.column("fold").to_numpy()
-            of = np.repeat(group, counts)
-            for g in np.unique(group):
-                new = np.unique(keys[of == g], return_counts=True)
-                pair = held.get(int(g))
-                if pair is not None:
-                    both = np.concatenate([pair[0], new[0]])
-                    k, at = np.unique(both, return_inverse=True)
-                    new = (k, np.bincount(at, np.concatenate([pair[1], new[1]])).astype(np.int64))
-                held[int(g)] = new
-        for g, (k, n) in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.astype(np.int32)), pa.array(np.full(len(k), g, np.int32)), pa.array(n.astype(np.int64))],
-                ["sequence", "part", "n"])
-
-    return training.mapInArrow(rows, "sequence int, part int, n long").groupBy("sequence", "part").agg(
-        F.sum("n").alias("n"))
+        discounts.append(discount(*totals[1 + 2 * c:3 + 2 * c]))
+        total, types, ones, twos = of_kinds[1 + 4 * c:5 + 4 * c]
+        off = discount(ones, twos)
+        unknown.append(off * types / (of_kinds[0] + 1) / total if total else 1 / (of_kinds[0] + 1))
+        known.append((F.greatest(F.col(f"k{c}") - off, F.lit(0.0)) / (total or 1) + unknown[c]).alias(f"p{c}"))
+    words = stored_table(kinds.select("word", *known), "words")
+    sums = pairs.groupBy("before").agg(*(f for c in (0, 1) for f in (
+        F.sum(f"c{c}").alias(f"n{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}"))))
+    contexts = stored_table(sums.select("before", *(f for c in (0, 1) for f in (
+        (1 / (F.col(f"n{c}") + STRENGTH)).alias(f"s{c}"),
+        ((discounts[c] * F.col(f"k{c}") + STRENGTH) / (F.col(f"n{c}") + STRENGTH)).alias(f"b{c}")))), "contexts")
+    return Contrast(pairs, words, contexts, (totals[0], of_kinds[0], contexts.count()), tuple(discounts), tuple(unknown))
 
 
 def learnt(docs: DataFrame, labels: DataFrame, held_out: str) -> Contrast:
@@ -160,49 +190,35 @@ def learnt(docs: DataFrame, labels: DataFrame, held_out: str) -> Contrast:
     # Few labels, as counted, are broadcast; for more the texts are shuffled to them.
     few = known.count() <= BROADCAST_ROWS
     training = docs.where(f"not ({held_out})").select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id") \
-        .select("text", "label", "fold")
-    found = counted(training).groupBy("sequence").pivot("part", [0, 1, 2, 3]).agg(F.sum("n")).fillna(0).toPandas()
+        .select("doc_id", "text", "label", "fold")
     sizes = {(r[0], r[1]): r[2] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("label", "fold")
              .count().collect()}
     ordinary, toxic = (sizes.get((c, 0), 0) + sizes.get((c, 1), 0) for c in (0, 1))
     if not (ordinary and toxic):
-        return Contrast(np.zeros(1), np.zeros(1), fixed=toxic / (ordinary + toxic) if toxic else 0.0)
-    keys = found["sequence"].to_numpy().astype(np.int64)
-    counts = found[["0", "1", "2", "3"]].to_numpy().T
-    model = contrast(keys, [counts[0] + counts[1], counts[2] + counts[3]])
+        return Contrast(fixed=toxic / (ordinary + toxic) if toxic else 0.0)
+    counts = stored_table(counted(training), "pair_counts")
+    model = contrast(counts.selectExpr("before", "word", "n0 + n1 as c0", "n2 + n3 as c1"))
     if not all(sizes.get((c, f)) for c in (0, 1) for f in (0, 1)):
         # Too few rows to set some aside: calibrate on the training rows themselves.
         trial, rows = model, training
     else:
-        some = counts[0] + counts[2] > 0
-        trial, rows = contrast(keys[some], [counts[0][some], counts[2][some]]), training.where("fold = 1")
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS), np.int64)
-        for batch in slices(batches, "text"):
-            x = trial.difference(*text_buffer(batch.column("text")))
-            at = np.clip((x + WIDEST) / (2 * WIDEST) * CELLS, 0, CELLS - 1).astype(np.int64)
-            y = batch.column("label").to_numpy()
-            for c in (0, 1):
-                total[c] += np.bincount(at[y == c], minlength=CELLS)
-        some = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])],
-                                         ["cell", "ordinary", "toxic"])
-
-    seen = rows.mapInArrow(cells, "cell long, ordinary long, toxic long").groupBy("cell").agg(
-        F.sum("ordinary"), F.sum("toxic")).collect()
-    cell, ordinary, toxic = np.array(seen, dtype=float).T
-    model.slope, model.intercept = logistic((cell + 0.5) / CELLS * 2 * WIDEST - WIDEST, ordinary, toxic)
+        trial = contrast(counts.where("n0 + n2 > 0").selectExpr("before", "word", "n0 as c0", "n2 as c1"))
+        rows = training.where("fold = 1")
+    # A document's labels are told apart by count: repeated labels repeat its rows, in pairs and in sums alike.
+    of = known.groupBy("doc_id").agg(*(F.count_if(F.col("label") == c).alias(f"y{c}") for c in (0, 1)))
+    cell = F.floor(F.col("difference") * CELLS)
+    seen = trial.differences(rows).join(of, "doc_id").groupBy(cell.alias("cell")).agg(
+        *(F.sum(F.col("rows") * F.col(f"y{c}") / (F.col("y0") + F.col("y1"))) for c in (0, 1))).collect()
+    cells, ordinary, toxic = np.array(seen, dtype=float).T
+    model.slope, model.intercept = logistic((cells + 0.5) / CELLS, ordinary, toxic)
     return model
 
 
 def scored(docs: DataFrame, model: Contrast) -> DataFrame:
     """doc_id and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            score = shared.value.score(*text_buffer(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, score double")
+    if model.fixed is not None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(model.fixed)).alias("score"))
+    found = model.differences(docs)
+    at = F.greatest(F.least(F.col("difference") * model.slope + model.intercept, F.lit(500.0)), F.lit(-500.0))
+    return found.select("doc_id", (1 / (1 + F.exp(-at))).alias("score"), F.explode(F.expr("array_repeat(0, cast(rows as int))"))) \
+        .select("doc_id", "score")
