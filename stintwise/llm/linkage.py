@@ -25,6 +25,8 @@ from stintwise.llm.common import components, stored_table
 
 #: Items of a leader's group that go to one cell.
 BLOCK = 512
+#: Differences of rounded distances may exceed the true ones by less than this; the exact test decides.
+MARGIN = 1e-9
 #: Up to so many ids, or rows of a few numbers (50 MB), texts are found by a broadcast.
 BROADCAST_IDS = BROADCAST_ROWS = 1_000_000
 
@@ -64,7 +66,7 @@ def tested(cells: DataFrame, prepare: Prepare, distances: Distances, limit: floa
                         continue
                     pairs += [(left, item, a, i) for left, a, other, far in held
                               if a != i and (other is None or other != component)
-                              and (far is None or anchor is None or abs(far - anchor) <= limit)]
+                              and (far is None or anchor is None or abs(far - anchor) <= limit + MARGIN)]
                 if not pairs:
                     continue
                 left, right, a, b = zip(*pairs)
@@ -114,7 +116,7 @@ def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Dis
     sizes = group.groupBy("leader").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("long")).alias("n_apart"),
                                         F.min(F.when(F.col("apart"), F.col("anchor"))).alias("nearest")) \
         .where("n_apart > 0 and n > 1")
-    rest = group.join(sizes, "leader").where(F.col("apart") | (F.col("anchor") >= F.col("nearest") - limit)).select(
+    rest = group.join(sizes, "leader").where(F.col("apart") | (F.col("anchor") >= F.col("nearest") - limit - MARGIN)).select(
         "leader", "id", "anchor", "component", "apart", F.ceil(F.col("n_apart") / BLOCK).alias("rows"),
         F.ceil(F.col("n") / BLOCK).alias("columns"))
     row, column = F.pmod(F.xxhash64("id"), "rows"), F.pmod(F.xxhash64("id", F.lit(7)), "columns")
