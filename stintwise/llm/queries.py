@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.llm import (
-    exactdedup, hnsw, jaccard, linededup, packing, pieces, quality, suffixes, topk, toxicity, urlfilter,
+    conversations, exactdedup, hnsw, jaccard, linededup, manifest, packing, pieces, quality, suffixes, topk, toxicity, urlfilter,
 )
 from stintwise.llm.common import read_table
 
@@ -169,3 +169,13 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PAR
 @query("op11_exact_dedup", OP11_SQL)
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.decisions(read_table(spark, sf_dir, "documents")).drop("twins")
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(read_table(spark, sf_dir, "conversations")))
