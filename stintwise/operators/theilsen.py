@@ -1,11 +1,10 @@
 """Theil-Sen slope (median of pairwise slopes) without forming the pairs.
 
 The number of slopes below s equals the number of point pairs that are out of order after
-y is replaced by y - s * x. Counting those costs n log n. Groups up to ``max_group`` points are
-solved one per task: the bracket about the wanted ranks is narrowed with slopes of sampled
-points until it holds few, and the slope of that rank among them is the result, an actual
-slope of two points at every size. Larger groups are searched by the cluster, with the counting
-spread over value ranges, down to a relative width of 1e-13; a bracket about zero gives zero.
+y is replaced by y - s * x. Counting those costs n log n. The bracket about the wanted ranks is
+narrowed with slopes drawn from inside it until it holds few pairs, and the slope of that rank
+among them is the result: an actual slope of two points at every size. Groups up to ``max_group``
+points are solved one per task; larger ones by the cluster, see ``slopeselect``.
 """
 
 from __future__ import annotations
@@ -16,14 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stintwise.operators.spread import UNKNOWN, Scale, heavy_keys, lookup_join, position_in, split_cumulative
+from stintwise.operators.slopeselect import select_slopes
+from stintwise.operators.spread import UNKNOWN, Scale, heavy_keys
 from stintwise.session import cut_lineage
 
 MAX_GROUP = 100_000
 DIRECT = 256
-WIDTH = 1e-13
-PROBES = 15
-ROUNDS = 40
 
 
 def out_of_order(values: np.ndarray) -> np.ndarray:
@@ -128,7 +125,7 @@ def theil_sen(
     if heavy.isEmpty():
         return _solve_groups(pts, keys)
     small = _solve_groups(pts.join(heavy, keys, "left_anti"), keys)
-    return small.unionByName(_search(cut_lineage(pts.join(heavy, keys, "left_semi")), keys, scale))
+    return small.unionByName(select_slopes(pts.join(F.broadcast(heavy), keys, "left_semi"), keys, scale))
 
 
 def _solve_groups(pts: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,54 +137,3 @@ def _solve_groups(pts: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     return pts.groupBy(*keys).applyInPandas(solve, schema)
-
-
-def _search(pts: DataFrame, keys: list[str], scale: Scale) -> DataFrame:
-    """Distributed search for groups above the per-task bound; few groups, many points each."""
-    columns = pts.groupBy(*keys, "_x").agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"),
-                                           F.count(F.lit(1)).alias("_c"))
-    columns = cut_lineage(position_in(columns, keys, ["_x"], "_xr", scale))
-    depth = int(columns.agg(F.max("_xr")).first()[0]).bit_length()
-    # The steepest and flattest slopes lie between neighbouring x; match each with its next.
-    left = columns.select(*keys, (F.col("_xr") + 1).alias("_xr"), F.col("_x").alias("_px"),
-                          F.col("_lo").alias("_plo"), F.col("_hi").alias("_phi"))
-    gap = F.col("_x") - F.col("_px")
-    bounds = columns.join(left, [*keys, "_xr"]).groupBy(*keys).agg(
-        F.min((F.col("_lo") - F.col("_phi")) / gap).alias("lo"),
-        F.max((F.col("_hi") - F.col("_plo")) / gap).alias("hi"))
-    sizes = columns.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"), F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias("_same"))
-    total = (F.col("_n") * (F.col("_n") - 1) / 2 - F.col("_same")).cast("long")
-    state = bounds.join(sizes, keys).withColumn("_total", total).withColumn("rank", F.explode(F.array(
-        F.expr("(_total - 1) div 2"), F.expr("_total div 2")))).distinct().select(
-        *keys, "rank", "_total", "lo", (F.col("hi") + F.abs("hi") * 1e-12 + 1e-300).alias("hi"),
-        (F.col("hi") - F.col("lo")).alias("_span"))
-    state = cut_lineage(state)
-    ranked = cut_lineage(lookup_join(pts, columns.select(*keys, "_x", "_xr"), [*keys, "_x"], "inner",
-                                     [F.col("_y")], scale))
-    finest = WIDTH * F.greatest(F.abs("lo"), F.abs("hi"), F.col("_span") * 1e-3)
-    for done in range(ROUNDS + 1):
-        if state.filter((F.col("hi") - F.col("lo")) > finest).isEmpty():
-            break
-        if done == ROUNDS:
-            raise ArithmeticError(f"the slope search did not settle in {ROUNDS} rounds")
-        probes = state.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(PROBES)))).withColumn(
-            "s", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_i") / (PROBES + 1))
-        z = F.col("_y") - F.col("s") * F.col("_x")
-        bits = F.sequence(F.lit(0), F.lit(max(0, depth - 1)))
-        split = ranked.join(F.broadcast(probes.select(*keys, "rank", "_i", "s")), keys).select(
-            *keys, "rank", "_i", "_xr", z.alias("_z"), F.explode(bits).alias("_bit"))
-        node = [*keys, "rank", "_i", "_bit", "_node"]
-        hist = split.withColumn("_node", F.expr("shiftright(_xr, _bit + 1)")).withColumn(
-            "_one", F.expr("shiftright(_xr, _bit) & 1")).groupBy(*node, "_z").agg(
-            F.sum("_one").alias("_ones"), F.sum(F.lit(1) - F.col("_one")).alias("_zeros"))
-        placed = split_cumulative(hist, node, "_z", ["_zeros"], scale, null_keys=False)
-        crossing = F.col("_ones") * (F.col("_zeros_total") - F.col("_zeros_before") - F.col("_zeros"))
-        counts = placed.groupBy(*keys, "rank", "_i").agg(F.sum(crossing).alias("below"))
-        low = F.col("below") <= F.col("rank")
-        narrowed = probes.join(counts, [*keys, "rank", "_i"]).groupBy(*keys, "rank", "_total", "_span").agg(
-            F.greatest(F.max("lo"), F.max(F.when(low, F.col("s")))).alias("lo"),
-            F.least(F.max("hi"), F.min(F.when(~low, F.col("s")))).alias("hi"))
-        state = cut_lineage(narrowed)
-    settled = F.when((F.col("lo") <= 0) & (F.col("hi") >= 0), F.lit(0.0)).otherwise(F.col("lo"))
-    return state.groupBy(*keys).agg(F.avg(settled).alias("slope"))
