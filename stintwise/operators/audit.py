@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintwise.functions.canonical import row_hash
 from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, ordered_scan
 from stintwise.vocabulary import (
     BOOLEAN_CONCEPTS, CONCEPT_UNITS, INTEGER_CONCEPTS, PROVENANCES, RECORD_TYPES, TEXT_CONCEPTS,
@@ -339,26 +340,6 @@ def finding_keys(bins: DataFrame, findings: DataFrame, session_key: str, lap: st
         ).alias("problem"))
 
 
-def region_coverage(bins: DataFrame, regions: DataFrame, session_key: str, lap: str, at: str,
-                    scale: Scale = UNKNOWN) -> DataFrame:
-    """Smallest share of sampled bins over the laps, per region of a session.
-
-    Equi-join on the session, the range part of its condition; a session has few regions, so
-    they are repeated for the pieces of a session that holds very many bins.
-    """
-    pieces = 1 if scale.fits else 64
-    piece = F.pmod(F.xxhash64(lap, at), F.lit(pieces))
-    left = bins.select(session_key, lap, at, "has_sample", piece.alias("_piece"))
-    right = regions.select(F.col(session_key).alias("_session"), "finding_key", "start", "end",
-                           F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_part"))
-    rows = left.join(right, (F.col(session_key) == F.col("_session")) & (F.col("_piece") == F.col("_part"))
-                     & F.col(at).between(F.col("start"), F.col("end")))
-    per_lap = rows.groupBy(session_key, "finding_key", lap).agg(
-        (F.count_if("has_sample") / F.count(F.lit(1))).alias("share"))
-    return per_lap.groupBy(session_key, "finding_key").agg(
-        F.min("share").alias("coverage"), F.count(F.lit(1)).alias("laps"))
-
-
 def lap_set_agreement(laps: DataFrame, keys: list[str]) -> DataFrame:
     """Exactly one reviewed and one best lap per bundle; comparable = reference or reviewed."""
     return laps.groupBy(*keys).agg(
@@ -369,26 +350,6 @@ def lap_set_agreement(laps: DataFrame, keys: list[str]) -> DataFrame:
         F.col("best") != 1, "best_lap_count"))
 
 
-def bind_blocks(laps: DataFrame, blocks: DataFrame, keys: list[str], lap_number: str) -> DataFrame:
-    """Assign laps to the declared block that holds them; zero or several is a problem.
-
-    The range is part of the join condition, so only laps inside a block leave the join.
-    """
-    declared = blocks.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "block", "start_lap", "end_lap")
-    held = F.col(lap_number).between(F.col("start_lap"), F.col("end_lap"))
-    for k in keys:
-        held = held & (F.col(k) == F.col(f"_of_{k}"))
-    return laps.select(*keys, lap_number).join(declared, held, "left").groupBy(*keys, lap_number).agg(
-        F.count("block").alias("blocks"), F.min("block").alias("block"),
-    ).withColumn("problem", F.when(F.col("blocks") == 0, "no_block").when(F.col("blocks") > 1, "several_blocks"))
-
-
-def block_rules(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Declared blocks with an impossible range."""
-    return violations(blocks, {"range": F.col("start_lap") <= F.col("end_lap"), "start": F.col("start_lap") >= 0},
-                      [*keys, "block"])
-
-
 def scan_text(df: DataFrame, subject: list[str], text: str, rules: tuple[tuple[str, tuple[str, ...], str], ...]
               ) -> DataFrame:
     """(subject, rule) for each pattern found anywhere in the whole text."""
@@ -420,24 +381,41 @@ def scan_files(files: DataFrame, group: str, classified: Column) -> DataFrame:
     return single.unionByName(total)
 
 
-def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Content hash per key that ignores row and column order.
+def bucket_fingerprints(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Content hash per key and bucket, of which a row's own hash chooses one of 256: keys, bucket, n_rows, fingerprint.
 
     Each row's SHA-256 is cut into four 60-bit numbers that are summed: a mergeable sum, so
-    no group is ever gathered or sorted. The sums and the row count are hashed once more.
+    no group is ever gathered or sorted.
     """
-    ordered = sorted(columns)
-    cell = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ordered]
-    tagged = F.sha2(F.concat_ws("\u001f", *[F.concat(F.lit(c + "="), v) for c, v in zip(ordered, cell)]), 256)
-    rows = df.select(*keys, tagged.alias("_h"))
+    rows = df.select(*keys, row_hash(columns).alias("_h"))
     pieces = [F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"_s{i}")
               for i in range(4)]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *pieces).select(
-        *keys, "n_rows",
+    return rows.groupBy(*keys, F.substring("_h", 1, 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"), *pieces).select(
+        *keys, "bucket", "n_rows",
         F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(4)]),
                256).alias("fingerprint"))
 
 
+def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Content hash per key that ignores row and column order: the root over its buckets' hashes."""
+    leaf = F.concat_ws(":", "bucket", "fingerprint")
+    return bucket_fingerprints(df, keys, columns).groupBy(*keys).agg(
+        F.sum("n_rows").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(leaf)), "|"), 256).alias("fingerprint"))
+
+
+def differing_buckets(stored: DataFrame, rebuilt: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets in which two datasets differ, so that only their rows need to be compared: keys, bucket, and both counts."""
+    on = [*keys, "bucket"]
+    sides = [d.select(*on, F.lit(side).alias("_side"), "n_rows", "fingerprint") for side, d in enumerate((stored, rebuilt))]
+
+    def of(side: int, column: str) -> Column:
+        return F.max(F.when(F.col("_side") == side, F.col(column)))
+
+    return sides[0].unionByName(sides[1]).groupBy(*on).agg(
+        of(0, "n_rows").alias("stored_rows"), of(1, "n_rows").alias("rebuilt_rows"), of(0, "fingerprint").alias("_a"), of(1, "fingerprint").alias("_b"),
+    ).where(~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")
+
+
 def table_diff(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Rows whose number of copies differs, with the surplus on the rebuilt side.
 

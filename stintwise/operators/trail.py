@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintwise.functions.canonical import row_hash
 from stintwise.operators.audit import violations
 from stintwise.operators.spread import UNKNOWN, Scale, literal_table, lookup_join, ordered_scan
 
@@ -20,11 +21,6 @@ LIFECYCLE_EDGES = (
 EVIDENCE_STATES = ("tested", "supported_provisionally", "rejected", "inconclusive", "replication_required")
 
 
-def row_hash(columns: list[str]) -> Column:
-    """SHA-256 of the named columns, in name order."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]), 256)
-
-
 def hash_mismatches(transitions: DataFrame, subject: list[str], stored: str, columns: list[str]) -> DataFrame:
     """Rows whose stored hash is not the hash of their content."""
     return transitions.filter(~F.col(stored).eqNullSafe(row_hash(columns))).select(*subject)

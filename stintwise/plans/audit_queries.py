@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.operators import audit
+from stintwise.operators import audit, sweeps
 from stintwise.operators.spread import fan_out
 from stintwise.plans.bindings import (
-    BINS_SQL, EVENTS_SQL, base_events, distance_bins, findings, lap_table, laps, minute_slot, samples, scale_of,
+    BINS_SQL, EVENTS_SQL, base_events, contexts, distance_bins, findings, lap_table, laps, minute_slot, samples, scale_of,
     table,
 )
-from stintwise.plans.registry import query
+from stintwise.plans.registry import ROOT_SQL, query
 from stintwise.schema import reading
 
 
@@ -216,15 +216,36 @@ def c18(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("first_bin", "last_bin")})
 
 
-@query("c19_region_coverage", "WITH " + BINS_SQL + """,
-p AS (SELECT b.dataset_id, f.finding_key, b.lap_id, count(*) FILTER (has_sample) / count(*)::DOUBLE AS share
-      FROM bins b JOIN findings f ON b.dataset_id = f.dataset_id AND b.distance_m BETWEEN f."start" AND f."end"
-      GROUP BY ALL)
-SELECT dataset_id, finding_key, min(share) AS coverage, count(*) AS laps FROM p GROUP BY ALL""")
+#: Regions about a finding: its own, two that overlap it, and one beyond the lap's end.
+REGIONS_SQL = """,
+r AS (SELECT dataset_id, finding_key, "start", "end", 1.0::DOUBLE AS declared FROM findings
+      UNION ALL SELECT dataset_id, 'F2', 0.0, 5.0, 0.5 FROM findings UNION ALL SELECT dataset_id, 'F3', 4.0, 9.0, NULL FROM findings
+      UNION ALL SELECT dataset_id, 'F4', 12.0, 15.0, 0.0 FROM findings),
+chosen AS (SELECT DISTINCT dataset_id, lap_id FROM lap_table WHERE is_reference OR is_reviewed_lap
+           UNION SELECT dataset_id, 'never driven' FROM lap_table WHERE lap_number % 5 = 0)"""
+
+
+@query("c19_region_coverage", "WITH " + BINS_SQL + REGIONS_SQL + """,
+p AS (SELECT r.dataset_id, r.finding_key, r."start", r."end", c.lap_id, count(b.lap_id) AS total, count(*) FILTER (b.has_sample) AS seen
+      FROM r JOIN chosen c ON c.dataset_id = r.dataset_id
+      LEFT JOIN bins b ON b.dataset_id = r.dataset_id AND b.lap_id = c.lap_id AND b.distance_m BETWEEN r."start" AND r."end" GROUP BY ALL),
+q AS (SELECT dataset_id, finding_key, "start", "end", min(CASE WHEN total > 0 THEN seen / total::DOUBLE ELSE 0.0 END) AS coverage, count(*) AS laps,
+             count(*) FILTER (total = 0) AS absent FROM p GROUP BY ALL)
+SELECT r.dataset_id, r.finding_key, r."start", r."end", r.declared, q.coverage, coalesce(q.laps, 0) AS laps, coalesce(q.absent, 0) AS absent,
+       CASE WHEN q.laps IS NULL THEN 'no_comparison_lap' WHEN q.absent > 0 THEN 'absent_on_lap'
+            WHEN abs(r.declared - q.coverage) > 0.0005 THEN 'coverage_mismatch' END AS problem
+FROM r LEFT JOIN q ON q.dataset_id = r.dataset_id AND q.finding_key = r.finding_key AND r."start" = q."start" AND r."end" = q."end"
+""")
 def c19(spark: SparkSession, sf: str) -> DataFrame:
-    regions = findings(spark, sf).select("dataset_id", "finding_key", "start", "end")
-    return audit.region_coverage(distance_bins(spark, sf), regions, "dataset_id", "lap_id", "distance_m",
-                                 scale_of(sf).times(10))
+    own = findings(spark, sf).select("dataset_id", "finding_key", "start", "end")
+    regions = own.select("dataset_id", F.inline(F.array(*[
+        F.struct(F.lit(key).alias("finding_key"), start.alias("start"), end.alias("end"), F.lit(declared).cast("double").alias("coverage"))
+        for key, start, end, declared in (("F1", F.col("start"), F.col("end"), 1.0), ("F2", F.lit(0.0), F.lit(5.0), 0.5),
+                                          ("F3", F.lit(4.0), F.lit(9.0), None), ("F4", F.lit(12.0), F.lit(15.0), 0.0))])))
+    laps_seen = lap_table(spark, sf)
+    chosen = laps_seen.where("is_reference or is_reviewed_lap").select("dataset_id", "lap_id").unionByName(
+        laps_seen.where("lap_number % 5 = 0").select("dataset_id", F.lit("never driven").alias("lap_id")))
+    return sweeps.region_coverage(distance_bins(spark, sf), regions, chosen, "dataset_id", "lap_id", "distance_m", scale_of(sf).times(10))
 
 
 @query("c20_lap_set_agreement", "WITH " + BINS_SQL + """
@@ -237,26 +258,67 @@ def c20(spark: SparkSession, sf: str) -> DataFrame:
     return audit.lap_set_agreement(lap_table(spark, sf), ["participant"])
 
 
-@query("c21_block_binding", "WITH " + EVENTS_SQL + """,
-b(block, start_lap, end_lap) AS (VALUES ('b1', 1, 7), ('b2', 8, 14), ('b3', 14, 20), ('b4', 22, 28))
-SELECT participant, lap_number, count(b.block) AS blocks, min(b.block) AS block,
-       CASE count(b.block) WHEN 0 THEN 'no_block' WHEN 1 THEN NULL ELSE 'several_blocks' END AS problem
-FROM laps l LEFT JOIN b ON l.lap_number BETWEEN b.start_lap AND b.end_lap GROUP BY participant, lap_number""")
+BLOCKS = "stack(4, 'b1', 1, 7, 'b2', 8, 14, 'b3', 14, 20, 'b4', 22, 28) AS (block, start_lap, end_lap)"
+BLOCKS_SQL = EVENTS_SQL + """,
+b(block, start_lap, end_lap) AS (VALUES ('b1', 1, 7), ('b2', 8, 14), ('b3', 14, 20), ('b4', 22, 28))"""
+
+
+@query("c21_block_binding", "WITH " + BLOCKS_SQL + """,
+l AS (SELECT participant, lap_number FROM laps UNION ALL SELECT participant, lap_number FROM laps WHERE lap_number = 5)
+SELECT participant, lap_number, rows, count(b.block) AS blocks, CASE WHEN count(b.block) = 1 THEN min(b.block) END AS block,
+       CASE WHEN rows > 1 THEN 'duplicate_lap' WHEN count(b.block) = 0 THEN 'no_block' WHEN count(b.block) > 1 THEN 'several_blocks' END AS problem
+FROM (SELECT participant, lap_number, count(*) AS rows FROM l GROUP BY ALL) l LEFT JOIN b ON l.lap_number BETWEEN b.start_lap AND b.end_lap
+GROUP BY participant, lap_number, rows""")
 def c21(spark: SparkSession, sf: str) -> DataFrame:
-    plan = "stack(4, 'b1', 1, 7, 'b2', 8, 14, 'b3', 14, 20, 'b4', 22, 28) AS (block, start_lap, end_lap)"
-    driven = laps(spark, sf)
-    blocks = driven.select("participant").distinct().selectExpr("participant", plan)
-    return audit.bind_blocks(driven, blocks, ["participant"], "lap_number")
+    driven = laps(spark, sf).select("participant", "lap_number")
+    blocks = driven.select("participant").distinct().selectExpr("participant", BLOCKS)
+    return sweeps.bind_blocks(driven.unionByName(driven.where("lap_number = 5")), blocks, ["participant"], "lap_number", scale_of(sf))
 
 
 @query("c21_block_rules", """
-WITH b AS (SELECT o_custkey, o_orderkey AS block, o_custkey % 40 - 2 AS start_lap, o_orderkey % 40 AS end_lap FROM orders)
+WITH b AS (SELECT o_custkey, o_orderkey % 50 AS block, o_custkey % 40 - 2 + o_orderkey % 60 AS start_lap, o_custkey % 40 - 2 + o_orderkey % 70 AS end_lap FROM orders),
+w AS (SELECT *, max(end_lap) OVER (PARTITION BY o_custkey ORDER BY start_lap, end_lap, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM b WHERE start_lap <= end_lap)
 SELECT o_custkey, block, 'range' AS rule FROM b WHERE start_lap > end_lap
-UNION ALL SELECT o_custkey, block, 'start' FROM b WHERE start_lap < 0""")
+UNION ALL SELECT o_custkey, block, 'start' FROM b WHERE start_lap < 0
+UNION ALL SELECT o_custkey, block, 'duplicate' FROM b GROUP BY o_custkey, block HAVING count(*) > 1
+UNION ALL SELECT o_custkey, block, 'overlap' FROM w WHERE reach >= start_lap
+UNION ALL SELECT o_custkey, block, 'gap' FROM w WHERE reach < start_lap - 1""")
 def c21_rules(spark: SparkSession, sf: str) -> DataFrame:
     blocks = table(spark, sf, "orders").selectExpr(
-        "o_custkey", "o_orderkey AS block", "o_custkey % 40 - 2 AS start_lap", "o_orderkey % 40 AS end_lap")
-    return audit.block_rules(blocks, ["o_custkey"])
+        "o_custkey", "o_orderkey % 50 AS block", "o_custkey % 40 - 2 + o_orderkey % 60 AS start_lap", "o_custkey % 40 - 2 + o_orderkey % 70 AS end_lap")
+    return sweeps.block_rules(blocks, ["o_custkey"], scale_of(sf, "orders"))
+
+
+@query("c21_assignments", "WITH " + BLOCKS_SQL + """,
+s AS (SELECT DISTINCT participant, lap_number,
+        CASE WHEN lap_number % 9 = 0 THEN 'b9' WHEN lap_number % 11 = 0 THEN 'b1' WHEN lap_number <= 7 THEN 'b1' WHEN lap_number <= 14 THEN 'b2'
+             WHEN lap_number <= 20 THEN 'b3' ELSE 'b4' END AS block FROM laps),
+g AS (SELECT * FROM s UNION ALL SELECT participant, lap_number, 'b1' FROM s WHERE lap_number % 5 = 0
+      UNION ALL SELECT DISTINCT participant, 99, 'b4' FROM s)
+SELECT participant, lap_number, 'duplicate_assignment' AS rule FROM g GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT DISTINCT participant, lap_number, 'unknown_block' FROM g WHERE block NOT IN (SELECT block FROM b)
+UNION ALL SELECT DISTINCT participant, lap_number, 'absent_lap' FROM g WHERE (participant, lap_number) NOT IN (SELECT (participant, lap_number) FROM laps)
+UNION ALL SELECT DISTINCT participant, lap_number, 'outside_block' FROM g JOIN b USING (block) WHERE lap_number NOT BETWEEN start_lap AND end_lap""")
+def c21_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    driven = laps(spark, sf).select("participant", "lap_number").distinct()
+    blocks = driven.select("participant").distinct().selectExpr("participant", BLOCKS)
+    planned = driven.selectExpr("participant", "lap_number", """CASE WHEN lap_number % 9 = 0 THEN 'b9' WHEN lap_number % 11 = 0 THEN 'b1' WHEN lap_number <= 7 THEN 'b1'
+        WHEN lap_number <= 14 THEN 'b2' WHEN lap_number <= 20 THEN 'b3' ELSE 'b4' END AS block""")
+    given = planned.unionByName(planned.where("lap_number % 5 = 0").withColumn("block", F.lit("b1"))).unionByName(
+        driven.select("participant").distinct().selectExpr("participant", "99 AS lap_number", "'b4' AS block"))
+    return sweeps.assignment_rules(given, blocks, driven, ["participant"], "lap_number")
+
+
+@query("c21_identity", "WITH " + EVENTS_SQL + """
+SELECT dataset_id, 'unknown_session' AS rule FROM contexts WHERE condition_id = 'warmup'
+UNION ALL SELECT dataset_id, 'car_mismatch' FROM contexts WHERE condition_id = 'even' AND lower(car) IS DISTINCT FROM car
+UNION ALL SELECT dataset_id, 'simulator_mismatch' FROM contexts WHERE condition_id <> 'warmup' AND records_considered % 5 = 0""")
+def c21_identity(spark: SparkSession, sf: str) -> DataFrame:
+    seen = contexts(spark, sf)
+    claimed = seen.select("dataset_id", F.when(F.col("records_considered") % 5 == 0, "other").otherwise(F.col("simulator")).alias("simulator"),
+                          F.when(F.col("condition_id") == "even", F.lower("car")).otherwise(F.col("car")).alias("car"), "track")
+    return sweeps.identity_rules(claimed, seen.where("condition_id <> 'warmup'"), ["dataset_id"], ["simulator", "car", "track"])
 
 
 def _scan_sql(source: str, key: str, text: str, rules: tuple) -> str:
@@ -294,13 +356,8 @@ def c23(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("c24_content_fingerprint", """
-WITH r AS (SELECT c_nationkey, sha256('c_custkey=' || c_custkey || chr(31) || 'c_mktsegment=' || c_mktsegment || chr(31) || 'c_name=' || c_name) AS h
-           FROM customer),
-s AS (SELECT c_nationkey, count(*) AS n_rows,
-        CAST(sum(('0x' || substr(h, 1, 15))::UBIGINT) AS VARCHAR) AS a, CAST(sum(('0x' || substr(h, 16, 15))::UBIGINT) AS VARCHAR) AS b,
-        CAST(sum(('0x' || substr(h, 31, 15))::UBIGINT) AS VARCHAR) AS c, CAST(sum(('0x' || substr(h, 46, 15))::UBIGINT) AS VARCHAR) AS d
-      FROM r GROUP BY c_nationkey)
-SELECT c_nationkey, n_rows, sha256(concat_ws('|', n_rows, a, b, c, d)) AS fingerprint FROM s""")
+WITH h AS (SELECT c_nationkey, sha256('9:c_custkey' || length(c_custkey::VARCHAR) || ':' || c_custkey || '12:c_mktsegment' || strlen(c_mktsegment) || ':' || c_mktsegment
+                                     || '6:c_name' || strlen(c_name) || ':' || c_name) AS h FROM customer),""" + ROOT_SQL.format(key="c_nationkey"))
 def c24(spark: SparkSession, sf: str) -> DataFrame:
     return audit.fingerprint(table(spark, sf, "customer"), ["c_nationkey"], ["c_name", "c_custkey", "c_mktsegment"])
 
@@ -324,3 +381,18 @@ SELECT dataset_id, laps, valid_laps, reference_laps, excluded_laps, bins, sample
   FROM bins GROUP BY dataset_id) USING (dataset_id)""")
 def c26(spark: SparkSession, sf: str) -> DataFrame:
     return audit.bundle_report(lap_table(spark, sf), distance_bins(spark, sf), ["dataset_id"])
+
+
+@query("c24_differing_buckets", """
+WITH v AS (SELECT doc_id, text, CASE WHEN doc_id % 97 = 3 THEN upper(text) ELSE text END AS other FROM documents),
+h AS (SELECT lang, sha256('6:doc_id' || length(d.doc_id::VARCHAR) || ':' || d.doc_id || '4:text' || strlen(v.text) || ':' || v.text) AS a,
+             sha256('6:doc_id' || length(d.doc_id::VARCHAR) || ':' || d.doc_id || '4:text' || strlen(v.other) || ':' || v.other) AS b
+      FROM v JOIN documents d USING (doc_id)),
+n AS (SELECT lang, substr(a, 1, 2) AS bucket, count(*) AS x, 0 AS y FROM h GROUP BY ALL UNION ALL SELECT lang, substr(b, 1, 2), 0, count(*) FROM h GROUP BY ALL),
+e AS (SELECT lang, substr(a, 1, 2) AS bucket FROM h WHERE a <> b UNION SELECT lang, substr(b, 1, 2) FROM h WHERE a <> b)
+SELECT n.lang, n.bucket, nullif(CAST(sum(x) AS BIGINT), 0) AS stored_rows, nullif(CAST(sum(y) AS BIGINT), 0) AS rebuilt_rows
+FROM n JOIN e ON e.lang = n.lang AND e.bucket = n.bucket GROUP BY n.lang, n.bucket""")
+def c24_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    stored = table(spark, sf, "documents")
+    rebuilt = stored.withColumn("text", F.when(F.col("doc_id") % 97 == 3, F.upper("text")).otherwise(F.col("text")))
+    return audit.differing_buckets(*[audit.bucket_fingerprints(d, ["lang"], ["doc_id", "text"]) for d in (stored, rebuilt)], ["lang"])

@@ -14,7 +14,7 @@ from stintwise.operators.spread import literal_table, lookup_join, position_in
 from stintwise.plans.bindings import (
     BINS_SQL, EVENTS_SQL, base_events, contexts, distance_bins, lap_table, samples, scale_of, table,
 )
-from stintwise.plans.registry import query
+from stintwise.plans.registry import ROOT_SQL, query
 from stintwise.sources import recorder, session_export
 from stintwise.sources.files import reconcile_inventory
 from stintwise.sources.mapped_csv import records_from_rows
@@ -307,11 +307,8 @@ def b13(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("c24_record_fingerprint", RECORDS_SQL + """,
-h AS (SELECT dataset_id, sha256('record_id=' || record_id || chr(31) || 'record_type=' || record_type) AS h FROM records),
-s AS (SELECT dataset_id, count(*) AS n_rows,
-        CAST(sum(('0x' || substr(h, 1, 15))::UBIGINT) AS VARCHAR) AS a, CAST(sum(('0x' || substr(h, 16, 15))::UBIGINT) AS VARCHAR) AS b,
-        CAST(sum(('0x' || substr(h, 31, 15))::UBIGINT) AS VARCHAR) AS c, CAST(sum(('0x' || substr(h, 46, 15))::UBIGINT) AS VARCHAR) AS d
-      FROM h GROUP BY dataset_id)
-SELECT dataset_id, n_rows, sha256(concat_ws('|', n_rows, a, b, c, d)) AS fingerprint FROM s""")
+h AS (SELECT dataset_id, sha256('9:record_id' || strlen(record_id) || ':' || record_id || '11:record_type' || strlen(record_type) || ':' || record_type) AS h
+      FROM records),
+"""+ROOT_SQL.format(key="dataset_id"))
 def c24_records(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint(all_records(spark, sf), ["dataset_id"], ["record_type", "record_id"])

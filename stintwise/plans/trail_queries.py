@@ -13,7 +13,8 @@ from stintwise.plans.registry import query
 TURN_EDGES = (("system", "user"), ("user", "assistant"), ("assistant", "user"))
 
 CHAIN_SQL = """
-WITH t AS (SELECT conv_id, turn, role AS to_state, text, sha256(concat_ws('|', conv_id, role, text, turn)) AS hash FROM conversations),
+WITH t AS (SELECT conv_id, turn, role AS to_state, text, sha256('7:conv_id' || coalesce(length(conv_id::VARCHAR) || ':' || conv_id, '-') || '4:role' || coalesce(strlen(role) || ':' || role, '-')
+                   || '4:text' || coalesce(strlen(text) || ':' || text, '-') || '4:turn' || coalesce(length(turn::VARCHAR) || ':' || turn, '-')) AS hash FROM conversations),
 s AS (SELECT *, lag(to_state) OVER w AS prior_state, lag(hash) OVER w AS prior_hash, lag(turn) OVER w AS prior_turn
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 c AS (SELECT *, CASE WHEN turn > 0 THEN CASE WHEN length(text) % 11 = 0 THEN 'user' ELSE prior_state END END AS from_state,

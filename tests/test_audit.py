@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stintwise.operators import audit
+from stintwise.functions.canonical import row_hash
+from stintwise.operators import audit, sweeps
 from stintwise.operators.spread import Scale
 from stintwise.operators.trail import LIFECYCLE_EDGES, replay
 
@@ -74,6 +75,44 @@ def test_fingerprint_and_diff(spark):
         audit.require_clean(audit.table_diff(df, df.distinct()), "rebuild")
 
 
+def test_canonical_hash_tells_separators_and_nulls_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("x", None), ("x", ""), ("x", "-"), (None, "x"), ("1:x", ""), ("é", "e"), ("", "éе")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    assert df.select(row_hash(["p", "q"]).alias("h")).distinct().count() == len(rows)
+    assert df.select(row_hash(["q", "p"]).alias("h")).exceptAll(df.select(row_hash(["p", "q"]).alias("h"))).isEmpty()
+
+
+def test_buckets_locate_a_difference(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS k", "id", "cast(id AS string) AS v")
+    other = df.withColumn("v", F.when(F.col("id") == 77, "changed").otherwise(F.col("v")))
+    a, b = (audit.bucket_fingerprints(d, ["k"], ["id", "v"]) for d in (df, other))
+    found = audit.differing_buckets(a, b, ["k"]).collect()
+    assert {r.k for r in found} == {77 % 3} and 1 <= len(found) <= 2
+    assert audit.differing_buckets(a, audit.bucket_fingerprints(df.repartition(7), ["k"], ["v", "id"]), ["k"]).isEmpty()
+    roots = [{r.k: r.fingerprint for r in audit.fingerprint(d, ["k"], ["id", "v"]).collect()} for d in (df, other)]
+    assert [k for k in roots[0] if roots[0][k] != roots[1][k]] == [2]
+
+
+@pytest.mark.parametrize("scale", SCALES)
+def test_blocks_and_coverage_by_sweep(spark, scale):
+    laps = spark.createDataFrame([("p", n) for n in (0, 1, 2, 4, 5, 9, 9)] + [("p", None), (None, 3)], "k string, lap int")
+    blocks = spark.createDataFrame([("p", "a", 0, 4), ("p", "b", 2, 2), ("p", "c", 5, 9), ("p", "d", 8, 7), (None, "e", 3, 3)],
+                                   "k string, block string, start_lap int, end_lap int")
+    got = {(r.k, r.lap): (r.blocks, r.block, r.problem) for r in sweeps.bind_blocks(laps, blocks, ["k"], "lap", scale).collect()}
+    assert got == {("p", None): (0, None, "no_block"), ("p", 0): (1, "a", None), ("p", 1): (1, "a", None), ("p", 2): (2, None, "several_blocks"),
+                   ("p", 4): (1, "a", None), ("p", 5): (1, "c", None), ("p", 9): (1, "c", "duplicate_lap"), (None, 3): (1, "e", None)}
+    rules = {(r.block, r.rule) for r in sweeps.block_rules(blocks.unionByName(blocks.limit(0)), ["k"], scale).collect()}
+    assert rules == {("d", "range"), ("b", "overlap")}
+    bins = spark.createDataFrame([("s", 1, d, d != 3) for d in range(6)] + [("s", 2, d, True) for d in range(2)], "s string, lap int, at int, has_sample boolean")
+    regions = spark.createDataFrame([("s", "A", 2.0, 5.0, 0.75), ("s", "B", 0.5, 1.0, 0.9), ("t", "C", 0.0, 1.0, None)],
+                                    "s string, finding_key string, start double, end double, coverage double")
+    for chosen, want in (([1], {"A": (0.75, None), "B": (1.0, "coverage_mismatch"), "C": (None, "no_comparison_lap")}),
+                         ([1, 2], {"A": (0.0, "absent_on_lap"), "B": (1.0, "coverage_mismatch"), "C": (None, "no_comparison_lap")})):
+        comparison = spark.createDataFrame([("s", n) for n in chosen], "s string, lap int")
+        found = sweeps.region_coverage(bins, regions, comparison, "s", "lap", "at", scale).collect()
+        assert {r.finding_key: (r.coverage, r.problem) for r in found} == want
+
+
 @pytest.mark.parametrize("scale", SCALES)
 def test_chain_replay(spark, scale):
     rows = [("a", 0, None, "generated", None, "h0"), ("a", 1, "generated", "analysis_ready", "h0", "h1"),
