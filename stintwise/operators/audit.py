@@ -364,11 +364,15 @@ def scan_text(df: DataFrame, subject: list[str], text: str, rules: tuple[tuple[s
 
 
 def scan_files(files: DataFrame, group: str, classified: Column) -> DataFrame:
-    """File policy over (path, length, content): size, extension, place, NUL bytes, group total."""
+    """File policy over (path, length, and nul_bytes or content): size, extension, place, NUL bytes, group total."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ending = F.regexp_extract(name, r"(\.[a-z0-9]+)$", 1)
-    nul = F.instr("content", "\x00") > 0 if dict(files.dtypes)["content"] == "string" else (
-        F.hex("content").rlike("^(?:..)*?00"))
+    if "nul_bytes" in files.columns:
+        nul = F.col("nul_bytes") > 0
+    elif dict(files.dtypes)["content"] == "string":
+        nul = F.instr("content", "\x00") > 0
+    else:
+        nul = F.hex("content").rlike("^(?:..)*?00")
     single = violations(files, {
         "large-file": F.col("length") <= MAX_FILE_BYTES,
         "prohibited-extension": ~ending.isin(*PROHIBITED_EXTENSIONS),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ from stintwise.plans.bindings import (
     BINS_SQL, EVENTS_SQL, base_events, contexts, distance_bins, lap_table, samples, scale_of, table,
 )
 from stintwise.plans.registry import ROOT_SQL, query
+from stintwise.session import shared_folder
 from stintwise.sources import recorder, session_export
 from stintwise.sources.files import reconcile_inventory
+from stintwise.sources.inventory import read_inventory
 from stintwise.sources.mapped_csv import records_from_rows
+from stintwise.sources.quarantine import mapped_problems, set_apart
 
 MAPPINGS = [
     ColumnMapping("time_s", "timestamp"), ColumnMapping("pos_m", "lap_distance"), ColumnMapping("speed_mps", "speed"),
@@ -256,7 +261,7 @@ SELECT 's1.sample-' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS record_id, 's1
 def b9(spark: SparkSession, sf: str) -> DataFrame:
     session = {**SESSION, "session_id": "s1"}
     rows = text_rows(spark, sf).drop("dataset_id", "event_id")
-    out = records_from_rows(rows, MAPPINGS, "lap", session, scale_of(sf).times(3))
+    out = records_from_rows(rows, MAPPINGS, "lap", session, scale_of(sf).times(3), refuse=False)
     return out.filter("record_type = 'telemetry_sample'").select(
         "record_id", "lap_id", F.col("source_provenance.row_start").alias("row_start"), "sample_index")
 
@@ -312,3 +317,88 @@ h AS (SELECT dataset_id, sha256('9:record_id' || strlen(record_id) || ':' || rec
 """+ROOT_SQL.format(key="dataset_id"))
 def c24_records(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint(all_records(spark, sf), ["dataset_id"], ["record_type", "record_id"])
+
+
+FILED_SQL = """
+WITH f AS (SELECT doc_id // 100 AS bucket, string_agg(text || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY doc_id // 100),
+a AS (SELECT bucket, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS h FROM f)"""
+
+
+def filed_documents(spark: SparkSession, sf: str) -> str:
+    """The documents as text files, a hundred to a file; returns the folder."""
+    folder = f"{shared_folder(spark)}/stintwise/{uuid.uuid4().hex}/files"
+    rows = table(spark, sf, "documents").selectExpr("doc_id div 100 AS bucket", "doc_id", "text")
+    rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text").write.partitionBy("bucket").text(folder)
+    return folder
+
+
+@query("a11_files_on_disk", FILED_SQL + """,
+d AS (SELECT bucket, CASE bucket % 5 WHEN 1 THEN length + 1 ELSE length END AS length, CASE bucket % 5 WHEN 2 THEN sha256('') ELSE h END AS h
+      FROM a WHERE bucket % 5 <> 3 UNION ALL SELECT -1 - bucket, length, h FROM a WHERE bucket % 5 = 4)
+SELECT bucket, d.length AS declared_length, a.length AS actual_length,
+  CASE WHEN a.h IS NULL THEN 'missing' WHEN d.h IS NULL THEN 'undeclared' WHEN d.length <> a.length THEN 'size_mismatch'
+       WHEN d.h <> a.h THEN 'hash_mismatch' ELSE 'ok' END AS status FROM d FULL JOIN a USING (bucket)""")
+def a11_files(spark: SparkSession, sf: str) -> DataFrame:
+    actual = read_inventory(spark, filed_documents(spark, sf)).withColumn("path", F.regexp_extract("path", r"bucket=(-?\d+)/", 1))
+    docs = table(spark, sf, "documents").selectExpr("doc_id div 100 AS bucket", "doc_id", "text")
+    body = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda r: r["text"]), "\n"), F.lit("\n"))
+    files = docs.groupBy("bucket").agg(body.alias("body")).select("bucket", F.octet_length("body").cast("long").alias("length"), F.sha2("body", 256).alias("sha256"))
+    rest = F.col("bucket") % 5
+    declared = files.where(rest != 3).select(
+        "bucket", F.when(rest == 1, F.col("length") + 1).otherwise(F.col("length")).alias("length"),
+        F.when(rest == 2, F.sha2(F.lit(""), 256)).otherwise(F.col("sha256")).alias("sha256")).unionByName(
+        files.where(rest == 4).withColumn("bucket", -1 - F.col("bucket")))
+    found = reconcile_inventory(declared.withColumn("path", F.col("bucket").cast("string")), actual)
+    return found.select(F.col("path").cast("long").alias("bucket"), "declared_length", "actual_length", "status")
+
+
+@query("a1_refusals", MAPPED_SQL + """,
+t AS (SELECT event_id, dataset_id, event_type, CASE event_id % 50 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 7 THEN -4 WHEN 9 THEN 1 ELSE lap_number END AS lap
+      FROM base),
+o AS (SELECT *, last_value(lap IGNORE NULLS) OVER (PARTITION BY dataset_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
+             min(event_id) OVER (PARTITION BY dataset_id, lap) AS first_id FROM t),
+g AS (SELECT *, CASE WHEN lap IS NOT NULL AND lap IS DISTINCT FROM prior THEN
+                 CASE WHEN first_id < event_id THEN 'lap.reappears' WHEN lap < prior THEN 'lap.regressed' ELSE '' END END AS fault FROM o),
+w AS (SELECT *, last_value(fault IGNORE NULLS) OVER (PARTITION BY dataset_id ORDER BY event_id) AS run FROM g)
+SELECT event_id, 'lap.unparsable' AS problem FROM w WHERE lap IS NULL
+UNION ALL SELECT event_id, 'lap.negative' FROM w WHERE lap < 0
+UNION ALL SELECT event_id, run FROM w WHERE lap IS NOT NULL AND run <> ''
+UNION ALL SELECT event_id, 'off.unparsable' FROM w WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'brake_pct.unparsable' FROM w WHERE event_type = 'view'""")
+def a1_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = text_rows(spark, sf).withColumn("lap", F.expr(
+        "CASE row_index % 50 WHEN 3 THEN '12.5d' WHEN 5 THEN '' WHEN 7 THEN '-4' WHEN 9 THEN '1' ELSE lap END"))
+    problems = mapped_problems(rows, MAPPINGS, "lap", ["dataset_id"], scale_of(sf))
+    return set_apart(problems, ["row_index"])[1].select(F.col("row_index").alias("event_id"), "problem")
+
+
+LAP_TEXT = {"lap_number": "CASE WHEN lap_number % 13 = 0 THEN '12.5d' WHEN lap_number % 11 = 0 THEN '' ELSE cast(lap_number AS STRING) END",
+            "is_valid": "CASE WHEN lap_number % 7 = 0 THEN 'yes' WHEN is_valid THEN '1' ELSE '0' END",
+            "is_reference": "CASE WHEN is_reference OR lap_number % 6 = 0 THEN '1' ELSE '0' END",
+            "sampled_bins": "cast(sampled_bins AS STRING)", "total_bins": "CASE WHEN lap_number % 9 = 0 THEN '0' ELSE cast(total_bins AS STRING) END",
+            "coverage_fraction": "CASE WHEN lap_number % 8 = 0 THEN '0.99' ELSE cast(coverage_fraction AS STRING) END",
+            "exclusion_reasons": "CASE WHEN lap_number % 10 = 0 THEN 'said' ELSE '' END",
+            "is_best_valid_lap": "CASE WHEN is_best_valid_lap THEN '1' ELSE '0' END"}
+
+
+@query("a5_refusals", "WITH " + BINS_SQL + """,
+t AS (SELECT lap_id, participant, CASE WHEN lap_number % 13 = 0 OR lap_number % 11 = 0 THEN NULL ELSE lap_number END AS n, lap_number,
+             CASE WHEN lap_number % 7 <> 0 THEN is_valid END AS is_valid, is_reference OR lap_number % 6 = 0 AS is_reference, is_best_valid_lap,
+             sampled_bins, CASE WHEN lap_number % 9 = 0 THEN 0 ELSE total_bins END AS total_bins,
+             CASE WHEN lap_number % 8 = 0 THEN 0.99::DOUBLE ELSE coverage_fraction END AS coverage_fraction FROM lap_table),
+u AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE lap_number = 5)
+SELECT lap_id, 'lap_number.unparsable' AS problem FROM u WHERE lap_number % 13 = 0
+UNION ALL SELECT lap_id, 'lap_number.missing' FROM u WHERE lap_number % 13 <> 0 AND lap_number % 11 = 0
+UNION ALL SELECT lap_id, 'is_valid.unparsable' FROM u WHERE is_valid IS NULL
+UNION ALL SELECT lap_id, 'total_bins.positive' FROM u WHERE total_bins < 1
+UNION ALL SELECT lap_id, 'coverage_fraction.share' FROM u WHERE total_bins > 0 AND abs(coverage_fraction - sampled_bins / total_bins::DOUBLE) > 0.00005
+UNION ALL SELECT lap_id, 'exclusion_reasons.valid_lap' FROM u WHERE is_valid AND lap_number % 10 = 0
+UNION ALL SELECT lap_id, 'is_reference.invalid_lap' FROM u WHERE is_reference AND NOT is_valid
+UNION ALL SELECT lap_id, 'is_best_valid_lap.invalid_lap' FROM u WHERE is_best_valid_lap AND NOT is_valid
+UNION ALL SELECT lap_id, 'lap_number.duplicate' FROM (SELECT lap_id, count(*) OVER (PARTITION BY participant, n) AS k, n FROM u) WHERE n IS NOT NULL AND k > 1""")
+def a5_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lap_table(spark, sf)
+    rows = rows.unionByName(rows.where("lap_number = 5"))
+    cells = {c: F.expr(LAP_TEXT.get(c, "'0'" if c in session_export.UNSIGNED | session_export.FLAGS else "''")).alias(c) for c in session_export.LAP_COLUMNS}
+    problems = session_export.check_laps(rows.select("lap_id", "participant", *cells.values()), ["participant"])
+    return set_apart(problems, ["lap_id"])[1]

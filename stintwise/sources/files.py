@@ -9,16 +9,18 @@ from pyspark.sql import types as T
 from stintwise.operators.spread import UNKNOWN, Scale, position_in
 
 
-def read_text_table(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",") -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", quarantine: bool = False) -> DataFrame:
     """A CSV whose header must be exactly ``columns``; every cell stays text, blanks are ''.
 
-    The header is compared by Spark itself and a row of the wrong width fails the job.
+    The header is compared by Spark itself and a row of the wrong width fails the job; with ``quarantine`` its
+    line stands in ``_corrupt`` instead, which is null for all other rows.
     ``_file`` and ``_block`` say where in the input a row comes from.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(path, schema=schema, header=True, sep=delimiter, enforceSchema=False, mode="FAILFAST",
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, *["_corrupt"] * quarantine]])
+    rows = spark.read.csv(path, schema=schema, header=True, sep=delimiter, enforceSchema=False,
+                          mode="PERMISSIVE" if quarantine else "FAILFAST", columnNameOfCorruptRecord="_corrupt",
                           nullValue="\u0000", emptyValue="", encoding="UTF-8")
-    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
+    return rows.select(*["_corrupt"] * quarantine, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
                        F.col("_metadata.file_path").alias("_file"),
                        F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_line"))
@@ -50,15 +52,6 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
-def read_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Files actually present: path relative to the folder, length, sha256."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/") + "/"
-    return files.select(
-        F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + root, "").alias("path"), "length",
-        F.sha2("content", 256).alias("sha256"))
-
-
 def reconcile_inventory(declared: DataFrame, actual: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Declared against actual files: missing, undeclared, size_mismatch, hash_mismatch or ok.
 

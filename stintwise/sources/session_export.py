@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.functions.cells import finite, strict_boolean, unsigned
 from stintwise.functions.qualified import fields, qualified
 from stintwise.operators.normalize import number_sequence, unite
-from stintwise.operators.spread import UNKNOWN, Scale, lookup_join
+from stintwise.operators.spread import UNKNOWN, Scale, by_key, lookup_join
 from stintwise.sources.files import read_text_table
+from stintwise.sources.quarantine import accepted, with_problems
 
 # The header of the lap table, in order.
 LAP_COLUMNS = [
@@ -51,23 +52,50 @@ FINDINGS_SCHEMA = (
     "aiExplanation: STRING, aiExplanationSource: STRING, aiFallbackCategory: STRING>>")
 
 
-def _typed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    out = []
-    for c in columns:
-        text = F.col(c)
-        out.append((unsigned(text) if c in UNSIGNED else strict_boolean(text) if c in FLAGS
-                    else text if c in TEXT else finite(text)).alias(c))
-    return rows.select(*out)
+#: Columns that may be empty.
+OPTIONAL = {"lap_time_seconds", "laps_since_pit_exit", "brake", "throttle", "steering_rad", "steering_deg", "speed_ms", "speed_kph"}
 
 
-def read_laps(spark: SparkSession, path: str) -> DataFrame:
-    """The lap table, typed; header and width enforced."""
-    return _typed(read_text_table(spark, path, LAP_COLUMNS), LAP_COLUMNS)
+def _typed(columns: list[str]) -> dict[str, Column]:
+    return {c: (unsigned(F.col(c)) if c in UNSIGNED else strict_boolean(F.col(c)) if c in FLAGS else finite(F.col(c)))
+            for c in columns if c not in TEXT}
 
 
-def read_bins(spark: SparkSession, path: str) -> DataFrame:
-    """The bin table, typed."""
-    return _typed(read_text_table(spark, path, BIN_COLUMNS), BIN_COLUMNS)
+def _required(columns: list[str]) -> set[str]:
+    return {c for c in columns if c not in TEXT and c not in OPTIONAL}
+
+
+def lap_rules() -> dict[str, Column]:
+    """Rules of a lap on its own."""
+    share = F.col("sampled_bins") / F.when(F.col("total_bins") > 0, F.col("total_bins"))
+    return {"total_bins.positive": F.col("total_bins") >= 1,
+            "coverage_fraction.share": F.abs(F.col("coverage_fraction") - share) <= 0.00005,
+            "exclusion_reasons.valid_lap": ~F.col("is_valid") | (F.coalesce("exclusion_reasons", F.lit("")) == ""),
+            "is_reference.invalid_lap": ~F.col("is_reference") | F.col("is_valid"),
+            "is_best_valid_lap.invalid_lap": ~F.col("is_best_valid_lap") | F.col("is_valid")}
+
+
+def check_laps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Text rows of lap tables with typed cells and ``problems``; a lap number that a key has twice is one for all its rows."""
+    typed = with_problems(rows, _typed(LAP_COLUMNS), _required(LAP_COLUMNS), lap_rules())
+    twice = typed.where("lap_number is not null").groupBy(*keys, "lap_number").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return by_key(typed, twice, [*keys, "lap_number"], "left").withColumn(
+        "problems", F.when(F.col("_n") > 1, F.array_append("problems", F.lit("lap_number.duplicate"))).otherwise(F.col("problems"))).drop("_n")
+
+
+def read_laps(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
+    """The lap table, typed; header enforced. A row with a problem fails the job, or with ``quarantine`` carries
+    its codes in ``problems``."""
+    checked = check_laps(read_text_table(spark, path, LAP_COLUMNS, quarantine=quarantine), ["_file"])
+    names = [*LAP_COLUMNS, *["problems", "_file", "_line"] * quarantine]
+    return (checked if quarantine else accepted(checked, path)).select(*names)
+
+
+def read_bins(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
+    """The bin table, typed, in the same way."""
+    checked = with_problems(read_text_table(spark, path, BIN_COLUMNS, quarantine=quarantine), _typed(BIN_COLUMNS), _required(BIN_COLUMNS))
+    names = [*BIN_COLUMNS, *["problems", "_file", "_line"] * quarantine]
+    return (checked if quarantine else accepted(checked, path)).select(*names)
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:

@@ -11,9 +11,11 @@ from stintwise.operators.normalize import ColumnMapping, conform, enum_dictionar
 from stintwise.operators.spread import Scale
 from stintwise.sources import recorder, session_export
 from stintwise.sources.files import (
-    read_event_lines, read_inventory, read_text_table, reconcile_inventory, with_row_number,
+    read_event_lines, read_text_table, reconcile_inventory, with_row_number,
 )
+from stintwise.sources.inventory import read_inventory
 from stintwise.sources.mapped_csv import read_mapped_csv
+from stintwise.sources.quarantine import mapped_problems, set_apart
 from stintwise.sources.records import read_record_lines, read_records, write_record_lines, write_records
 
 SMALL = Scale(1000)
@@ -159,3 +161,64 @@ def test_enum_dictionaries(spark):
         "limitation string, values map<string,string>")
     assert {r.column: r.problem for r in enum_dictionary_problems(df).collect()} == {
         "b": "values_without_provenance", "c": "does_not_preserve_unknown", "d": "missing_semantics"}
+
+
+def test_inventory_reads_files_larger_than_a_cell(spark, tmp_path):
+    folder = tmp_path / "bundle"
+    (folder / "in").mkdir(parents=True)
+    (folder / "in" / "small.csv").write_bytes(b"a,b\n\x001\x00")
+    (folder / "_SUCCESS").write_text("")
+    (folder / "empty.txt").write_text("")
+    with open(folder / "large.bin", "wb") as file:
+        file.write(b"x")
+        file.truncate(3 << 30)
+    digest = hashlib.sha256(b"x")
+    for size in [1 << 24] * 191 + [(1 << 24) - 1]:
+        digest.update(bytes(size))
+    rows = read_inventory(spark, str(folder))
+    got = {r.path: (r.length, r.sha256, r.nul_bytes, r.nul_at) for r in rows.collect()}
+    assert got == {"in/small.csv": (7, hashlib.sha256(b"a,b\n\x001\x00").hexdigest(), 2, 4), "empty.txt": (0, hashlib.sha256(b"").hexdigest(), 0, None),
+                   "large.bin": (3 << 30, digest.hexdigest(), (3 << 30) - 1, 1)}
+    rules = {(r.path, r.rule) for r in audit.scan_files(rows.withColumn("g", F.lit("all")), "g", F.lit(False)).collect()}
+    assert rules == {("large.bin", "large-file"), ("large.bin", "nul-bytes"), ("in/small.csv", "nul-bytes"), ("all", "group-total-size")}
+    (tmp_path / "none").mkdir()
+    assert read_inventory(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [SMALL, Scale(None, 3)])
+def test_mapped_rows_are_refused_or_set_apart(spark, tmp_path, scale):
+    laps = ["1", "1", "x", "2", "", "2", "1", "1", "3", "-1", "2.5", "3"]
+    rows = spark.createDataFrame([("f", i, str(i), lap, "12.5d" if i == 1 else "4") for i, lap in enumerate(laps)],
+                                 "f string, row_index long, time_s string, lap string, speed_mps string")
+    mappings = [ColumnMapping("time_s", "timestamp"), ColumnMapping("speed_mps", "speed")]
+    clean, refused = set_apart(mapped_problems(rows, mappings, "lap", ["f"], scale), ["row_index"])
+    assert {(r.row_index, r.problem) for r in refused.collect()} == {
+        (1, "speed_mps.unparsable"), (2, "lap.unparsable"), (4, "lap.unparsable"), (6, "lap.reappears"), (7, "lap.reappears"),
+        (9, "lap.negative"), (9, "lap.regressed"), (10, "lap.unparsable"), (11, "lap.reappears")}
+    assert {r.row_index for r in clean.collect()} == {0, 3, 5, 8}
+    path = tmp_path / "m.csv"
+    path.write_text("time_s,lap,speed_mps\n0,1,4\n1,2,4\n2,1,4\n")
+    with pytest.raises(Exception, match="lap.reappears"):
+        read_mapped_csv(spark, str(path), mappings, "lap", SESSION, scale=SMALL).collect()
+    kept = read_mapped_csv(spark, str(path), mappings, "lap", SESSION, scale=SMALL, refuse=False)
+    assert kept.where("record_type = 'telemetry_sample'").count() == 3
+
+
+def test_lap_tables_are_refused_or_set_apart(spark, tmp_path):
+    path = tmp_path / "laps.csv"
+    good = "1,80.5,1:20.5,1,1,1,1,,flying,1,,2,2,1.0,0,0"
+    path.write_text("\n".join([",".join(session_export.LAP_COLUMNS), good, "2,80.5,1:20.5,1,1", "3,12.5d,,0,0,yes,0,,flying,,,2,2,1.0,0,0",
+                               "4,,,0,0,1,0,off,flying,1,,1,2,0.7,0,0", "1,,,1,0,0,1,,flying,1,,0,0,1.0,0,0"]) + "\n")
+    rows = session_export.read_laps(spark, str(path), quarantine=True)
+    refused = {}
+    for r in set_apart(rows, ["_line"])[1].orderBy("_line").collect():
+        refused.setdefault(r._line, set()).add(r.problem)
+    first, width, cells, rules, second = [refused.get(k) for k in sorted(r._line for r in rows.select("_line").collect())]
+    assert first == {"lap_number.duplicate"} and width == {"row.width"}
+    assert cells == {"lap_time_seconds.unparsable", "is_valid.unparsable", "stint.missing"}
+    assert rules == {"coverage_fraction.share", "exclusion_reasons.valid_lap"}
+    assert second == {"lap_number.duplicate", "is_best_valid_lap.invalid_lap", "is_reference.invalid_lap", "total_bins.positive"}
+    with pytest.raises(Exception, match="laps.csv"):
+        session_export.read_laps(spark, str(path)).collect()
+    path.write_text("\n".join([",".join(session_export.LAP_COLUMNS), good]) + "\n")
+    assert session_export.read_laps(spark, str(path)).first().lap_number == 1
