@@ -17,7 +17,8 @@ def read_text_table(spark: SparkSession, path: str, columns: list[str], delimite
     ``_file`` and ``_block`` say where in the input a row comes from.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, *["_corrupt"] * quarantine]])
-    rows = spark.read.csv(path, schema=schema, header=True, sep=delimiter, enforceSchema=False,
+    # Width is checked over all cells, so all of them are parsed.
+    rows = spark.read.option("columnPruning", "false").csv(path, schema=schema, header=True, sep=delimiter, enforceSchema=False,
                           mode="PERMISSIVE" if quarantine else "FAILFAST", columnNameOfCorruptRecord="_corrupt",
                           nullValue="\u0000", emptyValue="", encoding="UTF-8")
     return rows.select(*["_corrupt"] * quarantine, *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
