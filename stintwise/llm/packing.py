@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tiktoken import Encoding
+from tokenizers import Tokenizer
 
 from stintwise.llm.common import slices, stored_table
 
@@ -73,6 +74,20 @@ def encoder(path: str) -> Encoding:
     return _encoders[path]
 
 
+_libraries: dict[str, Tokenizer] = {}
+
+
+def ids_of(path: str, text: str) -> list[int]:
+    """Token ids of any text. Blanks or line feeds by the hundred thousand in a row are more than the encoder's
+    pattern can be matched against; such a text goes to the vocabulary's own library, whole."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        if path not in _libraries:
+            _libraries[path] = Tokenizer.from_file(path)
+        return _libraries[path].encode(text, add_special_tokens=False).ids
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
@@ -82,11 +97,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(5 + ids)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = np.array(enc.encode(text or "", allowed_special="all"), "<u4").tobytes() + end
+                raw = np.array(ids_of(tokenizer, text or ""), "<u4").tobytes() + end
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 cuts = [0, *range(first, n + 1, capacity)]

@@ -29,3 +29,10 @@ def test_added_tokens_with_rules_of_their_own_are_refused(tmp_path):
     path.write_text(json.dumps(whole), encoding="utf-8")
     with pytest.raises(ValueError, match="added token"):
         packing.load_encoder(str(path))
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "a" * 3_000_000, "." * 3_000_000, "word " * 10 + "\t\n" * 600_000 + "end"],
+                         ids=["blanks", "feeds", "letters", "marks", "mixed"])
+def test_runs_of_any_length_have_the_library_ids(text):
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert packing.ids_of(path, text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids

@@ -295,7 +295,7 @@ def test_pieces_equal_the_library(texts):
     library, own = SentencePieceProcessor(model_file=path), pieces.model(path)
     ids = [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)]
     assert ids == library.encode(texts)
-    assert [own.decode(i) for i in ids] == library.decode(ids)
+    assert [own.decode(i) for i in ids] == [library.decode(i) for i in ids]
 
 
 def test_pieces_of_documents(corpus, nothing):
