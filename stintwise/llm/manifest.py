@@ -36,8 +36,8 @@ from stintwise.llm.common import stored_table
 
 FAN = 3
 #: Levels of a block, and bytes of messages that a queue holds in memory.
-LEVELS = 9
-MEMORY = 1 << 20
+LEVELS = 7
+MEMORY = 1 << 17
 PARTITION_ROWS = 1 << 16
 BROADCAST_ROWS = 1_000_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

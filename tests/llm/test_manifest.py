@@ -124,5 +124,5 @@ def test_registered_blocks_spill():
     finally:
         own.Messages = plain
     assert min(spilled) > 0
-    for k in (0, 1, 12345, len(leaves) - 1):
+    for k in (0, 1, 1234, len(leaves) - 1):
         assert own.folded(leaves[k], proofs[k], own.turns(k, len(leaves))) == digests[-32:]
