@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stintwise.session import stored_table
 
-__all__ = ["components", "logistic", "mix", "read_table", "slices", "stored_table", "text_buffer"]
+__all__ = ["components", "give_back", "logistic", "mix", "read_table", "slices", "stored_table", "text_buffer"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000
             at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and keeps what it once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own accounts
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing rounds of splitmix64: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.common import mix, slices, stored_table, text_buffer
+from stintwise.llm.common import give_back, mix, slices, stored_table, text_buffer
 from stintwise.llm.jaccard import prefix_sums
 from stintwise.llm.linkage import BROADCAST_IDS, linked
 
 TAU, SHORTEST = 2, 24
 #: Distinct lines that a task remembers to make the keys of each once.
 REMEMBERED = 1_000_000
+#: Text bytes that a task works on at a time, in buffers of about fifty times the size; a longer text is whole.
+BATCH_BYTES = 250_000
 
 
 def lines_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def line_rows(rows: DataFrame, tau: int, shortest: int) -> DataFrame:
     """doc, mark, line, id and keys for every line that counts; keys once per task and distinct line."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             data, bounds = text_buffer(batch.column("text"))
             chars, text, starts, ends = lines_of(data, bounds)
             first = np.searchsorted(text, np.arange(len(bounds) - 1))
@@ -107,6 +109,8 @@ def line_rows(rows: DataFrame, tau: int, shortest: int) -> DataFrame:
                 [batch.column("doc").take(take), batch.column("mark").take(take), pa.array(number.astype(np.int32)),
                  pa.array(ids), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)],
                 ["doc", "mark", "line", "id", "keys"])
+        known.clear()
+        give_back()
 
     return rows.mapInArrow(find, "doc long, mark long, line int, id long, keys array<long>")
 
@@ -115,7 +119,7 @@ def line_texts(rows: DataFrame, shortest: int) -> DataFrame:
     """id, text of the lines that count, once per task as far as it remembers."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             chars, _, starts, ends = lines_of(*text_buffer(batch.column("text")))
             keep = ends - starts >= shortest
             starts, ends = starts[keep], ends[keep]
@@ -131,6 +135,8 @@ def line_texts(rows: DataFrame, shortest: int) -> DataFrame:
                     out_ids.append(i)
                     out.append(whole[a:b])
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.string())], ["id", "text"])
+        known.clear()
+        give_back()
 
     return rows.select("text").mapInArrow(find, "id long, text string")
 
