@@ -1,18 +1,24 @@
-"""Toxicity: class-conditional Kneser-Ney models of word sequences.
+"""Toxicity: class-conditional Kneser-Ney models of words, with shared backoff counts.
 
 Words are runs of letters, marks and digits, case folded and not folded otherwise; a letter of a
 script that sets no spaces between words (Han, Kana) is a word. Both classes, toxic and ordinary,
-have an interpolated Kneser-Ney model of word pairs over continuation counts of words over all
-known words and one unknown, with the discounts that their counts of counts give. STRENGTH adds so
-many rows of the lower order to every context (the concentration of a Pitman-Yor process, of which
-Kneser-Ney is the case 0), so that contexts seen a few times don't decide.
+have an interpolated Kneser-Ney distribution of words: a word counts once for every distinct word it
+follows in the class (its continuation count), less the discount that the counts of counts give, and
+what the discounts free is given out by the continuation counts of both classes together. Those
+shared counts back off in turn to a uniform share of all known words and one unknown. A word that a
+class has rarely or never seen therefore stands near its shared probability in both classes.
 
-A toxic text is mostly ordinary words, so it is modelled as a mixture: each word comes from the
-toxic model with probability SHARE. A text's difference is the sum over all its words of the log of
-the mixture's probability over the ordinary one, taken through asinh; the score is a logistic of it.
+The order above, pairs given the word before, is left out: contexts seen a few times then decide
+(README has the figures, by folds of the training rows).
+
+A toxic text is mostly ordinary words, so texts are compared passage by passage: a text is cut in
+even passages of at most PASSAGE words. The difference of a passage is the logarithm of the mean
+over its words of (toxic / ordinary likelihood) ** POWER, divided by POWER, and so does not grow with
+length; POWER towards 0 gives the plain mean of log-likelihoods. A text's difference is that of its most
+toxic passage, the score a logistic of it.
 
 Counts come from all labelled training texts and grow with them. They and the model are tables:
-texts' pairs are joined to them, by a broadcast only where they were counted to be few. Slope and
+texts' words are joined to them, by a broadcast only where they were counted to be few. Slope and
 intercept are fitted on a quarter of the training rows, scored by a model of the other three
 quarters, so they don't see the model's own texts; the model that scores is then made from all counts.
 Words stand in the tables by 64-bit hashes.
@@ -25,20 +31,20 @@ repeated labels learnt, row by row. Other columns of the documents are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.common import logistic, mix, slices, stored_table
 from stintwise.llm.linkage import BROADCAST_ROWS
 
-SHARE, STRENGTH, DISCOUNT = 0.001, 10_000, 0.75
+#: PASSAGE and POWER were chosen by folds of the training rows alone.
+PASSAGE, POWER, DISCOUNT = 100, 2, 0.75
 #: Cells to a unit of difference in which the calibration rows are counted.
 CELLS = 200
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}"
@@ -47,12 +53,16 @@ WORD = regex.compile(rf"(?V1)[{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}--[{UNSPACED}]]+
 REMEMBERED = 500_000
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def word_ids(words: list[str], known: dict[str, int]) -> list[int]:
     """64-bit hashes, none of them 0, which stands for the start of a text."""
     if len(known) > REMEMBERED:
         known.clear()
     for w in set(words).difference(known):
-        known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
+        known[w] = digest(w) or 1
     return [known[w] for w in words]
 
 
@@ -78,39 +88,54 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(training: DataFrame) -> DataFrame:
-    """before, word and their counts n0..n3 over all training texts, by 2 * label + fold."""
+    """before, word and seen over all training texts: bit 2 * label + fold is set where such a row holds the pair."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in slices(batches, "text"):
             before, word, counts = pairs_of(batch.column("text").to_pylist(), known)
-            part = np.repeat(batch.column("label").to_numpy() * 2 + batch.column("fold").to_numpy(), counts).astype(np.int64)
-            at, n = runs(before, word, part)
-            yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at])] + [
-                pa.array(np.where(part[at] == p, n, 0)) for p in range(4)], ["before", "word", "n0", "n1", "n2", "n3"])
+            part = np.repeat(1 << (batch.column("label").to_numpy() * 2 + batch.column("fold").to_numpy()), counts).astype(np.int64)
+            at, _ = runs(before, word, part)
+            yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at]), pa.array(part[at].astype(np.int32))],
+                                             ["before", "word", "seen"])
+
+    return training.mapInArrow(rows, "before long, word long, seen int") \
+        .groupBy("before", "word").agg(F.bit_or("seen").alias("seen"))
+
+
+def continuations(pairs: DataFrame) -> DataFrame:
+    """Per word, how many distinct words it follows: in ordinary (k0), toxic (k1) and all (k2) training rows, and t0, t1,
+    t2 the same over the rows of fold 0."""
+    kinds = {"k": (0b0011, 0b1100, 0b1111), "t": (0b0001, 0b0100, 0b0101)}
+    return pairs.groupBy("word").agg(*(
+        F.count_if(F.col("seen").bitwiseAND(F.lit(bits)) != 0).alias(f"{name}{c}")
+        for name, masks in kinds.items() for c, bits in enumerate(masks)))
 
-    return training.mapInArrow(rows, "before long, word long, n0 long, n1 long, n2 long, n3 long") \
-        .groupBy("before", "word").agg(*(F.sum(f"n{p}").alias(f"n{p}") for p in range(4)))
 
+def text_words(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a digest of the text), passage, word, n: the distinct words of every passage.
 
-def text_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a checksum of the text), before, word, n: every text's distinct pairs, and a row of word 0 for itself."""
+    A row of passage -1 stands for the text itself; its word is the mark, so that such rows don't meet in one task of a join.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            before, word, counts = pairs_of(texts, known)
+            _, word, counts = pairs_of(texts, known)
             row = np.repeat(np.arange(len(texts)), counts)
-            at, n = runs(before, word, row)
-            mark = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-            # The own rows' predecessors differ, so that they don't meet in one task of a join.
-            row, whole = np.concatenate([row[at], np.arange(len(texts))]), np.zeros(len(texts), np.int64)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
+            passage = place * (-(-counts // PASSAGE))[row] // np.maximum(counts, 1)[row]
+            at, n = runs(word, row, passage)
+            at = at[order := np.argsort(at)]
+            n = n[order]
+            mark = np.array([digest(t or "") for t in texts], np.int64)
+            row, whole = np.concatenate([row[at], np.arange(len(texts))]), np.ones(len(texts), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), pa.array(mark[row]), pa.array(np.concatenate([before[at], mark])),
-                 pa.array(np.concatenate([word[at], whole])), pa.array(np.concatenate([n, whole + 1]))],
-                ["doc_id", "mark", "before", "word", "n"])
+                [batch.column("doc_id").take(pa.array(row)), pa.array(mark[row]), pa.array(np.concatenate([passage[at], -whole])),
+                 pa.array(np.concatenate([word[at], mark])), pa.array(np.concatenate([n, whole]))],
+                ["doc_id", "mark", "passage", "word", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id long, mark long, before long, word long, n long")
+        rows, "doc_id long, mark long, passage long, word long, n long")
 
 
 def discount(ones: int | None, twos: int | None) -> float:
@@ -123,14 +148,10 @@ def if_few(table: DataFrame, n: int) -> DataFrame:
 
 @dataclass
 class Contrast:
-    """Tables of pair counts (c0 ordinary, c1 toxic), of words' probabilities (p0, p1) and of contexts' weights
-    (s0, s1 for a count, b0, b1 for the lower order); the logistic over the difference."""
+    """Words with their probabilities in ordinary (p0) and toxic texts (p1) and the logistic over the difference."""
 
-    pairs: DataFrame | None = None
     words: DataFrame | None = None
-    contexts: DataFrame | None = None
-    sizes: tuple[int, int, int] = (0, 0, 0)
-    discounts: tuple[float, float] = (DISCOUNT, DISCOUNT)
+    size: int = 0
     unknown: tuple[float, float] = (1.0, 1.0)
     slope: float = 1.0
     intercept: float = 0.0
@@ -138,48 +159,32 @@ class Contrast:
 
     def differences(self, docs: DataFrame) -> DataFrame:
         """doc_id, mark, difference and the number of rows that have them."""
-        found = text_pairs(docs).join(if_few(self.pairs, self.sizes[0]), ["before", "word"], "left") \
-            .join(if_few(self.words, self.sizes[1]), "word", "left") \
-            .join(if_few(self.contexts, self.sizes[2]), "before", "left")
-        ordinary, toxic = (
-            F.coalesce(F.greatest(F.col(f"c{c}") - self.discounts[c], F.lit(0.0)) * F.col(f"s{c}"), F.lit(0.0))
-            + F.coalesce(f"b{c}", F.lit(1.0)) * F.coalesce(f"p{c}", F.lit(self.unknown[c])) for c in (0, 1))
-        gain = F.when(F.col("word") != 0, F.col("n") * F.log(1 - SHARE + SHARE * toxic / ordinary))
-        own = F.when(F.col("word") == 0, F.col("n"))
-        return found.groupBy("doc_id", "mark").agg(F.sum(gain).alias("total"), F.sum(own).alias("rows")).select(
-            "doc_id", "mark", F.asinh(F.coalesce("total", F.lit(0.0)) / F.col("rows")).alias("difference"), "rows")
-
-    def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The scores of a few texts, given by their bytes."""
-        n = len(bounds) - 1
-        if self.fixed is not None:
-            return np.full(n, self.fixed)
-        raw = data.tobytes()
-        docs = SparkSession.active().createDataFrame(
-            [(k, raw[a:b].decode()) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))], "doc_id long, text string")
-        return np.array([r.score for r in sorted(scored(docs, self).collect())])
-
-
-def contrast(pairs: DataFrame) -> Contrast:
-    """The two models from a stored table of before, word, c0 and c1."""
-    totals = pairs.agg(F.count("*"), *(F.count_if(F.col(f"c{c}") == k) for c in (0, 1) for k in (1, 2))).first()
-    kinds = stored_table(pairs.groupBy("word").agg(*(F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}") for c in (0, 1))), "kinds")
-    of_kinds = kinds.agg(F.count("*"), *(f for c in (0, 1) for f in (
-        F.sum(f"k{c}"), F.count_if(F.col(f"k{c}") > 0), F.count_if(F.col(f"k{c}") == 1), F.count_if(F.col(f"k{c}") == 2)))).first()
-    discounts, unknown, known = [], [], []
-    for c in (0, 1):
-        discounts.append(discount(*totals[1 + 2 * c:3 + 2 * c]))
-        total, types, ones, twos = of_kinds[1 + 4 * c:5 + 4 * c]
-        off = discount(ones, twos)
-        unknown.append(off * types / (of_kinds[0] + 1) / total if total else 1 / (of_kinds[0] + 1))
-        known.append((F.greatest(F.col(f"k{c}") - off, F.lit(0.0)) / (total or 1) + unknown[c]).alias(f"p{c}"))
-    words = stored_table(kinds.select("word", *known), "words")
-    sums = pairs.groupBy("before").agg(*(f for c in (0, 1) for f in (
-        F.sum(f"c{c}").alias(f"n{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}"))))
-    contexts = stored_table(sums.select("before", *(f for c in (0, 1) for f in (
-        (1 / (F.col(f"n{c}") + STRENGTH)).alias(f"s{c}"),
-        ((discounts[c] * F.col(f"k{c}") + STRENGTH) / (F.col(f"n{c}") + STRENGTH)).alias(f"b{c}")))), "contexts")
-    return Contrast(pairs, words, contexts, (totals[0], of_kinds[0], contexts.count()), tuple(discounts), tuple(unknown))
+        rare = self.unknown[1] / self.unknown[0]
+        found = text_words(docs).join(if_few(self.words, self.size), "word", "left") \
+            .groupBy("doc_id", "mark", "passage").agg(
+                F.sum(F.col("n") * F.pow(F.coalesce(F.col("p1") / F.col("p0"), F.lit(rare)), F.lit(POWER))).alias("total"), F.sum("n").alias("n"))
+        own = F.col("passage") < 0
+        return found.groupBy("doc_id", "mark").agg(
+            F.coalesce(F.max(F.when(~own, F.log(F.col("total") / F.col("n")) / POWER)), F.lit(0.0)).alias("difference"),
+            F.sum(F.when(own, F.col("n"))).alias("rows"))
+
+
+def contrast(kinds: DataFrame, name: str) -> Contrast:
+    """The two models from a stored table of continuation counts, of which the columns ``name`` 0 to 2 are taken."""
+    kinds = kinds.where(f"{name}2 > 0").select("word", *(F.col(f"{name}{c}").alias(f"c{c}") for c in range(3)))
+    found = kinds.agg(*(f for c in range(3) for f in (
+        F.sum(f"c{c}"), F.count_if(F.col(f"c{c}") > 0), F.count_if(F.col(f"c{c}") == 1), F.count_if(F.col(f"c{c}") == 2)))).first()
+    totals, types = [found[4 * c] or 0 for c in range(3)], [found[4 * c + 1] for c in range(3)]
+    offs = [discount(*found[4 * c + 2:4 * c + 4]) for c in range(3)]
+
+    def kept(c: int) -> Column:
+        return F.greatest(F.col(f"c{c}") - offs[c], F.lit(0.0)) / F.lit(totals[c] or 1)
+
+    # What each model's discounts free: all of it where a class has no words.
+    free = [offs[c] * types[c] / totals[c] if totals[c] else 1.0 for c in range(3)]
+    even = free[2] / (types[2] + 1)
+    words = kinds.select("word", *((kept(c) + free[c] * (kept(2) + even)).alias(f"p{c}") for c in (0, 1)))
+    return Contrast(stored_table(words, "words"), types[2], (free[0] * even, free[1] * even))
 
 
 def learnt(docs: DataFrame, labels: DataFrame, held_out: str) -> Contrast:
@@ -196,14 +201,13 @@ def learnt(docs: DataFrame, labels: DataFrame, held_out: str) -> Contrast:
     ordinary, toxic = (sizes.get((c, 0), 0) + sizes.get((c, 1), 0) for c in (0, 1))
     if not (ordinary and toxic):
         return Contrast(fixed=toxic / (ordinary + toxic) if toxic else 0.0)
-    counts = stored_table(counted(training), "pair_counts")
-    model = contrast(counts.selectExpr("before", "word", "n0 + n1 as c0", "n2 + n3 as c1"))
+    kinds = stored_table(continuations(counted(training)), "continuations")
+    model = contrast(kinds, "k")
     if not all(sizes.get((c, f)) for c in (0, 1) for f in (0, 1)):
         # Too few rows to set some aside: calibrate on the training rows themselves.
         trial, rows = model, training
     else:
-        trial = contrast(counts.where("n0 + n2 > 0").selectExpr("before", "word", "n0 as c0", "n2 as c1"))
-        rows = training.where("fold = 1")
+        trial, rows = contrast(kinds, "t"), training.where("fold = 1")
     # A document's labels are told apart by count: repeated labels repeat its rows, in pairs and in sums alike.
     of = known.groupBy("doc_id").agg(*(F.count_if(F.col("label") == c).alias(f"y{c}") for c in (0, 1)))
     cell = F.floor(F.col("difference") * CELLS)

@@ -22,7 +22,7 @@ def mean_rank_auc(pairs):
 
 
 @pytest.mark.parametrize("name, label, modulus, remainder, least", [
-    ("op1_quality_classifier", "quality", 5, 0, 0.97), ("op3_toxicity", "toxic", 4, 2, 0.7)])
+    ("op1_quality_classifier", "quality", 5, 0, 0.97), ("op3_toxicity", "toxic", 4, 2, 0.95)])
 def test_held_out_accuracy(spark, name, label, modulus, remainder, least):
     rows = QUERIES[name](spark, MEDIUM).collect()
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
@@ -77,7 +77,7 @@ def test_odd_texts_and_missing_labels(spark, corpus, repeated, nothing):
     assert quality.learnt(found, named.where("false"), "false").score(quality.features(*_buffer(["a", ""]))).tolist() == [0.5, 0.5]
     assert quality.learnt(found, named.where("label = 1"), "false").score(quality.features(*_buffer(["a"]))).tolist() == [1.0]
     only = toxicity.learnt(docs, labels.selectExpr("doc_id", "0 as label"), "false")
-    assert only.score(*_buffer(["a", ""])).tolist() == [0.0, 0.0]
+    assert [r.score for r in toxicity.scored(corpus, only).collect()] == [0.0] * corpus.count()
 
 
 def _buffer(texts):
@@ -93,8 +93,12 @@ def test_a_text_scores_alike_in_any_company(spark):
     docs, labels = made_up(spark, 100)
     contrast = toxicity.learnt(docs, labels.selectExpr("doc_id", "toxic as label"), "false")
     texts = ["", "Some words", "quazzil", "é漢 don't", "  ", "Some words", "x"]
-    together = contrast.score(*_buffer(texts)).tolist()
-    assert together == pytest.approx([contrast.score(*_buffer([t]))[0] for t in texts])
+
+    def scores(some):
+        found = toxicity.scored(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), contrast)
+        return [r.score for r in sorted(found.collect())]
+
+    assert scores(texts) == pytest.approx([scores([t])[0] for t in texts])
     whole = quality.features(*_buffer(texts))
     assert all((whole[k] == quality.features(*_buffer([t]))[0]).all() for k, t in enumerate(texts))
 
