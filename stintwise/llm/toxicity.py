@@ -51,6 +51,9 @@ UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}"
 WORD = regex.compile(rf"(?V1)[{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}--[{UNSPACED}]]+")
 #: Up to so many words a task keeps the hashes of.
 REMEMBERED = 500_000
+#: Up to so many words, as counted, the model is broadcast (a hash and a ratio each, about 200 MB in an executor); beyond it
+#: texts' words are shuffled to it.
+BROADCAST_WORDS = 4_000_000
 
 
 def digest(text: str) -> int:
@@ -142,10 +145,6 @@ def discount(ones: int | None, twos: int | None) -> float:
     return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else DISCOUNT
 
 
-def if_few(table: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(table) if n <= BROADCAST_ROWS else table
-
-
 @dataclass
 class Contrast:
     """Words with their probabilities in ordinary (p0) and toxic texts (p1) and the logistic over the difference."""
@@ -160,9 +159,10 @@ class Contrast:
     def differences(self, docs: DataFrame) -> DataFrame:
         """doc_id, mark, difference and the number of rows that have them."""
         rare = self.unknown[1] / self.unknown[0]
-        found = text_words(docs).join(if_few(self.words, self.size), "word", "left") \
+        ratios = self.words.select("word", (F.col("p1") / F.col("p0")).alias("ratio"))
+        found = text_words(docs).join(F.broadcast(ratios) if self.size <= BROADCAST_WORDS else ratios, "word", "left") \
             .groupBy("doc_id", "mark", "passage").agg(
-                F.sum(F.col("n") * F.pow(F.coalesce(F.col("p1") / F.col("p0"), F.lit(rare)), F.lit(POWER))).alias("total"), F.sum("n").alias("n"))
+                F.sum(F.col("n") * F.pow(F.coalesce("ratio", F.lit(rare)), F.lit(POWER))).alias("total"), F.sum("n").alias("n"))
         own = F.col("passage") < 0
         return found.groupBy("doc_id", "mark").agg(
             F.coalesce(F.max(F.when(~own, F.log(F.col("total") / F.col("n")) / POWER)), F.lit(0.0)).alias("difference"),

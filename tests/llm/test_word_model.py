@@ -100,7 +100,7 @@ def test_repeated_rows_keep_their_scores(spark, most, monkeypatch):
     docs, labels = made_up(spark, 60)
     model = toxicity.learnt(docs, labels.selectExpr("doc_id", "toxic as label"), TOXIC_HELD_OUT)
     once = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
-    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", most)
     many = docs.unionByName(docs.where("doc_id < 5")).unionByName(spark.createDataFrame([(None, "a"), (7, None)], docs.schema))
     rows = toxicity.scored(many, model).collect()
     assert len(rows) == 67
