@@ -265,6 +265,42 @@ def event_log(events: DataFrame, keys: list[str], sequence: str, kind: str, requ
         ~F.col("has_required"), "required_kind_missing"))
 
 
+def event_log_rules(events: DataFrame, metadata: DataFrame, keys: list[str], condition: str, markers: dict[str, str]) -> DataFrame:
+    """(keys..., rule) for every broken rule of an event log against its bundle's metadata.
+
+    ``events``: keys, sequence, kind. ``metadata``, one row per bundle: keys, coaching_state, events_written, events_dropped.
+    ``condition`` is a kind every log holds; ``markers`` names the kind that a coaching state asks for. A bundle without
+    events has written none; events without metadata break metadata_missing alone. Null keys make one bundle.
+    One aggregation over the events, whose partial sums are all that is shuffled.
+    """
+    kinds = {f"_has_{i}": kind for i, kind in enumerate([condition, *markers.values()])}
+    counted = events.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("sequence").alias("_low"), F.max("sequence").alias("_high"),
+        F.count_distinct("sequence").alias("_distinct"),
+        *[F.coalesce(F.bool_or(F.col("kind") == kind), F.lit(False)).alias(name) for name, kind in kinds.items()])
+    declared = metadata.select(*keys, "coaching_state", "events_written", "events_dropped", F.lit(True).alias("_declared"))
+    marks = [f"_key_{k}" for k in keys]
+    sides = [d.select(*[F.struct(k).alias(m) for k, m in zip(keys, marks)], *[c for c in d.columns if c not in keys])
+             for d in (counted, declared)]
+    both = sides[0].join(sides[1], marks, "full_outer").select(
+        *[F.col(m)[k].alias(k) for k, m in zip(keys, marks)], *[c for d in sides for c in d.columns if c not in marks])
+    known, n = F.coalesce("_declared", F.lit(False)), F.coalesce("_n", F.lit(0))
+
+    def has(name: str) -> Column:
+        return F.coalesce(name, F.lit(False))
+
+    return violations(both, {
+        "metadata_missing": known,
+        "sequence_not_dense": ~known | (n == 0) | F.coalesce(
+            (F.col("_low") == 0) & (F.col("_high") == n - 1) & (F.col("_distinct") == n), F.lit(False)),
+        "condition_missing": ~known | has("_has_0"),
+        **{f"marker_missing.{state}": ~known | ~F.col("coaching_state").eqNullSafe(state) | has(f"_has_{i}")
+           for i, state in enumerate(markers, 1)},
+        "written_mismatch": ~known | F.col("events_written").eqNullSafe(n),
+        "dropped_events": ~known | F.col("events_dropped").eqNullSafe(F.lit(0)),
+    }, keys)
+
+
 def lap_table_rules(laps: DataFrame, subject: list[str]) -> DataFrame:
     """Internal agreement of a lap table."""
     return violations(laps, {

@@ -177,3 +177,37 @@ def expectation_mismatches(expected: DataFrame, observed: DataFrame, on: list[st
     other = (F.col(kind) == "equals") & ~F.col("observed").eqNullSafe(F.col("expected"))
     return joined.withColumn("problem", F.when(F.col("_seen").isNull(), "nothing_observed").when(
         low, "below_expected").when(other, "differs")).filter("problem is not null").drop("_seen")
+
+
+def wildcard_mismatches(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """Known answers for all paths of a pattern, in which ``*`` stands for any one level of a path with ``.`` between levels.
+
+    expected: pattern, kind (equals, at_least or one_of_each: observed by exactly one path), value. observed: path, value.
+    Returns pattern, kind, expected, path, observed, problem; a pattern that fits no path is nothing_observed, and
+    more than one path of one_of_each is ambiguous, with the first path. Values nobody expected are no mismatches.
+
+    A pattern's levels before its first ``*`` are its key: paths are joined by those of their leading levels that are
+    as many as some pattern of the same depth has, and the levels behind are compared after the join.
+    """
+    parts = F.split("pattern", r"\.")
+    at = F.array_position("_parts", "*").cast("int")
+    rules = expected.withColumnRenamed("value", "expected").withColumn("_parts", parts).withColumn("_depth", F.size("_parts")).withColumn(
+        "_fixed", F.when(at > 0, at - 1).otherwise(F.size("_parts"))).withColumn(
+        "_head", F.array_join(F.slice("_parts", F.lit(1), F.col("_fixed")), "."))
+    shapes = rules.select("_depth", "_fixed").distinct()
+    paths = observed.select("path", F.col("value").alias("observed"), F.split("path", r"\.").alias("_levels")).withColumn(
+        "_depth", F.size("_levels")).join(shapes, "_depth").withColumn(
+        "_head", F.array_join(F.slice("_levels", F.lit(1), F.col("_fixed")), "."))
+    fits = F.forall(F.zip_with("_parts", "_levels", lambda p, o: (p == "*") | (p == o)), lambda x: x)
+    found = rules.join(paths, ["_depth", "_fixed", "_head"]).where(fits)
+    low = (F.col("kind") == "at_least") & ~F.coalesce(F.col("observed") >= F.col("expected"), F.lit(False))
+    other = (F.col("kind") == "equals") & ~F.col("observed").eqNullSafe(F.col("expected"))
+    wrong = found.where("kind <> 'one_of_each'").withColumn("problem", F.when(low, "below_expected").when(other, "differs"))
+    names = ["pattern", "kind", "expected"]
+    several = found.where("kind = 'one_of_each'").groupBy(*names).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("path", "observed")).alias("_first")).where("_n > 1").select(
+        *names, "_first.*", F.lit("ambiguous").alias("problem"))
+    absent = expected.withColumnRenamed("value", "expected").join(found.select("pattern").distinct(), "pattern", "left_anti").select(
+        *names, F.lit(None).cast("string").alias("path"), F.lit(None).cast(observed.schema["value"].dataType).alias("observed"),
+        F.lit("nothing_observed").alias("problem"))
+    return wrong.where("problem is not null").select(*names, "path", "observed", "problem").unionByName(several).unionByName(absent)

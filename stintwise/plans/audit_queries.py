@@ -12,7 +12,9 @@ from stintwise.plans.bindings import (
     table,
 )
 from stintwise.plans.registry import ROOT_SQL, query
+from stintwise.plans.source_queries import event_texts
 from stintwise.schema import reading
+from stintwise.sources.files import event_lines
 
 
 @query("c1_record_contract", "WITH " + EVENTS_SQL + """
@@ -161,6 +163,31 @@ def c13(spark: SparkSession, sf: str) -> DataFrame:
     return audit.event_log(table(spark, sf, "conversations"), ["conv_id"], "turn", "role", F.lit("system"))
 
 
+@query("c13_event_log_rules", """
+WITH b AS (SELECT conv_id, count(*) AS n, min(turn) AS low, max(turn) AS high, count(DISTINCT turn) AS d,
+             bool_or(role = 'user') AS c, bool_or(role = 'system') AS s, bool_or(role = 'assistant' AND turn > 2) AS a
+           FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn <= 2 THEN 'reply' ELSE role END AS role FROM conversations)
+           WHERE turn % 13 <> 5 OR conv_id % 2 = 0 GROUP BY conv_id),
+m AS (SELECT conv_id, count(*) AS written FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'metadata_missing' AS rule FROM b WHERE conv_id % 17 = 0
+UNION ALL SELECT conv_id, 'sequence_not_dense' FROM b WHERE conv_id % 17 <> 0 AND NOT (low = 0 AND high = n - 1 AND d = n)
+UNION ALL SELECT conv_id, 'condition_missing' FROM m LEFT JOIN b USING (conv_id) WHERE conv_id % 17 <> 0 AND NOT coalesce(c, false)
+UNION ALL SELECT conv_id, 'marker_missing.disabled' FROM m LEFT JOIN b USING (conv_id) WHERE conv_id % 17 <> 0 AND conv_id % 3 = 0 AND NOT coalesce(s, false)
+UNION ALL SELECT conv_id, 'marker_missing.enabled' FROM m LEFT JOIN b USING (conv_id) WHERE conv_id % 17 <> 0 AND conv_id % 3 = 1 AND NOT coalesce(a, false)
+UNION ALL SELECT conv_id, 'written_mismatch' FROM m LEFT JOIN b USING (conv_id) WHERE conv_id % 17 <> 0 AND coalesce(n, 0) <> written
+UNION ALL SELECT conv_id, 'dropped_events' FROM m WHERE conv_id % 17 <> 0 AND conv_id % 11 = 0""")
+def c13_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").withColumn("kind", F.when(
+        (F.col("role") == "assistant") & (F.col("turn") <= 2), "reply").otherwise(F.col("role")))
+    # The logs of odd conversations have lost some lines.
+    kept = rows.where("turn % 13 <> 5 or conv_id % 2 = 0")
+    log = event_lines(event_texts(kept, ["conv_id"], "turn", "kind", {"chars": F.length("text")}), "event/1").where("problem is null")
+    state = F.when(F.col("conv_id") % 3 == 0, "disabled").when(F.col("conv_id") % 3 == 1, "enabled")
+    metadata = rows.where("conv_id % 17 <> 0").groupBy("conv_id").agg(F.count(F.lit(1)).alias("events_written")).withColumn(
+        "coaching_state", state).withColumn("events_dropped", (F.col("conv_id") % 11 == 0).cast("int"))
+    return audit.event_log_rules(log, metadata, ["conv_id"], "user", {"disabled": "system", "enabled": "assistant"})
+
+
 @query("c14_lap_table_rules", "WITH " + BINS_SQL + """
 SELECT lap_id, 'valid_lap_with_reasons' AS rule FROM lap_table WHERE is_valid AND exclusion_reasons <> ''
 UNION ALL SELECT lap_id, 'reference_not_valid' FROM lap_table WHERE is_reference AND NOT is_valid

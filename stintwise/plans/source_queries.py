@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.functions import cells
@@ -18,7 +18,7 @@ from stintwise.plans.bindings import (
 )
 from stintwise.plans.registry import ROOT_SQL, query
 from stintwise.session import shared_folder
-from stintwise.sources import recorder, session_export
+from stintwise.sources import files, recorder, session_export
 from stintwise.sources.files import reconcile_inventory
 from stintwise.sources.inventory import read_inventory
 from stintwise.sources.mapped_csv import records_from_rows
@@ -88,10 +88,41 @@ def a4(spark: SparkSession, sf: str) -> DataFrame:
         cells.strict_boolean(F.col("o_orderstatus"), ("O", "F")).alias("flag"), cells.finite(w).alias("number"))
 
 
-@query("a8_event_payloads", "WITH " + EVENTS_SQL + " SELECT event_id, CAST(distance AS BIGINT) AS k FROM base")
+def event_texts(rows: DataFrame, keep: list[str], sequence: str, kind: str, data: dict[str, Column]) -> DataFrame:
+    """Rows as the JSON lines of an event log, in ``value``."""
+    return rows.select(*keep, F.to_json(F.struct(
+        F.lit("event/1").alias("schema_version"), F.col(sequence).alias("sequence"), F.lit("2024-01-01T00:00:00Z").alias("observed_utc"),
+        F.lit(1.5).alias("session_time_s"), F.col(kind).alias("kind"),
+        F.struct(*[c.alias(n) for n, c in data.items()]).alias("data"))).alias("value"))
+
+
+@query("a8_event_payloads", """
+SELECT event_id, 'event/1' AS schema_version, event_id AS sequence, event_type AS kind, 1.5::DOUBLE AS session_time_s,
+       CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id FROM events""")
 def a8(spark: SparkSession, sf: str) -> DataFrame:
-    data = F.from_json("props", "MAP<STRING, STRING>", {"mode": "FAILFAST"})
-    return table(spark, sf, "events").select("event_id", F.try_element_at(data, F.lit("k")).cast("long").alias("k"))
+    rows = table(spark, sf, "events").select("event_id", "event_type", "user_id", F.try_parse_json("props").alias("props"))
+    lines = event_texts(rows, ["event_id"], "event_id", "event_type", {"props": F.col("props"), "user": F.col("user_id")})
+    return files.event_lines(lines, "event/1").where("problem is null").select(
+        "event_id", "schema_version", "sequence", "kind", "session_time_s", files.payload("$.props.k", "bigint").alias("k"),
+        files.payload("$.user", "bigint").alias("user_id"))
+
+
+@query("a8_event_refusals", """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'not_json' WHEN 1 THEN 'shape' WHEN 2 THEN 'version' WHEN 3 THEN 'sequence'
+  WHEN 4 THEN 'session_time' WHEN 5 THEN 'kind' ELSE 'data' END AS problem FROM events WHERE event_id % 8 < 7""")
+def a8_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    # Every eighth line stays sound; the others are spoilt in one way each.
+    rows = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    lines = event_texts(rows, ["event_id"], "event_id", "event_type", {"user": F.col("user_id")})
+    way, value = F.col("event_id") % 8, F.col("value")
+    spoilt = F.when(way == 0, F.expr("left(value, length(value) - 1)")).when(
+        way == 1, F.replace(value, F.lit('"observed_utc"'), F.lit('"observed"'))).when(
+        way == 2, F.replace(value, F.lit("event/1"), F.lit("event/2"))).when(
+        way == 3, F.regexp_replace(value, '"sequence":([0-9]+)', '"sequence":"$1"')).when(
+        way == 4, F.replace(value, F.lit("1.5"), F.lit("true"))).when(
+        way == 5, F.regexp_replace(value, '"kind":"[a-z]+"', '"kind":""')).when(
+        way == 6, F.regexp_replace(value, '"data":.*', '"data":[1]}')).otherwise(value)
+    return files.event_lines(lines.withColumn("value", spoilt), "event/1").where("problem is not null").select("event_id", "problem")
 
 
 def all_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -238,6 +238,31 @@ def h9(spark: SparkSession, sf: str) -> DataFrame:
     return trail.expectation_mismatches(known.unionByName(fixed), observed, ["path"])
 
 
+WILDCARDS = [
+    ("*.3.1", "at_least", 2), ("click.*.2", "equals", 1), ("view.4.*", "at_least", 3), ("*.*.*", "at_least", 1), ("refund.*.*", "equals", 1),
+    ("*.5.*", "one_of_each", None), ("click.1.1", "equals", 0), ("*", "at_least", 1), ("purchase", "one_of_each", None)]
+
+
+@query("h9_wildcard_expectations", """
+WITH o AS (SELECT event_type || '.' || user_id % 10 || '.' || dayofmonth(ts) AS path, count(*) AS value FROM events GROUP BY 1
+           UNION ALL SELECT event_type, count(*) FROM events GROUP BY 1),
+e(pattern, kind, expected) AS (VALUES """ + ", ".join(
+    f"('{p}', '{k}', {'NULL' if v is None else v}::BIGINT)" for p, k, v in WILDCARDS) + """),
+f AS (SELECT pattern, kind, expected, path, value AS observed FROM e JOIN o
+      ON regexp_full_match(path, replace(replace(pattern, '.', '[.]'), '*', '[^.]+')))
+SELECT *, CASE kind WHEN 'equals' THEN 'differs' ELSE 'below_expected' END AS problem FROM f
+WHERE (kind = 'equals' AND observed <> expected) OR (kind = 'at_least' AND observed < expected)
+UNION ALL SELECT pattern, kind, any_value(expected), min(path), arg_min(observed, path), 'ambiguous' FROM f
+WHERE kind = 'one_of_each' GROUP BY pattern, kind HAVING count(*) > 1
+UNION ALL SELECT pattern, kind, expected, NULL, NULL, 'nothing_observed' FROM e WHERE pattern NOT IN (SELECT pattern FROM f)""")
+def h9_wildcards(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("event_type", F.concat_ws(
+        ".", "event_type", (F.col("user_id") % 10).cast("string"), F.dayofmonth("ts").cast("string")).alias("path"))
+    observed = events.groupBy("path").agg(F.count(F.lit(1)).alias("value")).unionByName(
+        events.groupBy(F.col("event_type").alias("path")).agg(F.count(F.lit(1)).alias("value")))
+    return trail.wildcard_mismatches(literal_table(spark, "pattern string, kind string, value bigint", WILDCARDS), observed)
+
+
 # ------------------------------------------------------------------ capability
 
 INVENTORY_SQL = """

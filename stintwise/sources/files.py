@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stintwise.operators.spread import UNKNOWN, Scale, position_in
 
 
+# The fields of an event.
+EVENT_FIELDS = ("schema_version", "sequence", "observed_utc", "session_time_s", "kind", "data")
+
+
 def read_text_table(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", quarantine: bool = False) -> DataFrame:
     """A CSV whose header must be exactly ``columns``; every cell stays text, blanks are ''.
 
@@ -44,13 +48,54 @@ def with_row_number(rows: DataFrame, name: str = "row_index", scale: Scale = UNK
     return position_in(rows, ["_file"], ["_block", "_line"], name, scale)
 
 
-def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of an event log; ``data`` is kept as a map."""
-    schema = T.StructType([
-        T.StructField("schema_version", T.StringType()), T.StructField("sequence", T.LongType()),
-        T.StructField("observed_utc", T.StringType()), T.StructField("session_time_s", T.DoubleType()),
-        T.StructField("kind", T.StringType()), T.StructField("data", T.MapType(T.StringType(), T.StringType()))])
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+def event_lines(lines: DataFrame, version: str, column: str = "value") -> DataFrame:
+    """Events out of JSON text: ``column`` gives way to the event's fields, its ``data`` as VARIANT, and ``problem``.
+
+    An event has exactly the fields of EVENT_FIELDS. Problems, the first that applies (null for a sound event, whose
+    fields alone are filled): not_json, shape, version, sequence, session_time, kind, data. Null text is not_json. Other columns stay.
+    """
+    held = lines.withColumn("_event", F.try_parse_json(column)).withColumn(
+        "_cells", F.try_variant_get("_event", "$", "map<string,variant>"))
+
+    def cell(name: str) -> Column:
+        return F.try_element_at("_cells", F.lit(name))
+
+    def kind(name: str) -> Column:
+        # JSON's null, an absent field and a field of another type are told apart by the type's name.
+        return F.coalesce(F.schema_of_variant(cell(name)), F.lit("absent"))
+
+    def text(name: str) -> Column:
+        return F.try_variant_get(cell(name), "$", "string")
+
+    fields = F.coalesce(F.sort_array(F.map_keys("_cells")), F.array().cast("array<string>"))
+    problem = F.when(F.col("_event").isNull(), "not_json").when(
+        fields != F.array(*[F.lit(c) for c in sorted(EVENT_FIELDS)]), "shape").when(
+        (kind("schema_version") != "STRING") | (text("schema_version") != version), "version").when(
+        (kind("sequence") != "BIGINT") | (F.try_variant_get(cell("sequence"), "$", "bigint") < 0), "sequence").when(
+        ~kind("session_time_s").rlike("^(VOID|BIGINT|DOUBLE|DECIMAL.*)$"), "session_time").when(
+        (kind("kind") != "STRING") | (text("kind") == ""), "kind").when(~kind("data").startswith("OBJECT"), "data")
+    sound = F.col("problem").isNull()
+    return held.withColumn("problem", problem).select(
+        *[c for c in lines.columns if c != column], F.when(sound, text("schema_version")).alias("schema_version"),
+        F.when(sound, F.try_variant_get(cell("sequence"), "$", "bigint")).alias("sequence"),
+        F.when(sound, text("observed_utc")).alias("observed_utc"),
+        F.when(sound, F.try_variant_get(cell("session_time_s"), "$", "double")).alias("session_time_s"),
+        F.when(sound, text("kind")).alias("kind"), F.when(sound, cell("data")).alias("data"), "problem")
+
+
+def payload(path: str, kind: str, column: str = "data") -> Column:
+    """One typed value of an event's VARIANT payload; null where it is absent or of another type."""
+    return F.try_variant_get(column, path, kind)
+
+
+def read_event_lines(spark: SparkSession, path: str, version: str, quarantine: bool = False) -> DataFrame:
+    """JSON lines of an event log, see ``event_lines``. A bad line fails the job; with ``quarantine`` it stays, with its problem."""
+    found = event_lines(spark.read.text(path), version)
+    if quarantine:
+        return found
+    refusal = F.raise_error(F.concat(F.lit("event log: "), F.col("problem"))).cast("boolean")
+    # A condition, unlike a column, is not pruned.
+    return found.where(F.when(F.col("problem").isNotNull(), refusal).otherwise(True)).drop("problem")
 
 
 def reconcile_inventory(declared: DataFrame, actual: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintwise.functions.canonical import row_hash
-from stintwise.operators import audit, sweeps
+from stintwise.operators import audit, sweeps, trail
 from stintwise.operators.spread import Scale
 from stintwise.operators.trail import LIFECYCLE_EDGES, replay
 
@@ -121,3 +121,30 @@ def test_chain_replay(spark, scale):
     got = {(r.seq, r.rule) for r in replay(df, "id", "seq", LIFECYCLE_EDGES, F.col("seq"), scale).collect()}
     assert got == {(2, "edge_not_permitted"), (4, "sequence_not_contiguous"), (4, "from_state_mismatch"),
                    (4, "previous_hash_mismatch")}
+
+
+def test_event_log_rules_fire_once_each(spark):
+    events = spark.createDataFrame(
+        [("good", 0, "c"), ("good", 1, "on"), ("holes", 0, "c"), ("holes", 2, "x"), ("plain", 0, "x"), ("alone", 0, "c"), (None, 0, "c")],
+        "b string, sequence long, kind string")
+    metadata = spark.createDataFrame(
+        [("good", "enabled", 2, 0), ("holes", "disabled", 3, 0), ("plain", "enabled", 1, 2), ("empty", None, 0, 0), (None, None, 1, None)],
+        "b string, coaching_state string, events_written long, events_dropped long")
+    found = audit.event_log_rules(events, metadata, ["b"], "c", {"disabled": "off", "enabled": "on"}).collect()
+    assert sorted(((r.b or "", r.rule) for r in found)) == [
+        ("", "dropped_events"), ("alone", "metadata_missing"), ("empty", "condition_missing"), ("holes", "marker_missing.disabled"),
+        ("holes", "sequence_not_dense"), ("holes", "written_mismatch"), ("plain", "condition_missing"), ("plain", "dropped_events"),
+        ("plain", "marker_missing.enabled")]
+
+
+def test_wildcards_at_every_level(spark):
+    observed = spark.createDataFrame([("a.x.1", 5), ("a.y.1", 7), ("b.x.2", 5), ("b", None)], "path string, value long")
+    expected = spark.createDataFrame(
+        [("*.x.1", "equals", 5), ("a.*.1", "equals", 5), ("a.x.*", "at_least", 6), ("*.*.*", "at_least", 5), ("*", "at_least", 1),
+         ("a.*", "equals", 5), ("*.x.*", "one_of_each", None), ("b.*.*", "one_of_each", None), ("b.x.2", "equals", 4)],
+        "pattern string, kind string, value long")
+    found = sorted(((r.pattern, r.path or "", r.problem) for r in trail.wildcard_mismatches(expected, observed).collect()))
+    assert found == [("*", "b", "below_expected"), ("*.x.*", "a.x.1", "ambiguous"), ("a.*", "", "nothing_observed"),
+                     ("a.*.1", "a.y.1", "differs"), ("a.x.*", "a.x.1", "below_expected"), ("b.x.2", "b.x.2", "differs")]
+    assert trail.wildcard_mismatches(expected.where("false"), observed).count() == 0
+    assert trail.wildcard_mismatches(expected, observed.where("false")).count() == 9

@@ -11,7 +11,7 @@ from stintwise.operators.normalize import ColumnMapping, conform, enum_dictionar
 from stintwise.operators.spread import Scale
 from stintwise.sources import recorder, session_export
 from stintwise.sources.files import (
-    read_event_lines, read_text_table, reconcile_inventory, with_row_number,
+    event_lines, payload, read_event_lines, read_text_table, reconcile_inventory, with_row_number,
 )
 from stintwise.sources.inventory import read_inventory
 from stintwise.sources.mapped_csv import read_mapped_csv
@@ -141,8 +141,8 @@ def test_events_and_inventory(spark, tmp_path):
         "schema_version": "v1", "sequence": 0, "observed_utc": "2024-01-01T00:00:00Z", "session_time_s": None,
         "kind": "collection-condition", "data": {"a": 1}}) + "\n")
     (folder / "b.txt").write_bytes(b"two")
-    events = read_event_lines(spark, str(folder / "events.jsonl"))
-    assert events.first().data == {"a": "1"}
+    events = read_event_lines(spark, str(folder / "events.jsonl"), "v1")
+    assert events.select(payload("$.a", "int")).first()[0] == 1 and events.first().session_time_s is None
     log = audit.event_log(events.withColumn("k", F.lit(1)), ["k"], "sequence", "kind", F.lit("collection-condition"))
     assert log.first().problem is None
     declared = spark.createDataFrame([("b.txt", 3, hashlib.sha256(b"twO").hexdigest()), ("gone.txt", 1, "x")],
@@ -222,3 +222,20 @@ def test_lap_tables_are_refused_or_set_apart(spark, tmp_path):
         session_export.read_laps(spark, str(path)).collect()
     path.write_text("\n".join([",".join(session_export.LAP_COLUMNS), good]) + "\n")
     assert session_export.read_laps(spark, str(path)).first().lap_number == 1
+
+
+def test_bad_event_lines_are_refused_or_set_apart(spark, tmp_path):
+    sound = {"schema_version": "v1", "sequence": 3, "observed_utc": "", "session_time_s": 2, "kind": "k", "data": {"s": " x ", "n": None}}
+    lines = [json.dumps(sound), "", "[1]", "null", json.dumps({**sound, "more": 1}), json.dumps({**sound, "schema_version": 1}),
+             json.dumps({**sound, "sequence": -1}), json.dumps({**sound, "sequence": 1.5}), json.dumps({**sound, "session_time_s": "2"}),
+             json.dumps({**sound, "kind": None}), json.dumps({**sound, "data": "{}"}), None]
+    rows = spark.createDataFrame([(i, t, "own") for i, t in enumerate(lines)], "i int, value string, kept string")
+    found = {r.i: r for r in event_lines(rows, "v1").withColumn("s", payload("$.s", "string")).withColumn("n", payload("$.n", "int")).drop("data").collect()}
+    assert [found[i].problem for i in range(len(lines))] == [
+        None, "not_json", "shape", "shape", "shape", "version", "sequence", "sequence", "session_time", "kind", "data", "not_json"]
+    assert (found[0].sequence, found[0].session_time_s, found[0].s, found[0].n, found[0].kept) == (3, 2.0, " x ", None, "own")
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(lines[:1] + lines[2:3]))
+    assert read_event_lines(spark, str(path), "v1", quarantine=True).where("problem is null").count() == 1
+    with pytest.raises(Exception, match="event log: shape"):
+        read_event_lines(spark, str(path), "v1").count()
