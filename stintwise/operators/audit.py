@@ -116,6 +116,54 @@ def record_contract(records: DataFrame, subject: list[str] | None = None) -> Dat
     return violations(records, rules, subject or ["record_id"])
 
 
+# The aggregation of a distance bin.
+BIN_METHODS = {"brake": "maximum", "throttle": "arithmetic_mean", "steering_angle": "arithmetic_mean", "speed": "arithmetic_mean"}
+BIN_SEMANTICS = "distance_binned_aggregate"
+MONOTONIC_TIME = "normalized_monotonic_time"
+
+
+def nested_contract(records: DataFrame, subject: list[str] | None = None) -> DataFrame:
+    """Contract violations inside a record's structs, arrays and maps, whichever of them the table carries:
+    source provenance, quality flags of records and values, the timestamps' reference and the aggregation of bins.
+
+    All rules are column expressions over the row; arrays and maps are looked through by higher-order functions, not exploded.
+    """
+    have, kind = set(records.columns), F.col("record_type")
+    rules: dict[str, Column] = {}
+
+    def filled(text: Column) -> Column:
+        return F.coalesce(F.trim(text) != "", F.lit(False))
+
+    def all_filled(flags: Column) -> Column:
+        return flags.isNull() | F.forall(flags, filled)
+
+    if "source_provenance" in have:
+        source = F.col("source_provenance")
+        for name in ("source_file", "adapter_id", "adapter_version"):
+            rules[f"source_provenance.{name}.required"] = filled(source[name])
+        rules["source_provenance.source_file_sha256"] = F.coalesce(source["source_file_sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False))
+        first, last = source["row_start"], source["row_end"]
+        rules["source_provenance.rows.minimum"] = (F.coalesce(first, F.lit(1)) >= 1) & (F.coalesce(last, F.lit(1)) >= 1)
+        rules["source_provenance.rows.order"] = first <= last
+    if "quality_flags" in have:
+        rules["quality_flags.items"] = all_filled(F.col("quality_flags"))
+    members = {f.name: f.dataType.fieldNames() for f in records.schema["fields"].dataType} if "fields" in have else {}
+    for concept, names in members.items():
+        if "quality_flags" in names:
+            rules[f"{concept}.quality_flags.items"] = all_filled(F.col("fields")[concept]["quality_flags"])
+    if "reference" in members.get("timestamp", ()):
+        rules["timestamp.reference"] = ~kind.isin("telemetry_sample", "driver_input_event") | F.col("fields.timestamp.reference").eqNullSafe(MONOTONIC_TIME)
+    if "aggregation" in have:
+        made, plain = F.col("aggregation"), kind != "distance_bin"
+        rules["aggregation.source_semantics"] = plain | made["source_semantics"].eqNullSafe(BIN_SEMANTICS)
+        rules["aggregation.distance_bin_width_m"] = plain | made["distance_bin_width_m"].eqNullSafe(F.lit(1.0))
+        methods = F.coalesce(made["channel_methods"], F.create_map().cast("map<string,string>"))
+        rules["aggregation.channel_methods.keys"] = plain | (F.sort_array(F.map_keys(methods)) == F.array(*[F.lit(c) for c in sorted(BIN_METHODS)]))
+        for concept, method in BIN_METHODS.items():
+            rules[f"aggregation.channel_methods.{concept}"] = plain | (F.coalesce(F.try_element_at(methods, F.lit(concept)), F.lit(method)) == method)
+    return violations(records, rules, subject or ["record_id"])
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")

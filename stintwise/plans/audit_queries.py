@@ -31,6 +31,28 @@ def c1(spark: SparkSession, sf: str) -> DataFrame:
     return audit.record_contract(stored)
 
 
+@query("c1_nested_contract", """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'source_provenance.source_file.required' WHEN 1 THEN 'source_provenance.source_file_sha256'
+  WHEN 2 THEN 'source_provenance.rows.order' WHEN 3 THEN 'quality_flags.items' WHEN 4 THEN 'aggregation.distance_bin_width_m'
+  WHEN 5 THEN 'aggregation.channel_methods.keys' ELSE 'aggregation.channel_methods.brake' END AS rule
+FROM events WHERE event_id % 8 < 7""")
+def c1_nested(spark: SparkSession, sf: str) -> DataFrame:
+    # Events as distance bins; seven of eight are spoilt in one way each.
+    way = F.col("event_id") % 8
+    methods = {**audit.BIN_METHODS, "brake": F.when(way == 6, "mean").otherwise("maximum")}
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in methods]), F.array(*[m if c == "brake" else F.lit(m) for c, m in methods.items()]))
+    rows = table(spark, sf, "events").select(
+        "event_id", F.lit("distance_bin").alias("record_type"),
+        F.struct(F.when(way == 0, " ").otherwise(F.col("event_type")).alias("source_file"),
+                 F.when(way == 1, F.upper(F.sha2("event_type", 256))).otherwise(F.sha2("event_type", 256)).alias("source_file_sha256"),
+                 F.lit("events").alias("adapter_id"), F.lit("1").alias("adapter_version"), (F.col("event_id") + 2).alias("row_start"),
+                 F.when(way == 2, F.col("event_id") + 1).otherwise(F.col("event_id") + 2).alias("row_end")).alias("source_provenance"),
+        F.when(way == 3, F.array(F.lit("kept"), F.lit(""))).alias("quality_flags"),
+        F.struct(F.lit(audit.BIN_SEMANTICS).alias("source_semantics"), F.when(way == 4, 2.0).otherwise(1.0).alias("distance_bin_width_m"),
+                 F.when(way == 5, F.map_filter(pairs, lambda c, m: c != "speed")).otherwise(pairs).alias("channel_methods")).alias("aggregation"))
+    return audit.nested_contract(rows, ["event_id"])
+
+
 @query("c2_duplicate_identities", """
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def c2(spark: SparkSession, sf: str) -> DataFrame:

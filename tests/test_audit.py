@@ -148,3 +148,20 @@ def test_wildcards_at_every_level(spark):
                      ("a.*.1", "a.y.1", "differs"), ("a.x.*", "a.x.1", "below_expected"), ("b.x.2", "b.x.2", "differs")]
     assert trail.wildcard_mismatches(expected.where("false"), observed).count() == 0
     assert trail.wildcard_mismatches(expected, observed.where("false")).count() == 9
+
+
+def test_nested_contract_of_absent_parts(spark):
+    rows = spark.createDataFrame(
+        [("ok", "telemetry_sample", ("f", "0" * 64, "a", "1", None, None), ["x"], ((audit.MONOTONIC_TIME, []),), None),
+         ("bad", "telemetry_sample", None, [None], (("other", [""]),), None),
+         ("bin", "distance_bin", ("f", "0" * 64, "a", "1", 0, 2), None, (None,), None)],
+        "record_id string, record_type string, source_provenance struct<source_file:string,source_file_sha256:string,adapter_id:string,"
+        "adapter_version:string,row_start:long,row_end:long>, quality_flags array<string>, "
+        "fields struct<timestamp:struct<reference:string,quality_flags:array<string>>>, "
+        "aggregation struct<source_semantics:string,distance_bin_width_m:double,channel_methods:map<string,string>>")
+    found = {(r.record_id, r.rule) for r in audit.nested_contract(rows).collect()}
+    assert found == {("bad", f"source_provenance.{n}") for n in (
+        "source_file.required", "source_file_sha256", "adapter_id.required", "adapter_version.required")} | {
+        ("bad", "quality_flags.items"), ("bad", "timestamp.quality_flags.items"), ("bad", "timestamp.reference"),
+        ("bin", "source_provenance.rows.minimum"), ("bin", "aggregation.source_semantics"),
+        ("bin", "aggregation.distance_bin_width_m"), ("bin", "aggregation.channel_methods.keys")}
