@@ -32,6 +32,7 @@ BROADCAST_IDS = BROADCAST_ROWS = 1_000_000
 
 Prepare = Callable[[pa.Array], list]
 Distances = Callable[[list, list], np.ndarray]
+Outline = Callable[[list], np.ndarray]
 
 
 def with_text(payload: DataFrame, cells: DataFrame) -> DataFrame:
@@ -39,51 +40,75 @@ def with_text(payload: DataFrame, cells: DataFrame) -> DataFrame:
     return payload.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, "id")
 
 
-def tested(cells: DataFrame, prepare: Prepare, distances: Distances, limit: float, links_only: bool) -> DataFrame:
+def tested(cells: DataFrame, prepare: Prepare, distances: Distances, limit: float, links_only: bool,
+           outline: Outline | None = None, apart: float = 0.0) -> DataFrame:
     """Test the left items of every cell against its right items: a, b, distance.
 
     ``cells`` has cell, side (0 left, 1 right), id, component, anchor (distance to the common
     leader, or null) and text. Rows stream by in order, only a cell's left items are held. An item
-    that the payload has more than once counts once.
+    that the payload has more than once counts once. With an ``outline``, a row of small numbers
+    an item, pairs whose outlines differ by more than ``apart`` in sum are not measured.
     """
     parted = cells.repartition("cell").sortWithinPartitions("cell", "side", "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, before = None, [], None
+        current, before, held, held_items = None, None, None, []
         for whole in batches:
             for batch in (whole.slice(a, 500) for a in range(0, whole.num_rows, 500)):
                 ready = prepare(batch.column("text"))
-                names = [batch.column(c).to_pylist() for c in ("cell", "side", "id", "component", "anchor")]
-                pairs: list[tuple] = []
-                for item, cell, side, i, component, anchor in zip(ready, *names):
-                    if (cell, side, i) == before:
-                        continue  # the payload had the item more than once
-                    before = (cell, side, i)
-                    if cell != current:
-                        current, held = cell, []
-                    if side == 0:
-                        held.append((item, i, component, anchor))
+                cell, side, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "id"))
+                component = batch.column("component").fill_null(0).to_numpy(zero_copy_only=False)
+                known = batch.column("component").is_valid().to_numpy(zero_copy_only=False)
+                anchor = batch.column("anchor").fill_null(np.nan).to_numpy(zero_copy_only=False)
+                lines = outline(ready) if outline else np.zeros((len(ready), 0), np.int16)
+                # An item that the payload had more than once follows itself.
+                fresh = np.ones(len(ids), bool)
+                fresh[1:] = (cell[1:] != cell[:-1]) | (side[1:] != side[:-1]) | (ids[1:] != ids[:-1])
+                fresh[0] = (cell[0], side[0], ids[0]) != before
+                before = (cell[-1], side[-1], ids[-1])
+                cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+                left, right, a, b = [], [], [], []
+                for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if cell[start] != current:
+                        current, held, held_items = cell[start], None, []
+                    run = np.arange(start, end)[fresh[start:end]]
+                    heads, tails = run[side[run] == 0], run[side[run] == 1]
+                    if len(heads):
+                        more = [ids[heads], component[heads], known[heads], anchor[heads], lines[heads]]
+                        held = more if held is None else [np.concatenate(both) for both in zip(held, more)]
+                        held_items += [ready[k] for k in heads.tolist()]
+                    if held is None or not len(tails):
                         continue
-                    pairs += [(left, item, a, i) for left, a, other, far in held
-                              if a != i and (other is None or other != component)
-                              and (far is None or anchor is None or abs(far - anchor) <= limit + MARGIN)]
-                if not pairs:
+                    near = (held[0] != ids[tails, None]) \
+                        & ~(held[2] & known[tails, None] & (held[1] == component[tails, None])) \
+                        & ~(np.abs(anchor[tails, None] - held[3]) > limit + MARGIN)
+                    if outline:
+                        far = np.zeros(near.shape, np.int16)
+                        for here, there in zip(held[4].T, lines[tails].T):
+                            far += np.abs(here - there[:, None])
+                        near &= far <= apart
+                    of_right, of_left = np.nonzero(near)
+                    left += [held_items[k] for k in of_left.tolist()]
+                    right += [ready[k] for k in tails[of_right].tolist()]
+                    a.append(held[0][of_left])
+                    b.append(ids[tails[of_right]])
+                if not left:
                     continue
-                left, right, a, b = zip(*pairs)
-                d = distances(list(left), list(right))
-                out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())],
-                                                 ["a", "b", "distance"])
+                d = distances(left, right)
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64()),
+                                                  pa.array(d, pa.float64())], ["a", "b", "distance"])
                 yield out.filter(pa.array(d <= limit)) if links_only else out
 
     return parted.mapInArrow(rows, "a long, b long, distance double")
 
 
 def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Distances, limit: float,
-           store_texts: bool = False) -> DataFrame:
+           store_texts: bool = False, outline: Outline | None = None, apart: float = 0.0) -> DataFrame:
     """id, component for every item with a link; ``keys``: k, id, weight; ``payload``: id, text.
 
     ``store_texts`` keeps the texts of the items to test for the second round of tests, where
-    they are dear to make and short.
+    they are dear to make and short. ``outline`` and ``apart`` are a lower bound for the second round,
+    see ``tested``.
 
     The heaviest item of a list leads it, of equal ones the smallest. ``keys`` is read twice
     and should be a stored table.
@@ -125,7 +150,7 @@ def linked(keys: DataFrame, payload: DataFrame, prepare: Prepare, distances: Dis
     right = rest.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))) \
         .select(F.xxhash64("leader", "row", column).alias("cell"), F.lit(1).alias("side"), "id", "component", "anchor")
     cells = stored_table(left.unionByName(right), "rest_cells")
-    more = stored_table(tested(with_text(payload, cells), prepare, distances, limit, True), "rest_links")
+    more = stored_table(tested(with_text(payload, cells), prepare, distances, limit, True, outline, apart), "rest_links")
     if not more.limit(1).count():
         return found
     return components(links.unionByName(more.select("a", "b")))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -308,3 +309,23 @@ def test_pieces_of_documents(corpus, nothing):
     digest = {r.doc_id: r for r in pieces.round_trips(corpus, path).collect()}
     assert all(digest[r.doc_id].n_ids == len(r.ids) and digest[r.doc_id].round_trip for r in got)
     assert pieces.round_trips(nothing, path).collect() == []
+
+
+def test_lines_with_a_common_segment(spark):
+    # More lines than a cell holds share their first words and nothing else; three of them have a near copy.
+    draw = random.Random(11)
+    lines = ["Posted by " + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(1200)]
+    near = [lines[5][:14] + "#" + lines[5][15:], lines[600][:-2], lines[1100] + "é"]
+    rows = [(k, line) for k, line in enumerate(lines + near)]
+    got = linededup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.where("n_removed > 0").collect()) == [1200, 1201, 1202]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=40), st.lists(st.tuples(st.integers(0, 40), st.sampled_from(["", "a", "é", "zz"])), max_size=2))
+def test_character_counts_bound_edits(text, edits):
+    other = text
+    for at, put in edits:
+        other = other[:at] + put[:1] + other[at + 1:]
+    a, b = linededup.character_counts(linededup.characters(pa.array([text, other])))
+    assert abs(a - b).sum() <= 2 * len(edits)
