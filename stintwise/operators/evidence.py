@@ -281,6 +281,77 @@ def evidence_counts(units: DataFrame, pairs: DataFrame, by: list[str] | None = N
     )
 
 
+def audit_values(units: DataFrame, pairs: DataFrame, unpaired: DataFrame, formed: DataFrame, counts: DataFrame,
+                 keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """What an evidence set states against what its own sources give anew: (check, subject, detail).
+
+    ``formed`` are the units made from the source records (``form_units``: ``keys``, value, records, used),
+    ``unpaired`` and ``counts`` what the set says of both (``unpaired_units``; one row of ``evidence_counts``).
+    Stated and recomputed units meet in one full join, in which a difference is found on either side; units, pairs and
+    unpaired units meet in one aggregation by unit. So nothing is scanned per check. Values differ
+    when they are more than ``tolerance`` apart, relative to the larger one, or one of them is null.
+    """
+    def differ(stated: Column, found: Column) -> Column:
+        room = F.lit(tolerance) * F.greatest(F.abs(stated), F.abs(found), F.lit(1.0))
+        return (stated.isNull() != found.isNull()) | F.coalesce(F.abs(stated - found) > room, F.lit(False))
+
+    def problem(check: str, subject: Column, detail: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
+
+    facts = ("value", "records", "used")
+    stated = units.select(F.struct(*keys).alias("_key"), "unit_id", *facts, F.lit(True).alias("_stated"))
+    found = formed.filter(F.col("exit_stage").isNull()).select(
+        F.struct(*keys).alias("_key"), *[F.col(f).alias(f"_f_{f}") for f in facts], F.lit(True).alias("_found"))
+    named = F.coalesce("unit_id", F.concat_ws("|", *[F.col("_key")[k].cast("string") for k in keys]))
+    both = F.col("_stated").isNotNull() & F.col("_found").isNotNull()
+    of_units = stated.join(found, "_key", "full_outer").select(F.explode(F.array_compact(F.array(
+        F.when(F.col("_found").isNull(), problem("unit_without_source", named, F.col("value"))),
+        F.when(F.col("_stated").isNull(), problem("unit_left_out", named, F.col("_f_value"))),
+        F.when(both & differ(F.col("value"), F.col("_f_value")),
+               problem("value_not_recomputed", named, F.concat_ws("/", "value", "_f_value"))),
+        F.when(both & ~(F.col("records").eqNullSafe(F.col("_f_records")) & F.col("used").eqNullSafe(F.col("_f_used"))),
+               problem("record_counts_not_recomputed", named, F.concat_ws("/", "records", "_f_records", "used", "_f_used")))))).alias("p")).select("p.*")
+
+    none = F.lit(None)
+    role = "struct<unit_id:string,role:string,value:double,arm:string,pair_id:string>"
+    places = units.select(F.struct("unit_id", F.lit("unit"), F.col("value").cast("double"), "arm", none).cast(role).alias("r")).unionByName(
+        unpaired.select(F.struct("unit_id", F.lit("unpaired"), none, "arm", none).cast(role).alias("r"))).unionByName(
+        pairs.select(F.explode(F.array(
+            F.struct("baseline_unit_id", F.lit("pair"), "baseline_value", F.lit("baseline"), "pair_id").cast(role),
+            F.struct("intervention_unit_id", F.lit("pair"), "intervention_value", F.lit("intervention"), "pair_id").cast(role)))
+            .alias("r"))).select("r.*")
+    is_unit, is_pair = F.col("role") == "unit", F.col("role") == "pair"
+    met = places.groupBy("unit_id").agg(
+        F.count_if(is_unit).alias("units"), F.count_if(is_pair).alias("paired"), F.count_if(F.col("role") == "unpaired").alias("unpaired"),
+        F.max(F.when(is_unit, F.col("value"))).alias("own"), F.min(F.when(is_pair, F.col("value"))).alias("low"),
+        F.max(F.when(is_pair, F.col("value"))).alias("high"), F.max(F.when(is_unit, F.col("arm"))).alias("arm"),
+        F.min(F.when(~is_unit, F.col("arm"))).alias("first_arm"), F.max(F.when(~is_unit, F.col("arm"))).alias("last_arm"))
+    subject, paired = F.col("unit_id"), F.col("paired") > 0
+    of_places = met.select(F.explode(F.array_compact(F.array(
+        F.when((F.col("units") > 0) & (F.col("paired") + F.col("unpaired") != 1),
+               problem("unit_neither_or_twice_paired", subject, F.concat_ws("/", "paired", "unpaired"))),
+        F.when((F.col("units") == 0), problem("unknown_unit", subject, F.concat_ws("/", "paired", "unpaired"))),
+        F.when((F.col("units") > 0) & paired & (differ(F.col("low"), F.col("own")) | differ(F.col("high"), F.col("own"))),
+               problem("pair_value_differs", subject, F.concat_ws("/", "own", "low", "high"))),
+        F.when((F.col("units") > 0) & ((F.col("first_arm") != F.col("arm")) | (F.col("last_arm") != F.col("arm"))),
+               problem("arm_differs", subject, F.col("arm")))))).alias("p")).select("p.*")
+
+    wrong = differ(F.col("difference"), F.col("intervention_value") - F.col("baseline_value"))
+    of_pairs = pairs.filter(wrong).select(problem("difference_not_recomputed", F.col("pair_id"), F.col("difference")).alias("p")).select("p.*")
+
+    names = ("included_units", "baseline_units", "intervention_units", "holdout_units", "pairs", "unpaired_units")
+    anew = units.agg(
+        F.count(F.lit(1)).alias("included_units"), F.count_if(F.col("arm") == "baseline").alias("baseline_units"),
+        F.count_if(F.col("arm") == "intervention").alias("intervention_units"), F.count_if("holdout").alias("holdout_units"))
+    sizes = anew.withColumn("_one", F.lit(1)).join(pairs.agg(F.count(F.lit(1)).alias("pairs")).withColumn("_one", F.lit(1)), "_one") \
+        .join(unpaired.agg(F.count(F.lit(1)).alias("unpaired_units")).withColumn("_one", F.lit(1)), "_one")
+    said = counts.select(*[F.col(n).alias(f"_s_{n}") for n in names], F.lit(1).alias("_one"))
+    of_counts = sizes.join(said, "_one", "left").select(F.explode(F.array_compact(F.array(*[
+        F.when(~F.col(n).eqNullSafe(F.col(f"_s_{n}")), problem("count_differs", F.lit(n), F.concat_ws("/", f"_s_{n}", n)))
+        for n in names]))).alias("p")).select("p.*")
+    return of_units.unionByName(of_places).unionByName(of_pairs).unionByName(of_counts)
+
+
 def audit_evidence(units: DataFrame, pairs: DataFrame, funnel: DataFrame) -> DataFrame:
     """Violations of the evidence set's own invariants: (check, subject, detail)."""
     def rows(df: DataFrame, check: str, subject: Column, detail: Column) -> DataFrame:

@@ -127,7 +127,11 @@ def robust_summary(df: DataFrame, keys: list[str], value: str, scale: Scale = UN
             *keys, F.size(vs).cast("long").alias("n_values"), F.element_at(vs, 1).alias("minimum"),
             F.element_at(vs, -1).alias("maximum"), "mean", "median", sorted_quantile(vs, 0.25).alias("q1"),
             sorted_quantile(vs, 0.75).alias("q3"), array_mad(vs, F.col("median")).alias("mad"))
-    hist = settle(histogram(df, keys, value), scale)
+    return histogram_summary(settle(histogram(df, keys, value), scale), keys, value, scale)
+
+
+def histogram_summary(hist: DataFrame, keys: list[str], value: str, scale: Scale = UNKNOWN) -> DataFrame:
+    """As ``robust_summary``, of a histogram (keys, value, w), which is read more than once."""
     plain = hist.groupBy(*keys).agg(
         F.min(value).alias("minimum"), F.max(value).alias("maximum"),
         (F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))

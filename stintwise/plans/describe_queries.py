@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.operators import describe
+from stintwise.operators.computations import Computation, run_computations
 from stintwise.operators.quantiles import robust_summary
 from stintwise.plans.bindings import EVENTS_SQL, base_events, samples, scale_of, table
 from stintwise.plans.registry import query
@@ -111,7 +112,58 @@ def d6(spark: SparkSession, sf: str) -> DataFrame:
         F.max("micros").alias("last_micros"))
 
 
-@query("d7_summary_invariants", "WITH " + EVENTS_SQL + """,
+COMPUTATIONS = (
+    Computation("inventory", "record_inventory"),
+    Computation("availability", "concept_availability", "telemetry_sample"),
+    Computation("speed_by_lap", "descriptive_summary", "telemetry_sample", "speed", "lap_id"),
+    Computation("position", "descriptive_summary", "telemetry_sample", "lap_distance"),
+    Computation("yield", "event_yield", "driver_input_event"),
+)
+
+
+def _group_sql(computation: str, group: str, value: str) -> str:
+    return f"""
+SELECT '{computation}', 'group', {group}, NULL, count(*), count(*), count({value}), 0, 0, count(*) - count({value}),
+       min({value}), max({value}), round(avg({value}), 9), round(quantile_cont({value}, 0.5), 9),
+       round(quantile_cont({value}, 0.25), 9), round(quantile_cont({value}, 0.75), 9), round(mad({value}), 9)
+FROM base GROUP BY {group}"""
+
+
+_NO_STATS = ", ".join(f"NULL::DOUBLE AS {s}" for s in STATS)
+
+
+@query("d6_computations", "WITH " + EVENTS_SQL + f"""
+SELECT 'inventory' AS computation, 'record_type' AS level, NULL::VARCHAR AS "group", record_type AS name, count(*) AS n,
+       0::BIGINT AS present, 0::BIGINT AS measured, 0::BIGINT AS derived, 0::BIGINT AS estimated, 0::BIGINT AS unavailable, {_NO_STATS}
+FROM (SELECT CASE WHEN event_type = 'view' THEN 'driver_input_event' ELSE 'telemetry_sample' END AS record_type FROM base) GROUP BY record_type
+UNION ALL
+SELECT 'inventory', 'quality_flag', NULL, 'replay_view', count(*), 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM base WHERE event_type = 'view' AND distance >= 90 HAVING count(*) > 0
+UNION ALL
+SELECT 'availability', 'scanned', NULL, NULL, count(*), 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM base WHERE event_type <> 'view'
+UNION ALL
+SELECT 'availability', 'concept', NULL, concept,
+       CASE WHEN concept IN ('timestamp', 'lap_distance', 'speed', 'incident_state') THEN n ELSE 0 END,
+       CASE WHEN concept IN ('timestamp', 'lap_distance', 'speed', 'incident_state') THEN n ELSE 0 END,
+       CASE WHEN concept = 'speed' THEN s WHEN concept IN ('timestamp', 'lap_distance', 'incident_state') THEN n ELSE 0 END,
+       0, 0, CASE WHEN concept = 'speed' THEN n - s ELSE 0 END, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM (SELECT count(*) AS n, count(speed) AS s FROM base WHERE event_type <> 'view'), (VALUES {_CONCEPTS_SQL}) c(concept)
+UNION ALL {_group_sql("speed_by_lap", "lap_id", "speed").replace("FROM base", "FROM base WHERE event_type <> 'view'")}
+UNION ALL {_group_sql("position", "NULL", "distance").replace("FROM base GROUP BY NULL", "FROM base WHERE event_type <> 'view' HAVING count(*) > 0")}
+UNION ALL
+SELECT 'yield', u.level, NULL, u.name, count(*), 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM base, LATERAL (VALUES ('total', 'all'), ('lap', lap_id), ('event_type', event_type)) u(level, name)
+WHERE base.event_type = 'view' GROUP BY u.level, u.name""")
+def d6_computations(spark: SparkSession, sf: str) -> DataFrame:
+    # Views stand in for a second type of records.
+    rows = samples(spark, sf).withColumn("record_type", F.when(
+        F.col("event_type") == "view", "driver_input_event").otherwise("telemetry_sample"))
+    return rounded(run_computations(rows, COMPUTATIONS, scale_of(sf)), [
+        "computation", "level", "group", "name", "n", "present", "measured", "derived", "estimated", "unavailable"])
+
+
+@query("d7_summary_invariants","WITH " + EVENTS_SQL + """,
 s AS (SELECT lap_id, count(*) AS n, count(speed) AS v FROM base GROUP BY lap_id)
 SELECT lap_id, 'attrition_order' AS rule FROM s WHERE n % 2 = 1""")
 def d7(spark: SparkSession, sf: str) -> DataFrame:

@@ -387,6 +387,41 @@ def f28(spark: SparkSession, sf: str) -> DataFrame:
     return ev.audit_evidence(u, ev.pair_units(u), funnel)
 
 
+@query("f28_recomputed_values", UNITS_SQL + """,
+lone AS (SELECT * FROM units WHERE unit_id NOT IN (SELECT baseline_unit_id FROM pairs UNION ALL SELECT intervention_unit_id FROM pairs)),
+stated AS (SELECT * FROM units WHERE order_index % 7 <> 5),
+listed AS (SELECT unit_id FROM lone UNION ALL SELECT unit_id FROM lone WHERE order_index % 4 = 1),
+said AS (SELECT count(*) AS u, count(*) FILTER (arm = 'baseline') AS b, count(*) FILTER (arm = 'intervention') AS i FROM units),
+anew AS (SELECT count(*) AS u, count(*) FILTER (arm = 'baseline') AS b, count(*) FILTER (arm = 'intervention') AS i FROM stated)
+SELECT 'unit_without_source' AS "check", unit_id AS subject FROM stated WHERE lap_number % 11 = 4
+UNION ALL SELECT 'unit_left_out', dataset_id || '|' || lap_id || '|' || lap_number FROM units WHERE lap_number % 11 <> 4 AND order_index % 7 = 5
+UNION ALL SELECT 'value_not_recomputed', unit_id FROM stated WHERE lap_number % 11 <> 4 AND order_index % 7 = 3
+UNION ALL SELECT 'record_counts_not_recomputed', unit_id FROM stated WHERE lap_number % 11 <> 4 AND order_index % 13 = 6
+UNION ALL SELECT 'unit_neither_or_twice_paired', unit_id FROM lone WHERE order_index % 7 <> 5 AND order_index % 4 = 1
+UNION ALL SELECT 'unknown_unit', unit_id FROM units WHERE order_index % 7 = 5
+UNION ALL SELECT 'pair_value_differs', unit_id FROM stated WHERE order_index % 7 = 3 AND unit_id NOT IN (SELECT unit_id FROM lone)
+UNION ALL SELECT 'arm_differs', unit_id FROM lone WHERE order_index % 7 <> 5 AND order_index % 3 = 0
+UNION ALL SELECT 'difference_not_recomputed', pair_id FROM pairs WHERE order_index % 5 = 2
+UNION ALL SELECT 'count_differs', 'included_units' FROM said, anew WHERE said.u <> anew.u
+UNION ALL SELECT 'count_differs', 'baseline_units' FROM said, anew WHERE said.b <> anew.b
+UNION ALL SELECT 'count_differs', 'intervention_units' FROM said, anew WHERE said.i <> anew.i
+UNION ALL SELECT 'count_differs', 'unpaired_units' WHERE (SELECT count(*) FROM listed) <> (SELECT count(*) FROM lone)""")
+def f28_values(spark: SparkSession, sf: str) -> DataFrame:
+    # Every kind of statement is spoilt for some units, so that every check has something to find.
+    formed, scale = lap_units(spark, sf), scale_of(sf)
+    whole = settle(ev.describe_units(formed, contexts(spark, sf), "lap_id", ["participant"], scale=scale), scale)
+    pairing, lone = ev.pair_units(whole), ev.unpaired_units(whole)
+    k = F.col("order_index")
+    stated = whole.filter(k % 7 != 5).withColumns({
+        "value": F.when(k % 7 == 3, F.col("value") + 1).otherwise(F.col("value")),
+        "records": F.when(k % 13 == 6, F.col("records") + 1).otherwise(F.col("records"))})
+    listed = lone.withColumn("arm", F.when(k % 3 == 0, "other").otherwise(F.col("arm"))).unionByName(lone.filter(k % 4 == 1))
+    return ev.audit_values(
+        stated, pairing.withColumn("difference", F.when(k % 5 == 2, F.col("difference") + 1).otherwise(F.col("difference"))),
+        listed, formed.filter("lap_number % 11 <> 4"), ev.evidence_counts(whole, pairing),
+        ["dataset_id", "lap_id", "lap_number"]).select("check", "subject")
+
+
 @query("g6_paired_difference", UNITS_SQL + """
 SELECT participant, count(*) AS pairs, round(quantile_cont(difference, 0.5), 9) AS median_difference,
        round(avg(difference), 9) AS mean_difference

@@ -10,9 +10,9 @@ from stintwise.plans import catalogue
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
 PLAIN = ["a1_mapped_rows", "a11_inventory_reconcile", "b2_recorder_fields", "b12_sequence_index", "c1_record_contract",
-         "c19_region_coverage", "c22_text_scan_documents", "d3_concept_availability", "f6_attrition_funnel", "f18_pairing",
+         "c19_region_coverage", "c22_text_scan_documents", "d3_concept_availability", "d6_computations", "f28_recomputed_values", "f6_attrition_funnel", "f18_pairing",
          "f24_comparability_status", "g14_percentile_interval", "g26_sufficiency", "h7_export_references", "i5_readiness"]
-DIVIDED = ["b12_sequence_index", "c19_region_coverage", "c21_block_binding", "c21_block_rules", "c5_c7_temporal_flags", "d4_summary_by_lap", "f17_order_index", "g8_dispersion_ratio",
+DIVIDED = ["b12_sequence_index", "c19_region_coverage", "c21_block_binding", "c21_block_rules", "c5_c7_temporal_flags", "d4_summary_by_lap", "d6_computations", "f17_order_index", "g8_dispersion_ratio",
            "g13_bootstrap_median", "g18_benjamini_hochberg", "h1_lifecycle_edges", "i3_claims_versus_inventory"]
 
 
