@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.operators.audit import violations
@@ -40,6 +40,17 @@ def inventory_summary(variables: DataFrame, snapshot: str, enum_prefix: str) ->
         F.count_if(F.col("name").endswith("_ST")).alias("sub_sample"), F.count_if(coded).alias("enumerated"))
 
 
+def inventory_members(variables: DataFrame, snapshot: str, enum_prefix: str) -> DataFrame:
+    """(snapshot, list, name): the variables behind the counts of ``inventory_summary``, each name once a list.
+
+    Rows in place of arrays, so that an inventory of any size stays divided.
+    """
+    coded = (F.col("sdk_type") == "BitField") | F.coalesce(F.col("unit").startswith(enum_prefix), F.lit(False))
+    lists = {"arrays": F.col("count") > 1, "sub_sample": F.col("name").endswith("_ST"), "enumerated": coded}
+    return variables.select(snapshot, F.explode(F.array_compact(F.array(
+        *[F.when(holds, F.lit(name)) for name, holds in lists.items()]))).alias("list"), "name").distinct()
+
+
 def type_counts(variables: DataFrame, snapshot: str) -> DataFrame:
     """Variables per snapshot and type."""
     return variables.groupBy(snapshot, "sdk_type").agg(F.count(F.lit(1)).alias("n"))
@@ -73,6 +84,37 @@ def capability_map(channels: DataFrame, claims: DataFrame, snapshot: str) -> Dat
         (F.col("classification") != UNAVAILABLE) & none, "available_without_variables"))
 
 
+def _readiness_lists() -> dict[str, Column]:
+    gap = ~F.col("supported")
+    return {
+        "supported": F.col("supported"),
+        "expected_unavailable": F.col("classification") == UNAVAILABLE,
+        "car_dependent": F.col("classification") == CAR_DEPENDENT,
+        "semantically_limited": F.col("classification") == PARTIAL,
+        "blocking": F.col("for_rehearsal") & gap,
+        "campaign_gaps": F.col("for_campaign") & gap,
+        "optional_gaps": ~F.col("for_campaign") & gap & (F.col("classification") != UNAVAILABLE),
+        "partially_captured": F.col("supported") & (F.col("action") == "add_new_capture"),
+    }
+
+
+def readiness_members(channels: DataFrame, snapshot: str, required: tuple[str, ...] = PROFILE_CHANNELS) -> DataFrame:
+    """(snapshot, list, channel, position): the channels behind the counts of ``readiness``, each once a list.
+
+    ``position`` is the channel's place in the required list (from 1), null outside it. The list
+    ``profile_missing`` has required channels that a snapshot lacks, ``profile_unknown`` channels that are not required.
+    """
+    listed = channels.select(snapshot, "channel", F.explode(F.array_compact(F.array(
+        *[F.when(holds, F.lit(name)) for name, holds in _readiness_lists().items()],
+        F.when(~F.coalesce(F.col("channel").isin(*required), F.lit(False)), F.lit("profile_unknown"))))).alias("list")).distinct()
+    # Required channels are few and fixed: which a snapshot has is one aggregation of so many flags.
+    has = channels.groupBy(snapshot).agg(*[F.max(F.coalesce(F.col("channel") == c, F.lit(False))).alias(f"_has_{k}") for k, c in enumerate(required)])
+    missing = has.select(snapshot, F.explode(F.array_compact(F.array(
+        *[F.when(~F.col(f"_has_{k}"), F.lit(c)) for k, c in enumerate(required)]))).alias("channel"), F.lit("profile_missing").alias("list"))
+    place = F.array_position(F.array(*[F.lit(c) for c in required]), F.col("channel"))
+    return listed.unionByName(missing).select(snapshot, "list", "channel", F.when(place > 0, place).alias("position"))
+
+
 def readiness(channels: DataFrame, snapshot: str, required: tuple[str, ...] = PROFILE_CHANNELS) -> DataFrame:
     """Readiness verdict per snapshot against the required channel list.
 
@@ -80,16 +122,7 @@ def readiness(channels: DataFrame, snapshot: str, required: tuple[str, ...] = PR
     for_campaign. The profile mismatch is the symmetric difference of both
     channel sets.
     """
-    gap = ~F.col("supported")
-    tally = channels.groupBy(snapshot).agg(
-        F.count_if("supported").alias("supported"),
-        F.count_if(F.col("classification") == UNAVAILABLE).alias("expected_unavailable"),
-        F.count_if(F.col("classification") == CAR_DEPENDENT).alias("car_dependent"),
-        F.count_if(F.col("classification") == PARTIAL).alias("semantically_limited"),
-        F.count_if(F.col("for_rehearsal") & gap).alias("blocking"),
-        F.count_if(F.col("for_campaign") & gap).alias("campaign_gaps"),
-        F.count_if(~F.col("for_campaign") & gap & (F.col("classification") != UNAVAILABLE)).alias("optional_gaps"),
-        F.count_if(F.col("supported") & (F.col("action") == "add_new_capture")).alias("partially_captured"))
+    tally = channels.groupBy(snapshot).agg(*[F.count_if(holds).alias(name) for name, holds in _readiness_lists().items()])
     have = channels.select(snapshot, "channel").distinct()
     wanted = channels.select(snapshot).distinct().select(
         snapshot, F.explode(F.array(*[F.lit(c) for c in required])).alias("channel"))

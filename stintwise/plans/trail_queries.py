@@ -382,3 +382,28 @@ t AS (SELECT snapshot, count(*) FILTER (supported) AS supported, count(*) FILTER
 SELECT *, blocking = 0 AND profile_mismatch = 0 AS ready, CASE WHEN blocking = 0 AND profile_mismatch = 0 THEN 'ready' ELSE 'update_required' END AS verdict FROM t""")
 def i5(spark: SparkSession, sf: str) -> DataFrame:
     return capability.readiness(channels(spark, sf), "snapshot", ("speed", "damage", "weather"))
+
+
+@query("i2_inventory_lists", INVENTORY_SQL + """
+SELECT DISTINCT snapshot, u.list, name FROM inv, LATERAL (VALUES ('arrays', "count" > 1), ('sub_sample', name LIKE '%\\_ST' ESCAPE '\\'),
+  ('enumerated', sdk_type = 'BitField' OR unit LIKE 'irsdk%')) u(list, holds) WHERE u.holds""")
+def i2_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return capability.inventory_members(inventory(spark, sf), "snapshot", "irsdk_")
+
+
+@query("i5_readiness_lists", CHANNELS_SQL + """,
+wanted(channel, position) AS (VALUES ('speed', 1), ('damage', 2), ('turbo', 3), ('brake_bias', 4)),
+l AS (SELECT DISTINCT snapshot, u.list, channel FROM channels, LATERAL (VALUES
+        ('supported', supported), ('expected_unavailable', classification = 'unavailable'),
+        ('car_dependent', classification = 'available_car_or_session_dependent'),
+        ('semantically_limited', classification = 'partial_semantically_limited'),
+        ('blocking', for_rehearsal AND NOT supported), ('campaign_gaps', for_campaign AND NOT supported),
+        ('optional_gaps', NOT for_campaign AND NOT supported AND classification <> 'unavailable'),
+        ('partially_captured', supported AND action = 'add_new_capture'),
+        ('profile_unknown', channel NOT IN (SELECT channel FROM wanted))) u(list, holds) WHERE u.holds
+      UNION ALL
+      SELECT snapshot, 'profile_missing', w.channel FROM (SELECT DISTINCT snapshot FROM channels) s, wanted w
+      WHERE NOT EXISTS (SELECT 1 FROM channels c WHERE c.snapshot = s.snapshot AND c.channel = w.channel))
+SELECT l.snapshot, l.list, l.channel, CAST(w.position AS BIGINT) AS position FROM l LEFT JOIN wanted w ON l.channel = w.channel""")
+def i5_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return capability.readiness_members(channels(spark, sf), "snapshot", ("speed", "damage", "turbo", "brake_bias"))

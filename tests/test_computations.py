@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stintwise.operators import describe, evidence
+from stintwise.operators import capability, describe, evidence
 from stintwise.operators.computations import Computation, counted_lines, run_computations
 from stintwise.operators.spread import Scale
 
@@ -92,3 +92,19 @@ def test_values_recomputed(spark):
         ("unknown_unit", "u9"), ("unit_neither_or_twice_paired", "u2")}
     assert found(counts=counts.where("false")) == {("count_differs", n) for n in counts.columns}
     assert found(unpaired=lone.withColumn("arm", F.lit("intervention"))) == {("arm_differs", "u3")}
+
+
+def test_lists_behind_the_counts(spark):
+    variables = spark.createDataFrame(
+        [("s", "a_ST", "Int", 6, None), ("s", "a_ST", "Int", 6, None), ("s", None, "BitField", 1, "irsdk_x"), (None, "b", "Int", None, "m")],
+        "snapshot string, name string, sdk_type string, count int, unit string")
+    got = {tuple(r) for r in capability.inventory_members(variables, "snapshot", "irsdk_").collect()}
+    assert got == {("s", "arrays", "a_ST"), ("s", "sub_sample", "a_ST"), ("s", "enumerated", None)}
+    channels = spark.createDataFrame(
+        [("s", "speed", "unavailable", False, "none", True, False), ("s", "odd", "x", True, "add_new_capture", False, False),
+         (None, None, None, None, None, None, None)],
+        "snapshot string, channel string, classification string, supported boolean, action string, for_rehearsal boolean, for_campaign boolean")
+    got = {tuple(r) for r in capability.readiness_members(channels, "snapshot", ("speed", "gear")).collect()}
+    assert got == {("s", "expected_unavailable", "speed", 1), ("s", "blocking", "speed", 1), ("s", "supported", "odd", None),
+                   ("s", "partially_captured", "odd", None), ("s", "profile_unknown", "odd", None), ("s", "profile_missing", "gear", 2),
+                   (None, "profile_unknown", None, None), (None, "profile_missing", "speed", 1), (None, "profile_missing", "gear", 2)}
