@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,20 @@ def wall_micros(stamp: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", origin, stamp.cast("timestamp_ntz"))
 
 
+@cache
+def capitals() -> dict[str, str]:
+    """Every character with a capital that is one character, and that capital."""
+    found = {"ß": "ẞ"}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        found.setdefault(c, next((u for u in (c.upper(), c.title()) if len(u) == 1), c))
+    return {c: u for c, u in found.items() if u != c}
+
+
+def simple_upper(text: Column) -> Column:
+    """Capitals one character for one, as Unicode's simple mapping has them (ß to ẞ, where Spark's upper writes SS)."""
+    return F.translate(text, "".join(capitals()), "".join(capitals().values()))
+
+
 def identifier(*parts: Column) -> Column:
     """Parts joined by '-'; beyond 128 characters a 111-character head and a 16-digit hash."""
     joined = F.concat_ws("-", *parts)

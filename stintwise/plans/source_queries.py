@@ -161,7 +161,7 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labelled = docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").select(
         F.col("doc_id").cast("string").alias("path"), F.length(F.rtrim("text")).cast("long").alias("length"),
-        F.sha2(F.when(F.col("toxic") == 1, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"))
+        F.sha2(F.when(F.col("toxic") == 1, cells.simple_upper(F.col("text"))).otherwise(F.col("text")), 256).alias("sha256"))
     lost = table(spark, sf, "benchmark").select(
         (-1 - F.col("item_id")).cast("string").alias("path"), F.length("text").cast("long").alias("length"),
         F.sha2("text", 256).alias("sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintwise.functions import cells
 from stintwise.operators import capability, trail
 from stintwise.operators.spread import literal_table, ordered_scan, position_in
 from stintwise.plans.bindings import scale_of, table
@@ -93,7 +94,7 @@ def h2(spark: SparkSession, sf: str) -> DataFrame:
     # The stored hash of system turns was taken over upper-case text.
     cols = ["conv_id", "turn", "role", "text"]
     rows = table(spark, sf, "conversations")
-    spoilt = rows.withColumn("text", F.when(F.col("role") == "system", F.upper("text")).otherwise(F.col("text")))
+    spoilt = rows.withColumn("text", F.when(F.col("role") == "system", cells.simple_upper(F.col("text"))).otherwise(F.col("text")))
     stored = spoilt.select("conv_id", "turn", trail.row_hash(cols).alias("hash"))
     return trail.hash_mismatches(rows.join(stored, ["conv_id", "turn"]), ["conv_id", "turn"], "hash", cols)
 

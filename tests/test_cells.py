@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stintwise.functions.cells import finite, signed
+from stintwise.functions.cells import finite, signed, simple_upper
 
 
 def test_numbers(spark):
@@ -14,3 +14,8 @@ def test_numbers(spark):
 def test_integers_take_either_sign(spark):
     rows = spark.createDataFrame([("+3",), ("-4",), ("5",), ("3.0",), ("--1",)], "t string")
     assert [r.v for r in rows.select(signed(F.col("t")).alias("v")).collect()] == [3, -4, 5, None, None]
+
+
+def test_capitals_are_one_character_each(spark):
+    rows = spark.createDataFrame([("straße Äö ŉ ǆ ﬁ ᾳ ς",), ("",), (None,)], "t string")
+    assert [r.v for r in rows.select(simple_upper(F.col("t")).alias("v")).collect()] == ["STRAẞE ÄÖ ŉ Ǆ ﬁ ᾼ Σ", "", None]
