@@ -8,16 +8,26 @@ contents, which makes the result independent of the order of the input.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stintwise.operators.quantiles import deviations, quantiles
-from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, position_in, settle, split_cumulative
-from stintwise.operators.theilsen import theil_sen
+from stintwise.operators.spread import UNKNOWN, Scale, heavy_keys, lookup_join, position_in, settle, split_cumulative
+from stintwise.operators.theilsen import median_slope, theil_sen
 from stintwise.session import cut_lineage
 
 BLOCK = 32
 CHUNK = 4096
+TWO32 = 1 << 32
+#: Draws of a comparison in one task, most such tasks of a comparison, and most observations that a task holds.
+DRAWS_PER_TASK = 8
+MOST_TASKS = 64
+MOST_HELD = 1_000_000
 
 
 def cluster_order(obs: DataFrame, key: str, cluster: str, values: list[str], scale: Scale = UNKNOWN) -> DataFrame:
@@ -62,6 +72,40 @@ def cluster_order(obs: DataFrame, key: str, cluster: str, values: list[str], sca
     return final.select(key, cluster, (F.col("_group") + F.col("_at")).alias("rank")).join(totals, key)
 
 
+def _checked(sizes: DataFrame) -> DataFrame:
+    m = F.col("clusters")
+    return sizes.withColumn("clusters", F.when(m < 2 ** 31, m).otherwise(
+        F.raise_error(F.lit("more than 2^31 clusters in one comparison"))))
+
+
+def _words(base: DataFrame, key: str, draws: int, seed: int, extra: Column) -> DataFrame:
+    """The words of every draw, ``extra`` more than it has slots, and whether they are rejected."""
+    m = F.col("clusters")
+    # 2^64 mod m words at the top of the range are rejected.
+    top = (F.lit(TWO32) % m) * (F.lit(TWO32) % m) % m
+    first = F.col("draw") * m
+    last = first + m - 1 + extra
+    chunked = base.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))) \
+        .repartition(key, "draw") \
+        .withColumn("_first", F.expr("(draw * clusters) div 4")).withColumn("_last", F.floor(last / 4)) \
+        .withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(CHUNK).cast("long")))) \
+        .withColumn("_counter", F.explode(F.sequence(
+            F.col("_from"), F.least(F.col("_from") + CHUNK - 1, F.col("_last"))))) \
+        .withColumn("_digest", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key), F.col("_counter").cast("string")), 256)) \
+        .withColumn("_word", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    half = F.col("_digest").substr(F.col("_word") * 16 + 1, F.lit(8))
+    high = F.conv(half, 16, 10).cast("long")
+    low = F.conv(F.col("_digest").substr(F.col("_word") * 16 + 9, F.lit(8)), 16, 10).cast("long")
+    return chunked.withColumns({"_w": F.col("_counter") * 4 + F.col("_word"), "_high": high, "_low": low,
+                                "_bad": (half == "ffffffff") & (low >= F.lit(TWO32) - top)})
+
+
+def rejected_words(sizes: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """(key, _rejected): sorted numbers of the words left out, for the (practically always no) keys that have any."""
+    return _words(_checked(sizes), key, draws, seed, F.lit(0)).filter("_bad").groupBy(key).agg(
+        F.array_sort(F.collect_set("_w")).alias("_rejected"))
+
+
 def drawn_clusters(sizes: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """(key, draw, slot, rank): which cluster each slot of each draw takes.
 
@@ -69,40 +113,16 @@ def drawn_clusters(sizes: DataFrame, key: str, draws: int, seed: int) -> DataFra
     each draw makes its own digests in chunks; a rejected word shifts all later ones, so the
     (practically always empty) list of rejected words is found first.
     """
-    two32 = 1 << 32
     m = F.col("clusters")
-    sizes = sizes.withColumn("clusters", F.when(m < 2 ** 31, m).otherwise(
-        F.raise_error(F.lit("more than 2^31 clusters in one comparison"))))
-    # 2^64 mod m words at the top of the range are rejected.
-    top = (F.lit(two32) % m) * (F.lit(two32) % m) % m
-
-    def words(base: DataFrame, extra: Column) -> DataFrame:
-        first = F.col("draw") * m
-        last = first + m - 1 + extra
-        chunked = base.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))) \
-            .repartition(key, "draw") \
-            .withColumn("_first", F.expr("(draw * clusters) div 4")).withColumn("_last", F.floor(last / 4)) \
-            .withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(CHUNK).cast("long")))) \
-            .withColumn("_counter", F.explode(F.sequence(
-                F.col("_from"), F.least(F.col("_from") + CHUNK - 1, F.col("_last"))))) \
-            .withColumn("_digest", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key), F.col("_counter").cast("string")), 256)) \
-            .withColumn("_word", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-        high = F.conv(F.col("_digest").substr(F.col("_word") * 16 + 1, F.lit(8)), 16, 10).cast("long")
-        low = F.conv(F.col("_digest").substr(F.col("_word") * 16 + 9, F.lit(8)), 16, 10).cast("long")
-        return chunked.withColumn("_w", F.col("_counter") * 4 + F.col("_word")).withColumn("_high", high).withColumn(
-            "_low", low).withColumn(
-            "_bad", (F.col("_high") == two32 - 1) & (F.col("_low") >= F.lit(two32) - top))
-
-    bad = words(sizes, F.lit(0)).filter("_bad").groupBy(key).agg(
-        F.array_sort(F.collect_set("_w")).alias("_rejected"))
+    bad = rejected_words(sizes, key, draws, seed)
     none = F.array().cast("array<long>")
-    with_bad = sizes.join(F.broadcast(bad), key, "left").withColumn("_rejected", F.coalesce("_rejected", none))
+    with_bad = _checked(sizes).join(F.broadcast(bad), key, "left").withColumn("_rejected", F.coalesce("_rejected", none))
     # A shifted draw reads a few words further; each of those may be rejected too, so allow twice.
     extra = F.when(F.size("_rejected") > 0, F.size("_rejected") * 2 + 4).otherwise(0)
-    accepted = words(with_bad, extra).filter(~F.col("_bad"))
+    accepted = _words(with_bad, key, draws, seed, extra).filter(~F.col("_bad"))
     place = F.col("_w") - F.when(F.size("_rejected") > 0, F.size(
         F.filter("_rejected", lambda r: r < F.col("_w")))).otherwise(0)
-    value = (F.col("_high") % m * (F.lit(two32) % m) + F.col("_low") % m) % m
+    value = (F.col("_high") % m * (F.lit(TWO32) % m) + F.col("_low") % m) % m
     return accepted.withColumn("_p", place).filter(
         (F.col("_p") >= F.col("draw") * m) & (F.col("_p") < (F.col("draw") + 1) * m)).select(
         key, "draw", (F.col("_p") - F.col("draw") * m).alias("slot"), value.alias("rank"))
@@ -129,24 +149,116 @@ def bootstrap(
     parts = ["arm", "value"] if armed else ["difference"]
     measure = parts[-1]
     by = parts[:-1]
+    if not scale.fits:
+        # Observations may be far fewer than the rows that they were made from.
+        scale = Scale(obs.count(), scale.rows_per_task)
     order = settle(cluster_order(obs, key, cluster, parts, scale), scale)
-    sizes = order.select(key, "clusters").distinct()
-    taken = settle(drawn_clusters(sizes, key, draws, seed), scale)
     ids = ["pair_id"] if statistic == "trend" else []
-    held = lookup_join(obs.select(key, cluster, *parts, *ids), order.select(key, cluster, "rank"), [key, cluster], "inner",
-                       [F.col(measure)], scale)
-    # Every observation of a cluster is repeated once per draw that takes it.
-    fan_out = Scale(scale.rows, max(1, scale.rows_per_task // draws))
+    held = lookup_join(obs.select(key, cluster, *parts, *ids), order.select(key, cluster, "rank", "clusters"), [key, cluster],
+                       "inner", [F.col(measure)], scale)
     if statistic in ("mean", "mean_difference"):
+        taken = settle(drawn_clusters(order.select(key, "clusters").distinct(), key, draws, seed), scale)
         sums = held.groupBy(key, "rank").agg(*_sums(by, measure))
         pooled = taken.join(sums, [key, "rank"]).groupBy(key, "draw").agg(
             *[F.sum(c).alias(c) for c in sums.columns if c not in (key, "rank")])
         value = F.col("_s") / F.col("_n") if not by else (
             F.col("_si") / F.nullif(F.col("_ni"), F.lit(0)) - F.col("_sb") / F.nullif(F.col("_nb"), F.lit(0)))
         return pooled.select(key, "draw", value.alias("value")).filter("value is not null")
+    held = cut_lineage(held)
+    sizes = held.select(key, "clusters").distinct()
+    apart = cut_lineage(heavy_keys(held, [key], min(MOST_HELD, scale.rows_per_task)).select(key).union(
+        rejected_words(sizes, key, draws, seed).select(key)).distinct())
+    if apart.isEmpty():
+        return _draws_in_tasks(held, key, by, measure, statistic, draws, seed)
+    apart = F.broadcast(apart)
+    spread = _draws_spread(held.join(apart, key, "left_semi"), key, by, measure, statistic, draws, seed, scale)
+    return spread.unionByName(_draws_in_tasks(held.join(apart, key, "left_anti"), key, by, measure, statistic, draws, seed))
+
+
+def _draws_in_tasks(held: DataFrame, key: str, by: list[str], measure: str, statistic: str, draws: int, seed: int) -> DataFrame:
+    """Comparisons that a task can hold, without rejected words: each task has all observations of one, and some of its draws.
+
+    A resample is the number of times it takes each cluster, so nothing is repeated once per draw.
+    """
+    per = max(DRAWS_PER_TASK, -(-draws // MOST_TASKS))
+    arm = F.when(F.col("arm") == "baseline", 0).when(F.col("arm") == "intervention", 1).otherwise(2) if by else F.lit(0)
+    dealt = held.select(key, "rank", "clusters", arm.alias("_arm"), F.col(measure).cast("double").alias("_v"),
+                        F.explode(F.sequence(F.lit(0), F.lit(-(-draws // per) - 1))).alias("_block"))
+    schema = T.StructType([held.schema[key], T.StructField("draw", T.LongType()), T.StructField("value", T.DoubleType())])
+
+    def solve(at: tuple, rows: pa.Table) -> pa.Table:
+        label, block = (k.as_py() for k in at)
+        m = rows["clusters"][0].as_py()
+        rank, arms, v = (rows[c].to_numpy() for c in ("rank", "_arm", "_v"))
+        known = rows["_v"].is_valid().to_numpy()
+        # By cluster with sorted contents (nulls first), or by value.
+        sort = np.lexsort((v, known, rank)) if statistic == "trend" else np.argsort(v, kind="stable")
+        if statistic != "trend":
+            sort = sort[known[sort]]
+        rank, arms, v, known = rank[sort], arms[sort], v[sort], known[sort]
+        numbers = range(block * per, min((block + 1) * per, draws))
+        found = [_statistic(statistic, drawn_ranks(seed, label, m, draw), m, rank, arms, v, known) for draw in numbers]
+        return pa.table({key: pa.array([label] * len(found), rows.schema.field(key).type),
+                         "draw": pa.array(numbers, pa.int64()), "value": pa.array(found, pa.float64())})
+
+    return dealt.groupBy(key, "_block").applyInArrow(solve, schema).filter("value is not null")
+
+
+def drawn_ranks(seed: int, label: str | None, clusters: int, draw: int) -> np.ndarray:
+    """The clusters of one draw by slot, where no word is rejected; see ``drawn_clusters``."""
+    start, stop = draw * clusters, (draw + 1) * clusters
+    head = f"{seed}:" if label is None else f"{seed}:{label}:"
+    digests = b"".join([sha256(f"{head}{c}".encode()).digest() for c in range(start // 4, -(-stop // 4))])
+    words = np.frombuffer(digests, ">u8")[start % 4:start % 4 + clusters].astype(np.uint64)
+    return (words % np.uint64(clusters)).astype(np.int64)
+
+
+def _statistic(statistic: str, taken: np.ndarray, m: int, rank: np.ndarray, arms: np.ndarray, v: np.ndarray,
+               known: np.ndarray) -> float | None:
+    if statistic == "trend":
+        sizes = np.bincount(rank, minlength=m)
+        starts, many = np.cumsum(sizes) - sizes, sizes[taken]
+        before = np.cumsum(many) - many
+        at = np.repeat(starts[taken] - before, many) + np.arange(many.sum())
+        x = np.flatnonzero(known[at])
+        return median_slope(x, v[at[x]])
+    weight = np.bincount(taken, minlength=m)[rank]
+    if statistic == "median":
+        return weighted_median(v, weight)
+    centres = []
+    for arm in (0, 1):
+        values, w = v[arms == arm], weight[arms == arm]
+        centre = weighted_median(values, w)
+        if statistic == "dispersion_ratio" and centre is not None:
+            away = np.abs(values - centre)
+            order = np.argsort(away, kind="stable")
+            centre = weighted_median(away[order], w[order])
+        centres.append(centre)
+    b, i = centres
+    if b is None or i is None:
+        return None
+    return i - b if statistic == "median_difference" else (i / b if b else None)
+
+
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> float | None:
+    """Median of sorted values that stand for ``weights`` each; None without any."""
+    upto = np.cumsum(weights)
+    n = int(upto[-1]) if len(upto) else 0
+    if not n:
+        return None
+    low, high = (float(values[np.searchsorted(upto, r, side="right")]) for r in ((n - 1) // 2, n // 2))
+    return low if low == high else low + (high - low) * 0.5
+
+
+def _draws_spread(held: DataFrame, key: str, by: list[str], measure: str, statistic: str, draws: int, seed: int,
+                  scale: Scale) -> DataFrame:
+    """Comparisons of any size: every observation of a cluster is repeated once per draw that takes it."""
+    taken = settle(drawn_clusters(held.select(key, "clusters").distinct(), key, draws, seed), scale)
+    parts = [*by, measure]
+    fan_out = Scale(scale.rows, max(1, scale.rows_per_task // draws))
     if statistic == "trend":
         return _trend_draws(held, taken, key, measure, fan_out, scale)
-    hist = held.groupBy(key, "rank", *parts).agg(F.count(F.lit(1)).alias("_c"))
+    hist = held.filter(F.col(measure).isNotNull()).groupBy(key, "rank", *parts).agg(F.count(F.lit(1)).alias("_c"))
     drawn = lookup_join(hist, taken.select(key, "draw", "rank"), [key, "rank"], "inner", [F.col(measure)], fan_out)
     group = [key, "draw", *by]
     if statistic == "median":

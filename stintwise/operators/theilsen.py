@@ -1,8 +1,8 @@
 """Theil-Sen slope (median of pairwise slopes) without forming the pairs.
 
 The number of slopes below s equals the number of point pairs that are out of order after
-y is replaced by y - s * x. Counting those costs n log n. The bracket about the wanted ranks is
-narrowed with slopes drawn from inside it until it holds few pairs, and the slope of that rank
+y is replaced by y - s * x. Counting those takes a table of blocks. The bracket about the wanted rank is
+narrowed with slopes drawn evenly from inside it until its pairs can be listed, and the slope of that rank
 among them is the result: an actual slope of two points at every size. Groups up to ``max_group``
 points are solved one per task; larger ones by the cluster, see ``slopeselect``.
 """
@@ -19,27 +19,11 @@ from stintwise.operators.slopeselect import select_slopes
 from stintwise.operators.spread import UNKNOWN, Scale, heavy_keys
 from stintwise.session import cut_lineage
 
-MAX_GROUP = 100_000
+MAX_GROUP = 1_000_000
 DIRECT = 256
-
-
-def out_of_order(values: np.ndarray) -> np.ndarray:
-    """For every j the number of i < j with values[i] > values[j], by splitting on the bits of the ranks."""
-    n = len(values)
-    place = np.empty(n, dtype=np.int64)
-    place[np.argsort(values, kind="stable")] = np.arange(n)
-    counts, who = np.zeros(n, dtype=np.int64), np.arange(n)
-    for bit in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
-        order = np.argsort(place >> (bit + 1), kind="stable")
-        p, who = place[order], who[order]
-        group = p >> (bit + 1)
-        one = (p >> bit) & 1
-        ones_so_far = np.cumsum(one) - one
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        base = np.repeat(ones_so_far[starts], np.diff(np.r_[starts, n]))
-        counts[who] += (ones_so_far - base) * (1 - one)
-        place = p
-    return counts
+#: Slopes drawn at a time, and most pairs of points looked at one by one.
+POOL = 50_000
+LISTED = 100_000_000
 
 
 def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
@@ -47,70 +31,105 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> float | None:
     order = np.lexsort((y, x))
     x, y = x[order].astype(float), y[order].astype(float)
     n = len(x)
-    firsts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if n else np.array([], dtype=int)
-    if len(firsts) < 2:
+    step = np.r_[False, x[1:] != x[:-1]]
+    if not step.any():
         return None
     if n <= DIRECT:
         i, j = np.triu_indices(n, 1)
         apart = x[j] != x[i]
         return float(np.median((y[j] - y[i])[apart] / (x[j] - x[i])[apart]))
-    sizes = np.diff(np.r_[firsts, n])
-    before = np.repeat(firsts, sizes)  # points with a smaller x
-    total = int(before.sum())
-    low, high = np.minimum.reduceat(y, firsts), np.maximum.reduceat(y, firsts)
-    gap = np.diff(x[firsts])
-    # The steepest and flattest slopes lie between neighbouring x.
-    smallest, largest = ((low[1:] - high[:-1]) / gap).min(), ((high[1:] - low[:-1]) / gap).max()
-    margin = 1e-12 * max(abs(smallest), abs(largest), 1e-290)
-
-    def below(s: float) -> np.ndarray:
-        """For every point the number of slopes to points of smaller x that are below s."""
+    group = np.cumsum(step)  # points of one x
+    sizes = np.bincount(group)
+    total = (n * n - int((sizes * sizes).sum())) // 2
+    first, after = _slopes_at(x, y, group, total, (total - 1) // 2)
+    if total % 2:
+        return first
+    return (first + (_slopes_at(x, y, group, total, total // 2)[0] if after is None else after)) / 2
+
+
+def inversions(place: np.ndarray) -> int:
+    """Pairs i < j with place[i] > place[j], for a permutation.
+
+    Positions and places are cut into blocks: pairs apart in both are counted by a table of blocks, the others
+    within their block.
+    """
+    n, bits = len(place), 8
+    while n >> bits > 2048:
+        bits += 1
+    size, blocks = 1 << bits, (n >> bits) + 1
+    at, of = np.arange(n) >> bits, place >> bits
+    table = np.bincount(at * blocks + of, minlength=blocks * blocks).reshape(blocks, blocks).astype(np.int32)
+    earlier = np.cumsum(table, axis=0, dtype=np.int32) - table
+    above = earlier.sum(axis=1, dtype=np.int32, keepdims=True) - np.cumsum(earlier, axis=1, dtype=np.int32)
+    count = int((table.astype(np.int64) * above).sum())
+    by_place = np.empty(n, dtype=np.int32)
+    by_place[place] = at
+    for values in (place.astype(np.int32), by_place):
+        # One column a block; what fills up the last one is in order.
+        columns = np.full(blocks * size, n, dtype=np.int32)
+        columns[:n] = values
+        columns = np.ascontiguousarray(columns.reshape(blocks, size).T)
+        count += sum(int(np.count_nonzero(columns[:-s] > columns[s:])) for s in range(1, size))
+    return count
+
+
+def _slopes_at(x: np.ndarray, y: np.ndarray, group: np.ndarray, total: int, rank: int) -> tuple[float, float | None]:
+    """The slope of a rank among all, and the next one where it is at hand."""
+    n, rng = len(x), np.random.default_rng(1)
+    index = np.arange(n)
+
+    def order(s: float, equal: bool) -> np.ndarray:
+        """Points by y - s * x: a pair is turned round when its slope is below s (or equal to it)."""
         z = y - s * x
-        inside = np.lexsort((z, x))
-        counts = np.empty(n, dtype=np.int64)
-        counts[inside] = out_of_order(z[inside])
-        return counts
-
-    def slopes(rows: np.ndarray, a: float, b: float) -> np.ndarray:
-        """Those slopes of the points to points of smaller x that lie in [a, b)."""
-        found = []
-        for j in rows:
-            s = (y[j] - y[:before[j]]) / (x[j] - x[:before[j]])
-            found.append(s[(s >= a) & (s < b)])
-        return np.sort(np.concatenate(found)) if found else np.zeros(0)
-
-    def at(rank: int) -> float:
-        a, b = smallest - margin, largest + margin
-        under_a, under_b = np.zeros(n, dtype=np.int64), before.astype(np.int64)
-        while True:
-            inside = under_b - under_a
-            rows = np.flatnonzero(inside > 0)
-            if inside[rows].sum() <= 64 or not len(rows):
-                held = slopes(rows, a, b)
-                return float(held[min(max(rank - int(under_a.sum()), 0), len(held) - 1)])
-            # Slopes of some of the points stand for all in the bracket.
-            pool = slopes(rows[np.linspace(0, len(rows) - 1, min(len(rows), 16)).astype(int)], a, b)
-            share = (rank - int(under_a.sum()) + 0.5) / int(inside.sum())
-            if not len(pool):
-                pool = slopes(rows, a, b)
-            near, reach = int(np.clip(share * len(pool), 0, len(pool) - 1)), int(2 * np.sqrt(len(pool))) + 1
-            ends = [float(pool[max(near - reach, 0)]), float(pool[min(near + reach, len(pool) - 1)])]
-            step = max(1e-13 * max(abs(pool[0]), abs(pool[-1])), margin * 1e-6)
-            if ends[0] - step <= a and ends[1] + step >= b:
-                ends = [float(pool[near])] * 2  # these ends would not narrow the bracket
-            lower, upper = ends[0] - step, ends[1] + step
-            under_lower, under_upper = below(lower), below(upper)
-            if int(under_lower.sum()) <= rank < int(under_upper.sum()):
-                if ends[0] == ends[1] and int((under_upper - under_lower).sum()) > 64:
-                    return ends[0]  # many equal slopes
-                a, b, under_a, under_b = lower, upper, under_lower, under_upper
-            elif rank < int(under_lower.sum()):
-                b, under_b = lower, under_lower
+        return np.lexsort((index, -group, z)) if equal else np.argsort(z, kind="stable")
+
+    def under(by: np.ndarray) -> int:
+        place = np.empty(n, dtype=np.int64)
+        place[by] = index
+        return inversions(place)
+
+    def slope(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (y[j] - y[i]) / (x[j] - x[i])
+
+    low, high = index, np.lexsort((y, -group))
+    under_low, under_high = 0, total
+    i, j = np.sort(rng.integers(0, n, (2, POOL)), axis=0)
+    apart = group[i] != group[j]
+    pool = np.sort(slope(i[apart], j[apart]))
+    for attempt in range(64):
+        if len(pool):
+            share = (rank - under_low + 0.5) / max(under_high - under_low, 1)
+            near, reach = int(np.clip(share * len(pool), 0, len(pool) - 1)), int(1.5 * np.sqrt(len(pool))) + 1
+            ends = float(pool[max(near - reach, 0)]), float(pool[min(near + reach, len(pool) - 1)])
+            left, right = order(ends[0], False), order(ends[1], True)
+            under_left, under_right = under(left), under(right)
+            if under_left <= rank < under_right:
+                if ends[0] == ends[1]:
+                    return ends[0], ends[0] if rank + 1 < under_right else None
+                low, high, under_low, under_high = left, right, under_left, under_right
+            elif rank < under_left:
+                high, under_high = left, under_left
             else:
-                a, under_a = upper, under_upper
-
-    first = at((total - 1) // 2)
-    return first if total % 2 else (first + at(total // 2)) / 2
+                low, under_low = right, under_right
+        place = np.empty(n, dtype=np.int64)
+        place[high] = index
+        place = place[low]  # the pairs between both slopes are those out of order here
+        reach = int(2 * np.abs(place - index).max())
+        if under_high - under_low <= 16 * n and n * reach <= LISTED or attempt == 63:
+            break
+        p = rng.integers(0, n - 1, 16 * POOL)
+        q = p + rng.integers(1, max(reach, 1) + 1, len(p))
+        p, q = p[q < n], q[q < n]
+        inside = (place[p] > place[q]) & (low[p] < low[q])
+        pool = np.sort(slope(low[p[inside][:POOL]], low[q[inside][:POOL]]))
+    found = []
+    for s in range(1, min(reach, n - 1) + 1):
+        at = np.flatnonzero(place[:-s] > place[s:])
+        at = at[low[at] < low[at + s]]
+        found.append(slope(low[at], low[at + s]))
+    held = np.sort(np.concatenate(found))
+    at = min(max(rank - under_low, 0), len(held) - 1)
+    return float(held[at]), float(held[at + 1]) if at + 1 < len(held) else None
 
 
 def theil_sen(

@@ -1,6 +1,7 @@
 """Hand-computed answers of the estimators."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from stintwise.operators import bootstrap as bs
 from stintwise.operators import sensitivity, stats
 from stintwise.operators.quantiles import histogram, mad, quantiles
 from stintwise.operators.spread import Scale
-from stintwise.operators.theilsen import median_slope, theil_sen
+from stintwise.operators.theilsen import inversions, median_slope, theil_sen
 
 SMALL = Scale(10_000)
 DIVIDED = Scale(None, 8)
@@ -168,3 +169,45 @@ def test_draw_bounds(spark):
 
     with pytest.raises(ValueError, match="200 to 100,000"):
         bootstrap(spark.range(1), "k", "c", "median", 100, 1)
+
+
+@pytest.mark.parametrize("kind", ["sequence", "ties", "few x", "steep"])
+def test_slopes_counted_by_blocks(kind):
+    rng = np.random.default_rng(len(kind))
+    n = 1400
+    x = rng.integers(0, 30, n).astype(float) if kind == "few x" else np.arange(n, dtype=float)
+    y = rng.integers(0, 4, n).astype(float) if kind == "ties" else rng.normal(0, 30, n).round(2) + (3 * x if kind == "steep" else 0)
+    i, j = np.triu_indices(n, 1)
+    order = np.lexsort((y, x))
+    i, j = order[i], order[j]
+    apart = x[i] != x[j]
+    assert median_slope(x, y) == pytest.approx(np.median((y[j] - y[i])[apart] / (x[j] - x[i])[apart]), rel=1e-12, abs=1e-15)
+    place = rng.permutation(n)
+    assert inversions(place) == sum(int((place[:k] > place[k]).sum()) for k in range(n))
+
+
+def test_slope_of_a_whole_comparison_of_the_larger_tables():
+    # Eighty thousand points took ten seconds each, and there are a thousand such draws.
+    y = np.random.default_rng(3).integers(-99, 99, 80_000) / 100
+    start = time.process_time()
+    assert abs(median_slope(np.arange(80_000), y)) < 1e-4
+    assert time.process_time() - start < 4
+
+
+@pytest.mark.parametrize("statistic", ["median", "trend", "median_difference", "dispersion_ratio"])
+def test_draws_in_tasks_and_spread(spark, statistic):
+    rng = np.random.default_rng(4)
+    rows = [(k, f"{k}{i}", f"c{rng.integers(0, n // 3)}", ("baseline", "intervention", None)[i % 3], float(rng.integers(0, 50)) if i % 7 else None)
+            for k, n in (("a", 60), ("b", 9)) for i in range(n)]
+    obs = spark.createDataFrame(rows, "k string, pair_id string, cluster_id string, arm string, value double").withColumn(
+        "difference", F.col("value")).cache()
+    got = [{(r.k, r.draw): r.value for r in bs.bootstrap(obs, "k", "cluster_id", statistic, 200, 7, scale).collect()}
+           for scale in (SMALL, Scale(None, 20), Scale(None, 8))]
+    assert len(got[0]) > 200 and got[0].keys() == got[1].keys() == got[2].keys()
+    assert all(got[1][d] == pytest.approx(v, rel=1e-12, abs=1e-15) and got[2][d] == pytest.approx(v, rel=1e-12, abs=1e-15) for d, v in got[0].items())
+
+
+def test_resamples_are_not_spelled_out(spark):
+    obs = pairs_of(spark, range(400), [f"c{i % 40}" for i in range(400)])
+    plan = bs.bootstrap(obs, "k", "cluster_id", "median", 200, 7, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "sha2" not in plan
