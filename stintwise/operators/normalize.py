@@ -49,8 +49,8 @@ def bad_cells(rows: DataFrame, mappings: list[ColumnMapping], subject: list[str]
     found = F.array_compact(F.array(*[
         F.when(bad_cell(F.col(f"`{m.column}`"), m.concept),
                F.struct(F.lit(m.column).alias("column"), F.col(f"`{m.column}`").alias("text"))) for m in mappings]))
-    held = rows.select(*subject, found.alias("_bad")).filter(F.size("_bad") > 0)
-    return held.select(*subject, F.inline("_bad"))
+    # A filter on the list would be moved below the parsing of the cells, and repeat it for every use of a cell.
+    return rows.select(*subject, F.inline(found))
 
 
 def laps_of(samples: DataFrame, keys: list[str], position: str) -> DataFrame:
