@@ -54,8 +54,9 @@ def event_lines(lines: DataFrame, version: str, column: str = "value") -> DataFr
     An event has exactly the fields of EVENT_FIELDS. Problems, the first that applies (null for a sound event, whose
     fields alone are filled): not_json, shape, version, sequence, session_time, kind, data. Null text is not_json. Other columns stay.
     """
-    held = lines.withColumn("_event", F.try_parse_json(column)).withColumn(
-        "_cells", F.try_variant_get("_event", "$", "map<string,variant>"))
+    # As generated columns, so that conditions on the problem stay above the parsing instead of repeating it.
+    held = lines.select("*", F.explode(F.array(F.try_parse_json(column))).alias("_event")).select(
+        "*", F.explode(F.array(F.try_variant_get("_event", "$", "map<string,variant>"))).alias("_cells"))
 
     def cell(name: str) -> Column:
         return F.try_element_at("_cells", F.lit(name))
@@ -75,7 +76,7 @@ def event_lines(lines: DataFrame, version: str, column: str = "value") -> DataFr
         ~kind("session_time_s").rlike("^(VOID|BIGINT|DOUBLE|DECIMAL.*)$"), "session_time").when(
         (kind("kind") != "STRING") | (text("kind") == ""), "kind").when(~kind("data").startswith("OBJECT"), "data")
     sound = F.col("problem").isNull()
-    return held.withColumn("problem", problem).select(
+    return held.select("*", F.explode(F.array(problem)).alias("problem")).select(
         *[c for c in lines.columns if c != column], F.when(sound, text("schema_version")).alias("schema_version"),
         F.when(sound, F.try_variant_get(cell("sequence"), "$", "bigint")).alias("sequence"),
         F.when(sound, text("observed_utc")).alias("observed_utc"),
