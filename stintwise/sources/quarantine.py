@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stintwise.functions.cells import bad_cell, signed
 from stintwise.operators.normalize import ColumnMapping
-from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, ordered_scan
+from stintwise.operators.spread import UNKNOWN, Scale, lookup_join, ordered_scan, settle
 
 CORRUPT = "_corrupt"
 
@@ -62,7 +62,8 @@ def mapped_problems(rows: DataFrame, mappings: list[ColumnMapping], lap_column:
     codes += [F.when(number.isNull(), F.lit("lap.unparsable")), F.when(number < 0, F.lit("lap.negative"))]
     if CORRUPT in rows.columns:
         codes.insert(0, F.when(F.col(CORRUPT).isNotNull(), F.lit("row.width")))
-    own = rows.select("*", number.alias("_lap"), F.array_compact(F.array(*codes)).alias("_codes"))
+    # Generated columns: conditions on the lap stay above the parsing of the cells instead of repeating it.
+    own = settle(rows.select("*", F.inline(F.array(F.struct(number.alias("_lap"), F.array_compact(F.array(*codes)).alias("_codes"))))), scale)
     slot = F.floor(F.col("row_index") / 4096)
     own = ordered_scan(own, keys, ["row_index"], slot, {"_before": ("last", F.col("_lap"))}, scale)
     first = own.where("_lap is not null").groupBy(*keys, "_lap").agg(F.min("row_index").alias("_first"))

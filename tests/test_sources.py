@@ -239,3 +239,17 @@ def test_bad_event_lines_are_refused_or_set_apart(spark, tmp_path):
     assert read_event_lines(spark, str(path), "v1", quarantine=True).where("problem is null").count() == 1
     with pytest.raises(Exception, match="event log: shape"):
         read_event_lines(spark, str(path), "v1").count()
+
+
+def test_conditions_do_not_repeat_the_parsing(spark):
+    """Cells and events are parsed once a row, however many conditions look at them."""
+    from stintwise.plans.catalogue import QUERIES
+
+    def uses(name, call):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count(call)
+
+    assert uses("a2_bad_cells", "from_csv(") == 1
+    # The query parses the event's own properties once more; the rows of the lap table are made twice.
+    assert uses("a8_event_payloads", "parse_json") + uses("a8_event_payloads", "parseJson") <= 2
+    assert uses("a1_refusals", "from_csv(") <= 2
