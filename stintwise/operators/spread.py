@@ -72,6 +72,16 @@ def fan_out(df: DataFrame, scale: Scale, *by: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by) if scale.fits else df
 
 
+def deal(df: DataFrame, rows: int, scale: Scale, *by: str) -> DataFrame:
+    """Partitions by the hash of ``by`` that get a quarter of a task's rows on average.
+
+    Partitions of a plain shuffle are merged up to a size in compressed bytes, of which well
+    compressed rows need many; a number that follows the rows is left as it is.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-4 * rows // scale.rows_per_task))
+    return df.repartition(parts, *by)
+
+
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
     """Keys above the limit and the number of pieces each needs.
 
@@ -93,11 +103,13 @@ def lookup_join(
     how: str = "left",
     spread: list[Column] | None = None,
     scale: Scale = UNKNOWN,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``table`` on ``on``; rows of heavy fact keys are dealt over pieces.
 
     ``spread`` are columns that differ between rows of one key (an id); the matching rows
-    of ``table`` are repeated once per piece, for heavy keys only.
+    of ``table`` are repeated once per piece, for heavy keys only. Where the ``rows`` of both
+    together are known, the join's partitions follow them.
     """
     if scale.fits:
         return facts.join(table, on, how)
@@ -114,6 +126,8 @@ def lookup_join(
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)))
         .drop("_pieces")
     )
+    if rows is not None:
+        left, right = (deal(side, rows, scale, *on, "_piece") for side in (left, right))
     return left.join(right, [*on, "_piece"], how).drop("_piece")
 
 

@@ -7,11 +7,12 @@ ranges; a key that holds very many positions is swept slot by slot (``ordered_sc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintwise.operators.audit import violations
-from stintwise.operators.spread import UNKNOWN, Scale, by_key, ordered_scan
+from stintwise.operators.spread import UNKNOWN, Scale, by_key, deal, heavy_keys, lookup_join, ordered_scan
+from stintwise.session import stored_table
 
 #: Fixed value: declared coverage is given to three decimals.
 COVERAGE_TOLERANCE = 0.0005
@@ -26,21 +27,29 @@ def region_coverage(bins: DataFrame, regions: DataFrame, comparison: DataFrame,
     session and lap. A comparison lap without any bin of the region counts as a share of zero. Problems:
     no_comparison_lap, absent_on_lap, coverage_mismatch.
     """
-    laps = comparison.select(session_key, lap).distinct()
-    wanted = regions.select(session_key, "finding_key", "start", "end").distinct().join(laps, session_key)
-    edge = {kind: wanted.select(session_key, lap, F.col(column).cast("double").alias("_pos"), F.lit(kind).alias("_kind"),
-                                "finding_key", "start", "end", F.lit(0).alias("_one"), F.lit(0).alias("_seen"))
-            for kind, column in ((0, "start"), (2, "end"))}
+    laps, size = comparison.select(session_key, lap).distinct(), None
+    if not scale.fits:
+        laps, regions = stored_table(laps, "laps"), stored_table(regions.select(session_key, "finding_key", "start", "end", "coverage"), "regions")
+        size = laps.count() + regions.count()
+    wanted = lookup_join(laps, regions.select(session_key, "finding_key", "start", "end"), [session_key], "inner", [F.col(lap)], scale, size)
+    edges = wanted.select("*", F.inline(F.array(*[
+        F.struct(F.col(column).cast("double").alias("_pos"), F.lit(kind).alias("_kind")) for kind, column in ((0, "start"), (2, "end"))])),
+        F.lit(0).alias("_one"), F.lit(0).alias("_seen"))
     nothing = {"finding_key": F.lit(None).cast(regions.schema["finding_key"].dataType),
                **{c: F.lit(None).cast(regions.schema[c].dataType) for c in ("start", "end")}}
-    steps = bins.join(laps, [session_key, lap], "left_semi").select(
+    # Laps without edges add nothing; beyond one task's rows they go along, as a join would sort all bins to leave them out.
+    known = bins.where(F.col(session_key).isNotNull() & F.col(lap).isNotNull())
+    steps = (known.join(laps, [session_key, lap], "left_semi") if scale.fits else known).select(
         session_key, lap, F.col(at).cast("double").alias("_pos"), F.lit(1).alias("_kind"), *[v.alias(k) for k, v in nothing.items()],
         F.lit(1).alias("_one"), F.col("has_sample").cast("int").alias("_seen"))
-    swept = ordered_scan(steps.unionByName(edge[0]).unionByName(edge[2]), [session_key, lap], ["_pos", "_kind", "finding_key"],
-                         F.floor(F.col("_pos") / SLOT), {"total": ("sum", F.col("_one")), "seen": ("sum", F.col("_seen"))}, scale)
-    sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
-    per_lap = swept.where("_kind <> 1").groupBy(session_key, lap, "finding_key", "start", "end").agg(
-        F.sum(F.coalesce("total", F.lit(0)) * sign).alias("total"), F.sum(F.coalesce("seen", F.lit(0)) * sign).alias("seen"))
+    swept = _running_totals(steps.unionByName(edges), [session_key, lap], scale)
+
+    def inside(running: str) -> Column:
+        # A region that is declared twice has its edges twice, with the same sums.
+        first, last = (F.max(F.when(F.col("_kind") == kind, F.coalesce(running, F.lit(0)))) for kind in (0, 2))
+        return (last - first).alias(running)
+
+    per_lap = swept.where("_kind <> 1").groupBy(session_key, lap, "finding_key", "start", "end").agg(inside("total"), inside("seen"))
     share = F.when(F.col("total") > 0, F.col("seen") / F.col("total")).otherwise(0.0)
     found = per_lap.groupBy(session_key, "finding_key", "start", "end").agg(
         F.min(share).alias("coverage"), F.count(F.lit(1)).alias("laps"), F.count_if(F.col("total") <= 0).alias("absent"))
@@ -52,6 +61,28 @@ def region_coverage(bins: DataFrame, regions: DataFrame, comparison: DataFrame,
                            F.abs(F.col("declared") - F.col("coverage")) > COVERAGE_TOLERANCE, "coverage_mismatch").alias("problem"))
 
 
+def _running_totals(rows: DataFrame, keys: list[str], scale: Scale) -> DataFrame:
+    """Bins (``total``) and sampled bins (``seen``) before each row of its key.
+
+    Beyond one task's rows they are written once and dealt by their number; only keys above
+    the limit are swept slot by slot.
+    """
+    def scan(part: DataFrame, size: Scale) -> DataFrame:
+        return ordered_scan(part, keys, ["_pos", "_kind", "finding_key"], F.floor(F.col("_pos") / SLOT),
+                            {"total": ("sum", F.col("_one")), "seen": ("sum", F.col("_seen"))}, size)
+
+    if scale.fits:
+        return scan(rows, scale)
+    rows = stored_table(rows, "sweep")
+    heavy = heavy_keys(rows, keys, scale.rows_per_task)
+    whole = Scale(0, scale.rows_per_task)
+    if heavy.isEmpty():
+        return scan(deal(rows, rows.count(), scale, *keys), whole)
+    tagged = by_key(rows, heavy, keys, "left", small=True)
+    light, large = (tagged.where(f"_pieces is {what}").drop("_pieces") for what in ("null", "not null"))
+    return scan(deal(light, rows.count(), scale, *keys), whole).unionByName(scan(large, Scale(None, scale.rows_per_task)))
+
+
 def bind_blocks(laps: DataFrame, blocks: DataFrame, keys: list[str], lap_number: str, scale: Scale = UNKNOWN) -> DataFrame:
     """The declared block that holds each lap: keys, lap, rows, blocks, block, problem.
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.functions.qualified import fields, qualified
-from stintwise.operators.spread import Scale, fan_out
+from stintwise.operators.spread import Scale, deal, fan_out
+from stintwise.session import stored_table
 
 # A slot of the scan order: one minute of event time.
 SLOT_MICROS = 60_000_000
@@ -49,9 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat typed columns of the events table under telemetry names."""
-    return fan_out(table(spark, sf_dir, "events"), scale_of(sf_dir), "event_id").selectExpr(
+def base_events(spark: SparkSession, sf_dir: str, dealt: Scale | None = None) -> DataFrame:
+    """Flat typed columns of the events table under telemetry names.
+
+    With the bound ``dealt``, events are dealt over partitions that follow their number before anything is done with them.
+    """
+    rows = table(spark, sf_dir, "events")
+    return (deal(rows, dealt.rows, dealt, "event_id", "ts") if dealt else fan_out(rows, scale_of(sf_dir), "event_id")).selectExpr(
         "*", "dayofmonth(ts) AS dom", "concat('u', user_id) AS participant",
     ).selectExpr(
         "*", "CASE WHEN dom >= 29 THEN 'warmup' WHEN dom % 2 = 1 THEN 'odd' ELSE 'even' END AS condition_id",
@@ -154,6 +159,22 @@ def distance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("_incident"), "F1").otherwise("").alias("finding_keys"))
 
 
+def lap_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per lap from one reading of the events: rows, incidents and the stretch they are in, and a bit for each bin with samples.
+
+    Its bins are those of ``distance_bins``. Beyond one task's rows the laps are written once for their readers.
+    """
+    scale = scale_of(sf_dir)
+    large = not scale.times(BINS_PER_LAP).fits
+    at, here = F.floor(F.col("distance") / 10), F.when(F.col("incident"), F.col("distance"))
+    # The guard keeps the cast and the shift inside the lap.
+    bit = F.when(at.between(0, BINS_PER_LAP - 1), F.expr("shiftleft(1, CAST(floor(distance / 10) AS INT))"))
+    rows = base_events(spark, sf_dir, scale if large else None).groupBy("dataset_id", "lap_id", "lap_number").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("incident").alias("n_incidents"), F.min(here).alias("first_incident"),
+        F.max(here).alias("last_incident"), F.coalesce(F.bit_or(bit), F.lit(0)).alias("sampled"))
+    return stored_table(rows, "laps") if large else rows
+
+
 def lap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lap summary as a session export would carry it."""
     counted = base_events(spark, sf_dir).groupBy("dataset_id", "lap_id").agg(

@@ -1,5 +1,7 @@
 """Integrity audits on small damaged inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,25 @@ def test_blocks_and_coverage_by_sweep(spark, scale):
         assert {r.finding_key: (r.coverage, r.problem) for r in found} == want
 
 
+def test_sweep_is_dealt_by_its_rows(spark):
+    # 400 laps of ten bins and one of 1,000, which is above the limit of 500; equal rows compress so well that a plain shuffle merges them.
+    bins = spark.range(5000).selectExpr("'s' AS s", "if(id < 4000, id % 400, 400) AS lap", "if(id < 4000, id div 400, id - 4000) AS at",
+                                        "id % 400 > 0 OR id >= 4000 AS has_sample").unionByName(
+        spark.sql("SELECT 's' AS s, CAST(null AS long) AS lap, 3L AS at, true AS has_sample"))
+    regions = spark.createDataFrame([("s", "A", 2.0, 5.0, 0.0), ("s", "A", 2.0, 5.0, 0.5), ("s", "B", 20.0, 29.0, None), (None, "C", 0.0, 1.0, 1.0)],
+                                    "s string, finding_key string, start double, end double, coverage double")
+    for last, laps, absent in ((399, 400, 400), (400, 401, 400)):
+        comparison = bins.where(f"lap <= {last}").select("s", "lap")
+        kept = bins.where(f"lap <= {last} OR lap IS NULL")
+        found = sweeps.region_coverage(kept, regions, comparison, "s", "lap", "at", Scale(5001, 500))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(n) for n in re.findall(r"hashpartitioning\(s#\d+, lap#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert dealt and min(dealt) >= 4 * 5600 // 500
+        assert sorted((r.finding_key, r.declared, r.coverage, r.laps, r.absent, r.problem) for r in found.collect() if r.declared is not None) == [
+            ("A", 0.0, 0.0, laps, 0, None), ("A", 0.5, 0.0, laps, 0, "coverage_mismatch"), ("C", 1.0, None, 0, 0, "no_comparison_lap")]
+        assert [(r.coverage, r.laps, r.absent) for r in found.where("finding_key = 'B'").collect()] == [(0.0, laps, absent)]
+
+
 @pytest.mark.parametrize("scale", SCALES)
 def test_chain_replay(spark, scale):
     rows = [("a", 0, None, "generated", None, "h0"), ("a", 1, "generated", "analysis_ready", "h0", "h1"),
